@@ -23,6 +23,8 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.1
 SCALE = 8.0
 THRESHOLD = 0.3
 #: Words are runs of letters, of digits, and of other signs; case is kept.
+#: Slot of a pair of equal words, whatever the word: repetition says more than the word does.
+TWICE = 1
 _WORDS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x09-\x0d\x20A-Za-z0-9\x80-\xff]+")
 
 
@@ -38,6 +40,7 @@ def ngram_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(SIZE - 1)
     one = (mix(words) & mask).astype(np.int64)
     two = (mix(mix(words[:-1]) + words[1:]) & mask).astype(np.int64) if len(words) > 1 else one[:0]
+    two[words[:-1] == words[1:]] = TWICE
     within = np.arange(len(words)) - np.repeat(starts[:-1], counts)
     slots[np.repeat(begins[:-1], counts) + within] = one
     pair = within[1:] > 0
