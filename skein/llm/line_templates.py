@@ -19,10 +19,13 @@ SIMILARITY = 0.8
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (names the document's row), i, n_chars, leaf, masked, mh of every line that has a token."""
-    exploded = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    spaced = F.btrim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " "))
+    parted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("lines"))
+    exploded = parted.select("doc_id", "row", F.posexplode("lines").alias("i", "line"))
+    line = F.col("line")
+    # few lines need a regular expression's replacement, so the rest is spared it
+    spaced = F.btrim(F.when(line.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
     masked = F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("s"))
-    n_tokens = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
+    n_tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return (
         exploded.withColumn("s", spaced)
         .where("s <> ''")
