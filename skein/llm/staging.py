@@ -29,7 +29,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again: its lineage is cut, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy's buffers lie outside the heap until a full collection
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -254,7 +254,7 @@ def write_store(
         .mapInArrow(
             segments, "shard int, segment int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
         )
-        .write.option("parquet.block.size", 16 << 20)
+        .write.options(compression="zstd", **{"parquet.block.size": 16 << 20})
         .parquet(path)
     )
 
