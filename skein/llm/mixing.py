@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unused
 
 #: A source's words are used so many times at most.
 MAX_PASSES = 3
 #: Documents that one task adds up in order; larger sources are cut into more ranges of the shuffled order.
-RANGE_DOCS = 20_000
+RANGE_DOCS = 1000
 #: Slopes of the schedules, repeating over the sources: steady, fading, rising.
 SLOPES = (0.0, -0.5, 0.5)
 
@@ -147,17 +147,18 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The plan is joined by id; rows of one id share the first such row's plan.
     """
+    key, all_places, place = (unused(docs, n) for n in ("mix_id", "mix_positions", "mix_position"))
     plan = plan_mix(docs, id_col, text_col, source_col, whole_documents=True)
     uses = (
-        stage(plan.select(F.col("doc_id").alias("__mix_id"), "positions"), "plan")
-        .groupBy("__mix_id")
-        .agg(F.max("positions").alias("__mix_positions"))
+        stage(plan.select(F.col("doc_id").alias(key), "positions"), "plan")
+        .groupBy(key)
+        .agg(F.max("positions").alias(all_places))
     )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    used = docs.join(uses, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id")))
+    used = docs.join(uses, F.col(f"`{id_col}`").eqNullSafe(F.col(key)))
     return (
-        used.select(*columns, F.explode("__mix_positions").alias("__mix_position"))
-        .repartitionByRange("__mix_position", F.col(f"`{id_col}`"))
-        .sortWithinPartitions("__mix_position", F.col(f"`{id_col}`"))
+        used.select(*columns, F.explode(all_places).alias(place))
+        .repartitionByRange(place, F.col(f"`{id_col}`"))
+        .sortWithinPartitions(place, F.col(f"`{id_col}`"))
         .select(*columns)
     )
