@@ -8,23 +8,28 @@ template of its own. A template found in more than one document recurs: all but
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
 
 DEPTH = 3
 SIMILARITY = 0.8
+#: A token with a digit; tried at the beginnings of tokens only, so that long ones cost no more than their length.
+VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (names the document's row), i, n_chars, leaf, masked, mh of every line that has a token."""
+    """doc_id, row (names the document's row), i, leaf, mh, masked of every line that has a token."""
     parted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("lines"))
     exploded = parted.select("doc_id", "row", F.posexplode("lines").alias("i", "line"))
     line = F.col("line")
     # few lines need a regular expression's replacement, so the rest is spared it
-    spaced = F.btrim(F.when(line.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
-    masked = F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("s"))
+    uneven = reduce(Column.__or__, [F.contains(line, F.lit(gap)) for gap in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    spaced = F.btrim(F.when(uneven, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
+    masked = F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", VARIABLE, "<*>")).otherwise(F.col("s"))
     n_tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return (
         exploded.withColumn("s", spaced)
