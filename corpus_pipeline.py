@@ -17,7 +17,7 @@ from skein.llm.decontaminate import with_leaks
 from skein.llm.mixing import curriculum
 from skein.llm.quality_model import THRESHOLD, train, with_score
 from skein.llm.simhash import near_duplicates_removed
-from skein.llm.staging import stage
+from skein.llm.staging import stage, unused
 from skein.llm.token_store import token_store
 
 #: SQL can't express the stages' models and hashes; each is tested against a brute-force version.
@@ -26,7 +26,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_score(docs, model, "__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    score = unused(docs, "score")
+    return with_score(docs, model, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__leaks")
-    return found.where(F.size("__leaks") == 0).select(*docs.columns)
+    leaks = unused(docs, "leaks")
+    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -86,16 +87,17 @@ def scan(texts: list[bytes]) -> list[dict]:
         words = text.translate(ALNUM).split()
         joined = b" ".join(words)
         padded = b" " + joined + b" "
-        places: list[tuple[int, int]] = []
+        places: list[int] = []
         labels = set()
         for phrase, label in BASE.items():
             wanted = b" " + phrase.encode() + b" "
             at = padded.find(wanted)
             while at >= 0:
-                places.append((at, phrase.count(" ")))
+                places.append(at)
                 labels.add(label)
                 at = padded.find(wanted, at + 1)
-        starts = sorted(padded.count(b" ", 0, at + 1) - 1 for at, _ in places)
+        gaps = np.flatnonzero(np.frombuffer(padded if places else b"", np.uint8) == 32)
+        starts = sorted(np.searchsorted(gaps, places).tolist())
         fuzzy = fuzzy_notices(joined)
         score = 1.0 if places else max((1 - e / (b - a) for _, e, a, b in fuzzy), default=0.0)
         rows.append(

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP = "[\\x20\\x09-\\x0D]+"
-#: A word may hold a secret if it has a run of so many key characters among which there is a digit, or follows a key name.
-CANDIDATE = "(?=[A-Za-z0-9+/_=.-]*[0-9])[A-Za-z0-9+/_=-]{12,}"
+#: A word may hold a secret if it has a run of so many key characters among which there is a digit. The pattern is tried at
+#: the beginnings of runs only, so that a long one costs no more than its length.
+CANDIDATE = "(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{12,}"
 #: Names that announce secrets, and names that announce look-alikes.
 SECRET_NAMES = "(?i)(passw|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private)"
 OTHER_NAMES = "(?i)(commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|isbn|order|invoice|phone|card|build|version|ref|id[:=])"

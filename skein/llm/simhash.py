@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bitslice import group_within
 from .components import connected_components
-from .staging import stage
+from .staging import stage, unused
 from .words import LOWER, pieces
 
 SHINGLE_WORDS = 4
@@ -149,12 +149,13 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows of a repeated id stay or go together unless they are equal in fingerprint, when one of them stays. Rows with a
     null id stay only where the whole group has none.
     """
+    key, mark, number = (unused(docs, n) for n in ("kept_id", "kept_fp", "kept_n"))
     groups = simhash_groups(docs, id_col, text_col)
-    kept = stage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), "fp"), "kept")
-    ids = kept.select("__kept_id").distinct()
-    rows = docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if kept.groupBy("__kept_id").count().where("count > 1").isEmpty():
+    kept = stage(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), "fp"), "kept")
+    ids = kept.select(key).distinct()
+    rows = docs.join(ids, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_semi")
+    if kept.groupBy(key).agg(F.count("*").alias("count")).where("count > 1").isEmpty():
         return rows
-    marked = rows.withColumn("__kept_fp", fingerprint(F.col(f"`{text_col}`")))
-    order = Window.partitionBy(F.col(f"`{id_col}`"), "__kept_fp").orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    return marked.withColumn("__kept_n", F.row_number().over(order)).where("__kept_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = rows.withColumn(mark, fingerprint(F.col(f"`{text_col}`")))
+    order = Window.partitionBy(F.col(f"`{id_col}`"), mark).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
+    return marked.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

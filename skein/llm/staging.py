@@ -25,6 +25,14 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skein/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again: its lineage is cut, and a lost executor costs no more than a reread."""
     spark = df.sparkSession

@@ -137,8 +137,10 @@ class Encoder:
             part = new[k : k + 2000]
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer doesn't code these splits one by one")
+            if len(ends) != len(part):  # not coded one by one after all
+                each = self.tokenizer.encode_batch([s.decode() for s in part], add_special_tokens=False)
+                self.known.update((s, np.array(e.ids, np.uint32).tobytes()) for s, e in zip(part, each))
+                continue
             for split, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
                 self.known[split] = ids[a:b].tobytes()
 
@@ -201,9 +203,8 @@ def write_store(
         encoder = _encoder(tokenizer_file, end_id, splits_known)
         narrow = len(encoder.last) <= 1 << 16
         for batch in batches:
-            owner = batch.column(0).to_numpy(zero_copy_only=False)
+            owner = batch.column(0).fill_null(-(1 << 63)).to_numpy()
             shard = np.searchsorted(cuts, owner, "left")
-            shard[np.asarray(batch.column(0).is_null())] = 0
             at = 0
             for texts in pieces(batch.column(1)):
                 coded = [x.astype(np.uint16 if narrow else np.uint32).tobytes() for x in encoder.encode(texts)]

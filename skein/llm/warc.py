@@ -130,7 +130,7 @@ def canonical_url(url: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(bare, "^(?:[^/?@]*@)?([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^www\\.", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/index\\.html?$", "/"), "/+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/index\\.html?$", "/"), "(?<!/)/+$", "")
     query = F.array_sort(
         F.filter(F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING))
     )

@@ -1,0 +1,365 @@
+"""Operators against plain versions that try everything."""
+
+import decimal
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from skein.llm import bitslice, decontaminate, licenses, queries, quality_model, simhash, token_store, warc
+from skein.llm.components import connected_components
+from skein.llm.mixing import curriculum, plan_mix
+from skein.llm.secret_scan import SECRET_NAMES, labelled_findings, train, with_features
+from skein.llm.words import ALNUM
+
+
+def roots(n, pairs):
+    up = list(range(n))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+# Token store
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
+def test_codes_give_any_token_and_any_run(ids, data):
+    codes = token_store.Codes(token_store.encode_codes(np.array(ids, np.uint32)))
+    assert len(codes) == len(ids)
+    a = data.draw(st.integers(0, len(ids)))
+    b = data.draw(st.integers(a, len(ids)))
+    assert codes.slice(a, b).tolist() == ids[a:b]
+    if ids:
+        i = data.draw(st.integers(0, len(ids) - 1))
+        assert codes[i] == ids[i]
+    with pytest.raises(IndexError):
+        codes[len(ids)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60) | st.text("aB'sçÉ .,!12\n\tİ<|endoftx>", max_size=60))
+def test_cached_encoding_is_the_librarys(text):
+    encoder = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2, True)
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([text.encode("utf-8", "ignore")])[0].tolist() == want + [2]
+
+
+def test_store_of_the_small_table(spark, small):
+    got = sorted(tuple(r) for r in queries.op1_token_store(spark, small).collect())
+    tokenizer = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2, True).tokenizer
+    start, want = 0, []
+    for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_many_shards_and_segments(spark, tmp_path):
+    rows = [(k, "word " * (k % 7)) for k in random.Random(1).sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    args = (queries.public_tokenizers.path(queries.TOKENIZER), 2)
+    one = sorted(map(tuple, token_store.token_store(df, *args, splits_known=True).collect()))
+    many = sorted(map(tuple, token_store.token_store(df, *args, docs_per_shard=9, segment_tokens=20, path=str(tmp_path / "s")).collect()))
+    assert one == many
+
+
+# SimHash
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=90), st.integers(0, 6), st.randoms(use_true_random=False))
+def test_bit_sliced_groups(buckets, radius, rnd):
+    buckets = sorted(buckets)
+    base = rnd.getrandbits(64)
+    prints = np.array([base ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(9))) & (2**64 - 1) for _ in buckets], np.uint64)
+    ends = np.array([len([b for b in buckets if b <= x]) for x in buckets])
+    pairs = [(i, j) for i in range(len(buckets)) for j in range(i) if buckets[i] == buckets[j] and (int(prints[i]) ^ int(prints[j])).bit_count() <= radius]
+    assert bitslice.group_within(prints, ends, radius).tolist() == roots(len(buckets), pairs)
+
+
+def test_a_large_dense_bucket_ends_early():
+    rnd = random.Random(3)
+    prints = np.unique(np.array([sum(1 << b for b in rnd.sample(range(64), 2)) for _ in range(3000)], np.uint64))
+    assert set(bitslice.group_within(prints, np.full(len(prints), len(prints)), 4)) == {0}
+
+
+@pytest.mark.parametrize("n", [10, 10**6, 10**9, 10**12])
+def test_tables_hold_every_pair_within_the_radius(n):
+    tables = simhash.block_tables(n)
+    rnd = random.Random(n)
+    for _ in range(300):
+        x = rnd.getrandbits(64)
+        y = x ^ sum(1 << b for b in rnd.sample(range(64), 4))
+        assert any(all((x >> s & (1 << w) - 1) == (y >> s & (1 << w) - 1) for s, w in t) for t in tables)
+
+
+def test_groups_of_the_small_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    prints = []
+    for d in docs:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), d.text)) if w]
+        shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    root = roots(len(docs), pairs)
+    want = sorted((d.doc_id, f"{p:016x}", docs[root[i]].doc_id) for i, (d, p) in enumerate(zip(docs, prints)))
+    assert sorted(map(tuple, queries.op3_simhash(spark, small).collect())) == want
+
+
+def test_components(spark):
+    rnd = random.Random(5)
+    pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
+    root = roots(300, pairs)
+    df = spark.createDataFrame([*pairs, (None, 3), (7, 7)], "a long, b long")
+    linked = {x for p in pairs if p[0] != p[1] for x in p}
+    assert {tuple(r) for r in connected_components(df).collect()} == {(i, root[i]) for i in linked}
+
+
+# Decontamination
+
+
+def windows(text, item):
+    w, b = (x.encode().translate(ALNUM).split() for x in (text, item))
+    n = min(5, len(b))
+    want = Counter(tuple(b[k : k + n]) for k in range(len(b) - n + 1))
+    best = 0.0
+    size = min(len(b), len(w))
+    for s in range(len(w) - size + 1):
+        part = w[s : s + size]
+        m = min(5, len(part))
+        got = Counter(tuple(part[k : k + m]) for k in range(len(part) - m + 1))
+        best = max(best, sum((got & want).values()) / max(1, sum((got | want).values())))
+    return best
+
+
+def test_leaks_against_every_window():
+    rnd = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randrange(3, 45)))) for k in range(25)]
+    index = decontaminate.BenchmarkIndex([(k, t.encode()) for k, t in items])
+    texts = []
+    for _ in range(120):
+        words = rnd.choices(vocabulary, k=rnd.randrange(0, 80))
+        if rnd.random() < 0.7:
+            part = rnd.choice(items)[1].split()
+            for _ in range(rnd.choice((0, 0, 1, 2))):
+                part[rnd.randrange(len(part))] = "edit"
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = part
+        texts.append(" ".join(words))
+    found = [{(i, round(s, 9)) for i, s, _, _ in r} for r in index.scan([t.encode() for t in texts])]
+    want = [{(k, round(s, 9)) for k, item in items if (s := windows(t, item)) >= decontaminate.SIMILARITY} for t in texts]
+    assert sum(map(len, want)) > 30 and found == want
+
+
+# Quality
+
+
+def test_classifier_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op2_quality_model(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    right = sum((r.predicted == 1) == (r.quality == 1) for r in got) / len(got)
+    good = [r.predicted for r in got if r.quality == 1]
+    assert right >= 0.95 and sum(good) / len(good) >= 0.98
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_slots_stay_inside_their_text():
+    texts = [b"a b", b"", b"c c c", b"d"]
+    slots, begins = quality_model.ngram_slots(texts)
+    assert np.diff(begins).tolist() == [3, 0, 5, 1]
+    alone = [quality_model.ngram_slots([t])[0].tolist() for t in texts]
+    assert [slots[a:b].tolist() for a, b in zip(begins, begins[1:])] == alone
+    assert alone[2][3:] == [quality_model.TWICE] * 2
+
+
+# Licences
+
+
+def test_notices_with_errors():
+    cases = {
+        "Released undr the MIT License": ("", "mit"),
+        "under the MPL License": ("", ""),
+        "GNU General Pubic Licence version 3": ("", "gpl-3"),
+        "GNU General Public License version 2": ("", "gpl-2"),
+        "Apache License, Version 2.0 and CC BY-NC 4.0": ("apache-2,cc-by-nc", "apache-2,cc-by-nc"),
+        "no notice": ("", ""),
+    }
+    for text, (base, labels) in cases.items():
+        row = licenses.scan([text.encode()])[0]
+        assert (row["base_labels"], row["labels"]) == (base, labels), text
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(sorted(licenses.NOTICES)), st.data())
+def test_any_edits_within_the_bound_are_found(notice, data):
+    text = list(notice)
+    kept = {"cc", "by", "nc", "sa", "bsd", "gnu", "2", "3"}
+    free = [i for w in re.finditer(r"\S+", notice) if w.group() not in kept for i in range(w.start() + 1, w.end() - 1)]
+    for i in data.draw(st.lists(st.sampled_from(free), max_size=licenses.allowed_errors(notice), unique=True)):
+        text[i] = "#"  # no letter of any notice; after the scan's own cut it would part the word, so it is put in below
+    edited = "".join(text).replace("#", "q")
+    found = {x[0]: x[1] for x in licenses.fuzzy_notices(f"some {edited} here".encode())}
+    assert licenses.NOTICES[notice] in found
+
+
+def test_base_places():
+    row = licenses.scan(["cc by nc x cc-by-nc, under the MIT license".encode()])[0]
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["score"]) == (11, 3, 0, 7, 1.0)
+
+
+# Mixing
+
+
+@pytest.fixture(scope="module")
+def plan(spark, small):
+    return plan_mix(spark.read.parquet(f"{small}/documents.parquet")).collect()
+
+
+def test_targets_and_taken_words(spark, small, plan):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    size = {d: len(re.findall("[^\x20\x09-\x0d]+", r.text)) for d, r in docs.items()}
+    names = sorted({r.source for r in docs.values()})
+    own = {s: sum(size[d] for d, r in docs.items() if r.source == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, left, open_ = {}, float(sum(own.values())), set(names)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * own[s]}
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 3.0 * own[s]
+            left -= target[s]
+        open_ -= full
+    for r in plan:
+        assert r.size == size[r.doc_id] and r.source_size == own[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert 0 <= r.taken <= 3 * r.size and len(r.positions) == -(-r.taken // max(1, r.size)) or r.size == 0
+    for s in names:
+        assert abs(sum(r.taken for r in plan if r.source == s) - target[s]) <= 0.5
+
+
+def test_times_invert_the_integrated_schedules(plan):
+    for s in {r.source for r in plan}:
+        rows = [r for r in plan if r.source == s]
+        uses = sorted((p, r) for r in rows for p in r.positions)
+        assert all(0 <= p <= 1 for p, _ in uses)
+        slope = {0: 0.0, 1: -0.5, 2: 0.5}[sorted({r.source for r in plan}).index(s) % 3]
+        before = 0
+        for k, (p, r) in enumerate(uses):
+            assert abs(r.target * (p + slope * (p * p - p)) - before) < 1e-3
+            before += r.size
+
+
+def test_curriculum_repeats_whole_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    uses = Counter(r.doc_id for r in curriculum(docs).collect())
+    want = {r.doc_id: len(r.positions) for r in plan_mix(docs, whole_documents=True).collect() if r.positions}
+    assert uses == want
+
+
+# WARC
+
+
+def test_records_and_revisits(spark):
+    def record(kind, rid, url, date, status, headers, body=b""):
+        head = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+        block = f"HTTP/1.1 {status}\r\n{head}\r\n".encode() + body
+        return (
+            f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n"
+            f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        ).encode() + block + b"\r\n\r\n"
+
+    import gzip
+
+    day = "2024-01-{:02}T00:00:00Z".format
+    data = b"".join(
+        [
+            record("response", "r1", "http://www.a.com/x", day(1), "200 OK", {"ETag": '"1"', "Content-Length": 5, "Age": 1}, b"body1"),
+            record("response", "r2", "https://a.com/x/", day(3), "200 OK", {"ETag": '"2"', "Vary": "x"}, b"WARC/1.1 inside"),
+            record("response", "r3", "https://a.com/x/", day(4), "404 Not Found", {"ETag": '"2"'}, b"no"),
+            record("revisit", "v1", "http://a.com/x#f", day(2), "304 Not Modified", {"ETag": 'W/"1"', "Age": 9, "Content-Type": "t"}),
+            record("revisit", "v2", "http://a.com/x", day(3), "304 Not Modified", {"ETag": '"2"'}),
+            record("revisit", "v3", "http://a.com/x", day(5), "304 Not Modified", {"ETag": '"2"', "Expires": "0"}),
+            record("revisit", "v4", "http://a.com/x", day(1), "304 Not Modified", {}),
+            record("revisit", "v5", "http://a.com/x", day(6), "304 Not Modified", {}),
+        ]
+    )
+    df = spark.createDataFrame([(1, data), (2, gzip.compress(data))], "k long, data binary")
+    one, two = (warc.parse_warc(df.where(f"k = {k}"), "k", "data").drop("source_key").collect() for k in (1, 2))
+    assert one == two and [r.payload for r in one][:2] == [b"body1", b"WARC/1.1 inside"]
+    records = warc.parse_warc(df.where("k = 1"), "k", "data").cache()
+    for chunk in ("day", "year"):
+        out = {r.record_id: r for r in warc.resolve_revisits(records, chunk).collect()}
+        got = {k: (r.outcome, r.refers_to) for k, r in out.items()}
+        assert got == {
+            "v1": ("resolved", "r1"), "v2": ("validator_mismatch", None), "v3": ("resolved", "r2"), "v4": ("no_earlier_response", None), "v5": ("unverified", "r2"),
+        }
+        assert out["v1"].headers == {"etag": 'W/"1"', "content-length": "5", "age": "9"}
+    full = {r.record_id: r.payload for r in warc.attach_payload(warc.resolve_revisits(records), records).collect()}
+    assert full["v3"] == b"WARC/1.1 inside"
+
+
+# Secrets
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    model = train(labelled_findings(spark))
+    unseen = labelled_findings(spark, 8000).exceptAll(labelled_findings(spark))
+    got = model.transform(with_features(unseen)).select("label", "prediction").collect()
+    assert sum(r.label == r.prediction for r in got) / len(got) > 0.97
+    assert re.search(SECRET_NAMES, "password=")
+
+
+# Queries with SQL
+
+
+def shown(x):
+    if x is None or isinstance(x, bool):
+        return str(x)
+    return f"{float(x):.6f}" if isinstance(x, (int, float, decimal.Decimal)) else str(x)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_agrees_with_sql(spark, oracle, small, name):
+    df = queries.queries()[name](spark, small)
+    result = oracle.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in result.description]
+    assert sorted(names) == sorted(df.columns)
+    pick = [names.index(c) for c in df.columns]
+    want = sorted(tuple(shown(r[k]) for k in pick) for r in result.fetchall())
+    assert sorted(tuple(map(shown, r)) for r in df.collect()) == want
+
+
+def test_lines_with_variable_fields_recur(spark):
+    from skein.llm.line_templates import drop_recurring_lines
+
+    rows = [(k, f"own words of document number {'abcdefg'[k]}{'x' * k}\nposted on day {k} by user number {k * 7}\nsame footer line") for k in range(5)]
+    out = {r.doc_id: r.text for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].count("\n") == 2 and all(out[k].count("\n") <= 1 and "posted" not in out[k] and "footer" not in out[k] for k in range(1, 5))
+
+
+def test_pipeline_runs_as_its_stages(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, small)
+    assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, small).collect()))
