@@ -44,7 +44,7 @@ def summarise(messages: DataFrame, most_tokens: int = 100, keep: int = 1, chars:
         .withColumn("from_end", F.row_number().over(w.orderBy(F.desc("seq"))))
         .withColumn("is_old", (F.col("tokens") > most_tokens) & (F.col("from_end") > keep))
     )
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.left(F.coalesce("content", F.lit("")), F.lit(chars)).alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("seq", F.left(F.coalesce("content", F.lit("")), F.lit(chars)).alias("t"))))
     summaries = (
         marked.where("is_old")
         .groupBy("thread_id")

@@ -142,4 +142,4 @@ def best_passage(ranked: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame
 
 def joined_passages(passages: DataFrame, text: str = "chunk", order: str = "rank") -> DataFrame:
     """All passages of a result in order, joined by line feeds."""
-    return passages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("passages"))
+    return passages.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("passages"))

@@ -115,7 +115,7 @@ def thread_title(messages: DataFrame) -> DataFrame:
 def trace(messages: DataFrame, sep: str = "\n") -> DataFrame:
     """Each thread as one text of ``role: content`` lines in order."""
     line = F.struct("seq", F.concat_ws(": ", "role", "content").alias("line"))
-    parts = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    parts = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
     return messages.groupBy("thread_id").agg(F.array_join(parts, sep).alias("trace"), F.count("*").alias("n_messages"))
 
 

@@ -54,8 +54,16 @@ def _children(node) -> list:
     return found + ([plan] if plan is not None else [])
 
 
+_methods: dict[str, set[str]] = {}
+
+
 def _has(node, method: str) -> bool:
-    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    """Whether a plan node or expression has a method without parameters; asked of the JVM once for each class."""
+    kind = node.getClass()
+    name = kind.getName()
+    if name not in _methods:
+        _methods[name] = {m for m in ("expressions", "plan") if any(x.getName() == m and x.getParameterCount() == 0 for x in kind.getMethods())}
+    return method in _methods[name]
 
 
 def parsed_names(spark: SparkSession, query: str) -> tuple[set[str], set[str], set[str]]:

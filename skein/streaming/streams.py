@@ -48,7 +48,7 @@ def join_within(left: DataFrame, right: DataFrame, key: str, seconds: int, late:
 
 def concat_tokens(chunks: DataFrame) -> DataFrame:
     """Batch: chunks (thread_id, msg_id, seq, text) joined in order, empty ones skipped."""
-    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("seq", "text"))))
+    parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("seq", "text"))))
     return chunks.groupBy("thread_id", "msg_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("content"))
 
 
