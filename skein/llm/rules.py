@@ -54,7 +54,7 @@ def with_counts(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame
     n = F.size(w)
     windows = F.when(
         n >= 3,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
             )
@@ -62,7 +62,7 @@ def with_counts(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame
     ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
     step = step.withColumn(name, c.withField("windows", windows))
     s = c["windows"]
-    repeats = F.array_sort(
+    repeats = F.sort_array(
         F.transform(
             F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])), lambda x: x["p"]
         )
