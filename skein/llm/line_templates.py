@@ -59,7 +59,7 @@ def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     line = kept.groupBy("leaf", "mh").agg(
         F.count("*").alias("n"),
         F.count("is_shared").alias("n_kept"),
-        F.array_sort(F.collect_list(F.when(F.col("is_shared") == 1, F.struct("p", "t")))).alias("parts"),
+        F.sort_array(F.collect_list(F.when(F.col("is_shared") == 1, F.struct("p", "t")))).alias("parts"),
     )
     return line.where(F.col("n_kept") >= SIMILARITY * F.col("n")).select(
         "mh", F.xxhash64("leaf", "n", F.transform("parts", lambda x: F.xxhash64(x["p"], x["t"]))).alias("template")
