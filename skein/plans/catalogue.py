@@ -92,7 +92,7 @@ def q_popular(spark, d):
 
 @query("SELECT p_type, count(*) AS n_parts, sum(cast(p_retailprice AS decimal(18,2))) AS cost FROM part GROUP BY p_type")
 def q_playlist_totals(spark, d):
-    return _t(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n_parts"), F.sum(F.col("p_retailprice").cast("decimal(18,2)")).alias("cost"))
+    return _t(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n_parts"), F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("cost"))
 
 
 @query(M + "SELECT thread_id, arg_max(content, seq) FILTER (role = 'ai') AS args, arg_max(id, seq) FILTER (role = 'ai') AS call_id FROM m GROUP BY thread_id")
@@ -179,8 +179,8 @@ def q_remove_at(spark, d):
 
 @query(
     K
-    + """SELECT thread_id, coalesce(sum(CASE WHEN role <> 'ai' THEN n END), 0) AS prompt_tokens,
-coalesce(sum(CASE WHEN role = 'ai' THEN n END), 0) AS completion_tokens, sum(n) AS total_tokens
+    + """SELECT thread_id, cast(coalesce(sum(CASE WHEN role <> 'ai' THEN n END), 0) AS bigint) AS prompt_tokens,
+cast(coalesce(sum(CASE WHEN role = 'ai' THEN n END), 0) AS bigint) AS completion_tokens, cast(sum(n) AS bigint) AS total_tokens
 FROM (SELECT *, cast(ceil(length(content) / 4) AS bigint) AS n FROM c) GROUP BY thread_id"""
 )
 def q_token_usage(spark, d):
@@ -216,7 +216,7 @@ def q_keep_last_n(spark, d):
     return C.keep_last(_turns(spark, d), 1).select("thread_id", "seq", "role")
 
 
-@query(K + "SELECT thread_id, seq, sum(length(content)) OVER (PARTITION BY thread_id ORDER BY seq) AS running_chars FROM c")
+@query(K + "SELECT thread_id, seq, cast(sum(length(content)) OVER (PARTITION BY thread_id ORDER BY seq) AS bigint) AS running_chars FROM c")
 def q_running_chars(spark, d):
     return C.running_size(_turns(spark, d)).select("thread_id", "seq", "running_chars")
 
@@ -224,7 +224,7 @@ def q_running_chars(spark, d):
 @query(
     K
     + """SELECT *, tokens > 100 AS is_due FROM
-(SELECT thread_id, count(*) AS n_messages, sum(cast(ceil(length(content) / 4) AS bigint)) AS tokens FROM c GROUP BY thread_id)"""
+(SELECT thread_id, count(*) AS n_messages, cast(sum(cast(ceil(length(content) / 4) AS bigint)) AS bigint) AS tokens FROM c GROUP BY thread_id)"""
 )
 def q_summary_trigger(spark, d):
     return C.summary_trigger(_turns(spark, d))
@@ -674,7 +674,7 @@ def q_rollup_events(spark, d):
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(cast(o_totalprice AS decimal(18,2))) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def q_cube_orders(spark, d):
-    return _t(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    return _t(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
@@ -689,7 +689,7 @@ WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)"""
 def q_rank_parts(spark, d):
     w = Window.partitionBy("p_brand").orderBy("p_size")
     q = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    return _t(spark, d, "part").select("p_partkey", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(q).alias("quarter"))
+    return _t(spark, d, "part").select("p_partkey", *[f.cast("long").alias(n) for f, n in ((F.rank().over(w), "r"), (F.dense_rank().over(w), "dr"), (F.ntile(4).over(q), "quarter"))])
 
 
 @query(
