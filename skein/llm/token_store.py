@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import table_path
-from .words import MEMORY, pieces
+from .words import pieces
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 MAGIC = b"DAC1"
+#: Splits whose ids a worker remembers; beyond, it keeps those of the texts at hand.
+KNOWN = 400_000
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -124,41 +126,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.end = np.array([end_id], np.uint32)
         self.splits_known = splits_known
         self.known: dict[bytes, bytes] = {}
         names = self.tokenizer.get_vocab()
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.dtype = np.dtype("<u2" if len(self.last) <= 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.dtype).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode many splits as one text; the last id of each carries the word end."""
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
+        for k in range(0, len(new), 200):
+            part = new[k : k + 200]
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # not coded one by one after all
                 each = self.tokenizer.encode_batch([s.decode() for s in part], add_special_tokens=False)
-                self.known.update((s, np.array(e.ids, np.uint32).tobytes()) for s, e in zip(part, each))
+                self.known.update((s, np.array(e.ids, self.dtype).tobytes()) for s, e in zip(part, each))
                 continue
-            for split, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist()):
-                self.known[split] = ids[a:b].tobytes()
+            data, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
+            self.known.update((split, data[a:b]) for split, a, b in zip(part, [0, *cuts], cuts))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids and the end id, little-endian, in ``dtype``."""
         decoded = [t.decode("utf-8", "replace") for t in texts]
         plain = [self.splits_known and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in decoded]
         splits = [_SPLITS.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        self._learn(list(set(chain.from_iterable(splits)) - self.known.keys()))
+        seen = set(chain.from_iterable(splits))
+        if len(self.known) > KNOWN:
+            self.known = {s: self.known[s] for s in seen & self.known.keys()}
+        self._learn(list(seen - self.known.keys()))
         whole = iter(self.tokenizer.encode_batch([t for t, p in zip(decoded, plain) if not p], add_special_tokens=False))
         get = self.known.__getitem__
-        return [
-            np.concatenate(
-                [np.frombuffer(b"".join(map(get, s)), np.uint32) if p else np.array(next(whole).ids, np.uint32), self.end]
-            )
-            for s, p in zip(splits, plain)
-        ]
+        return [(b"".join(map(get, s)) if p else np.array(next(whole).ids, self.dtype).tobytes()) + self.end for s, p in zip(splits, plain)]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -201,13 +201,13 @@ def write_store(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file, end_id, splits_known)
-        narrow = len(encoder.last) <= 1 << 16
+        narrow = encoder.dtype.itemsize == 2
         for batch in batches:
             owner = batch.column(0).fill_null(-(1 << 63)).to_numpy()
             shard = np.searchsorted(cuts, owner, "left")
             at = 0
             for texts in pieces(batch.column(1)):
-                coded = [x.astype(np.uint16 if narrow else np.uint32).tobytes() for x in encoder.encode(texts)]
+                coded = encoder.encode(texts)
                 rows = slice(at, at + len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], pa.array(shard[rows], pa.int32()), pa.array([narrow] * len(texts)), pa.array(coded, pa.binary())],
