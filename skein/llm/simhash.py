@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,12 @@ SEED = 42
 RADIUS = 4
 #: Fingerprints that should share a bucket by chance, at most, when the number of blocks is chosen.
 CHANCE_BUCKET = 64
+#: Fingerprints of a bucket that are compared with each other at once; larger buckets are cut by more bits.
+MOST_COMPARED = 1 << 16
+#: Bits of which a bucket's fingerprints can't make more than MOST_COMPARED different ones.
+SMALL_BITS = 16
+#: Rows of the multi-index that a task sorts.
+TASK_ROWS = 4_000_000
 
 
 def bit_majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -82,43 +88,125 @@ def block_tables(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
     raise AssertionError
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _pack(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each fingerprint, side by side."""
+    out = np.zeros(len(fp), np.int64)
+    for i, bit in enumerate(bits):
+        out |= (fp >> bit & 1) << i
+    return out
+
+
+class Buckets:
+    """Buckets of one level of the multi-index, read in order by a task that holds a bounded number of rows.
+
+    Buckets of at most ``most`` fingerprints are compared. A larger one is cut by the bits that its key doesn't have yet: in
+    radius + 1 blocks, of which any pair within the radius shares one. At ``SMALL_BITS`` free bits a bucket can't be large.
+    """
+
+    def __init__(self, tables: list[list[tuple[int, int]]], level: int, radius: int, most: int):
+        self.tables, self.level, self.radius, self.most = tables, level, radius, most
+        self.free: dict[int, list[int]] = {}
+
+    def free_bits(self, t: int) -> list[int]:
+        """Bits that are not in the keys of a table. A table's number ends with the blocks chosen at each level."""
+        if t not in self.free:
+            table, chosen = t, []
+            for _ in range(self.level):
+                table, j = divmod(table, self.radius + 1)
+                chosen.append(j)
+            taken = {b for first, w in self.tables[table] for b in range(first, first + w)}
+            bits = [b for b in range(64) if b not in taken]
+            for j in reversed(chosen):
+                gone = set(self.cut(bits)[j])
+                bits = [b for b in bits if b not in gone]
+            self.free[t] = bits
+        return self.free[t]
+
+    def cut(self, bits: list[int]) -> list[list[int]]:
+        parts = self.radius + 1
+        return [bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)]
+
+    def passed_on(self, t: int, key: int, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The rows of a large bucket under the next level's keys."""
+        for j, bits in enumerate(self.cut(self.free_bits(t))):
+            keys = np.int64(key) << np.int64(len(bits)) | _pack(fp, bits)
+            yield _rows(fp, keys, np.full(len(fp), t * (self.radius + 1) + j))
+
+    def compared(self, fp: np.ndarray, firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.repeat([*firsts[1:].tolist(), len(fp)], np.diff([*firsts.tolist(), len(fp)]))
+        root = group_within(fp.view(np.uint64), ends, self.radius)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        if len(linked):
+            yield _rows(fp[linked], fp[root[linked]], np.full(len(linked), -1))
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``batches``: fp, t, key, in order of t and key. Gives links (t is -1) and rows of the next level."""
+        held = np.empty((3, 0), np.int64)
+        parts: list[np.ndarray] = []
+        passing = None  # the large bucket whose rows are on their way
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                parts.append(np.stack([batch.column(k).to_numpy() for k in range(3)]))
+                if held.shape[1] + sum(p.shape[1] for p in parts) <= 2 * self.most:
+                    continue
+            held, parts = np.concatenate([held, *parts], axis=1), []
+            fp, t, key = held
+            firsts = np.flatnonzero(np.concatenate([[len(t) > 0], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])[: len(t)])
+            sizes = np.diff([*firsts.tolist(), len(t)])
+            small = np.ones(len(t), bool)
+            for k, (at, size) in enumerate(zip(firsts.tolist(), sizes.tolist())):
+                name = (int(t[at]), int(key[at]))
+                if name == passing or size > self.most and len(self.free_bits(name[0])) > SMALL_BITS:
+                    yield from self.passed_on(*name, fp[at : at + size])
+                    small[at : at + size] = False
+                    passing = name
+            last = int(firsts[-1]) if len(firsts) and batch is not None else len(t)
+            now = np.flatnonzero(small[:last])
+            places = np.cumsum(small) - 1
+            begun = firsts[(firsts < last) & small[firsts]] if len(firsts) else firsts
+            if len(now):
+                yield from self.compared(np.ascontiguousarray(fp[now]), places[begun])
+            held = np.ascontiguousarray(held[:, last:][:, small[last:]])
+
+
+def _rows(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, t)], ["a", "b", "t"])
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST_COMPARED) -> DataFrame:
     """``distinct``: one row per fingerprint (column fp, long). Returns links a, b that join all near fingerprints.
 
-    Each bucket's pairs are compared bit-sliced in one task, which hands on at most one link per fingerprint. A bucket of
-    near fingerprints merges early and then has nothing left to compare.
+    The pairs of each bucket are compared bit-sliced in one task, which hands on at most one link per fingerprint. A bucket
+    of more than ``most`` fingerprints isn't compared at once: its rows go to smaller buckets, level by level, until none is
+    left. Tasks read sorted rows and hold no more than a few times ``most`` of them; their number grows with the rows.
     """
-    tables = block_tables(distinct.count(), radius)
+    spark = distinct.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = distinct.count()
+    tables = block_tables(n, radius)
     keys = []
     for t, spans in enumerate(tables):
         key, width = F.lit(0).cast("long"), 0
         for first, w in spans:
             key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << w) - 1)), width))
             width += w
-        keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        fp, t, key = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
-        order = np.lexsort((fp, key, t))
-        fp, t, key = fp[order], t[order], key[order]
-        last = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        edges = np.concatenate([[0], last, [len(fp)]])
-        ends = np.repeat(edges[1:], np.diff(edges))
-        root = group_within(fp.view(np.uint64), ends, radius)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["a", "b"])
-
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        distinct.select("fp", F.explode(F.array(*keys)).alias("k"))
-        .select("fp", "k.t", "k.key")
-        .repartition(n, "t", "key")
-        .mapInArrow(compare, "a long, b long")
-    )
+        keys.append(F.struct(F.lit(t).cast("long").alias("t"), key.alias("key")))
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
+    size, level, links = n * len(tables), 0, None
+    while True:
+        found = stage(
+            rows.repartition(max(least, -(-size // TASK_ROWS)), "t", "key")
+            .sortWithinPartitions("t", "key")
+            .mapInArrow(Buckets(tables, level, radius, most).read, "a long, b long, t long"),
+            "near",
+        )
+        new = found.where("t < 0").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        rows = found.where("t >= 0").select(F.col("a").alias("fp"), "t", F.col("b").alias("key"))
+        size = rows.count()
+        level += 1
+        if not size:
+            return links
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

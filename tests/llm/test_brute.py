@@ -110,6 +110,39 @@ def test_tables_hold_every_pair_within_the_radius(n):
         assert any(all((x >> s & (1 << w) - 1) == (y >> s & (1 << w) - 1) for s, w in t) for t in tables)
 
 
+def test_large_buckets_are_cut_without_losing_a_link(spark):
+    rnd = random.Random(5)
+    base = rnd.getrandbits(64)
+    # a third of all share 40 bits, so that their buckets are large on every level; the rest are near or far of them
+    prints = {base ^ (rnd.getrandbits(24) & rnd.getrandbits(24) & rnd.getrandbits(24)) for _ in range(150)}
+    for _ in range(300):
+        prints.add(rnd.choice(sorted(prints)) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(2, 9))))
+    prints = sorted(prints)
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    want = roots(len(prints), pairs)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    place = {p: i for i, p in enumerate(signed)}
+    distinct = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for most in (4, 40):
+        links = [(place[r.a], place[r.b]) for r in simhash.near_links(distinct, 4, most).collect()]
+        assert all(want[i] == want[j] for i, j in links)
+        assert roots(len(prints), links) == want
+
+
+def test_buckets_are_read_in_bounded_parts():
+    rnd = random.Random(6)
+    rows = sorted((t, key, rnd.getrandbits(62)) for t in range(3) for key in range(4) for _ in range(rnd.choice([1, 3, 60])))
+    columns = [np.array([r[k] for r in rows], np.int64) for k in (2, 0, 1)]
+    batches = [
+        simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c[a : a + 7]) for c in columns], ["fp", "t", "key"]) for a in range(0, len(rows), 7)
+    ]
+    tables = [[(13 * t, 13)] for t in range(3)]
+    out = [r for b in simhash.Buckets(tables, 0, 4, 20).read(iter(batches)) for r in b.to_pylist() if r["t"] >= 0]
+    sizes = {(t, key): len([r for r in rows if r[:2] == (t, key)]) for t, key, _ in rows}
+    assert sorted((r["t"], r["a"]) for r in out) == sorted((5 * t + j, fp) for t, key, fp in rows if sizes[t, key] > 20 for j in range(5))
+    assert not list(simhash.Buckets(tables, 0, 4, 20).read(iter([])))
+
+
 def test_groups_of_the_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     prints = []
