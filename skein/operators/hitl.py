@@ -110,6 +110,11 @@ def valid_request(actions: Column, configs: Column) -> Column:
     return F.coalesce((F.size(actions) > 0) & (F.size(configs) > 0), F.lit(False))
 
 
+def has_several(responses: Column) -> Column:
+    """Whether there is more than one response to choose from."""
+    return F.coalesce(F.size(present(responses)) > 1, F.lit(False))
+
+
 def present(interrupts: Column) -> Column:
     """A list of interrupts without nulls."""
     return F.filter(interrupts, lambda x: x.isNotNull())

@@ -20,6 +20,19 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     return filled.select(*left.columns, *[F.col("__r")[c].alias(c) for c in right_cols])
 
 
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, seconds: int) -> DataFrame:
+    """Pairs of equal key of which the right one comes at most so many seconds after the left one (at once counts too).
+
+    Time is cut into bins of that length: a left row looks into its own bin and the next, so the join is on key and bin, and
+    a frequent key is spread over its bins. ``right`` has the key under the same name.
+    """
+    bin_of = lambda c: F.floor(F.unix_micros(c) / F.lit(seconds * 1_000_000)).cast("long")
+    a = left.withColumn("__bin", F.explode(F.array(bin_of(F.col(left_ts)), bin_of(F.col(left_ts)) + 1)))
+    b = right.withColumn("__bin", bin_of(F.col(right_ts)))
+    later = F.unix_micros(F.col(right_ts)) - F.unix_micros(F.col(left_ts))
+    return a.join(b, [key, "__bin"]).where(later.between(0, seconds * 1_000_000)).drop("__bin")
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)

@@ -91,6 +91,16 @@ def threads_without(messages: DataFrame, *roles: str) -> DataFrame:
     )
 
 
+def spoken(messages: DataFrame) -> DataFrame:
+    """Messages that have content."""
+    return messages.where("content is not null and content <> ''")
+
+
+def has_args(calls: Column) -> Column:
+    """Whether any call (a struct with the map ``args``) has arguments."""
+    return F.coalesce(F.exists(calls, lambda c: F.size(c["args"]) > 0), F.lit(False))
+
+
 def side(role: Column) -> Column:
     """Who a message is shown for: the human, or else the assistant."""
     return F.when(role == "human", "human").otherwise("assistant")

@@ -100,6 +100,12 @@ def q_last_tool_call(spark, d):
     return T.last_tool_call(_messages(spark, d))
 
 
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY o_orderstatus")
+def q_sql_parameters(spark, d):
+    text = "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > :least GROUP BY o_orderstatus"
+    return _sqltool(spark, d).plan(text, {"least": 150000})
+
+
 # Traces --------------------------------------------------------------------------------------------------------------
 
 
@@ -736,6 +742,216 @@ def q_web_search(spark, d):
     return calls.keyword_search(_t(spark, d, "pages"), "html", ["the", "article"]).select("page_id", "hits")
 
 
+# Smaller operators ---------------------------------------------------------------------------------------------------
+
+
+@query(M + "SELECT thread_id, seq, role FROM m WHERE role <> 'tool'")
+def q_hide_tools(spark, d):
+    return T.visible(_messages(spark, d), hide_tools=True).select("thread_id", "seq", "role")
+
+
+@query(K + "SELECT thread_id, seq, CASE WHEN role = 'human' THEN 'human' ELSE 'assistant' END AS side FROM c WHERE content IS NOT NULL AND content <> ''")
+def q_message_sides(spark, d):
+    return T.spoken(_turns(spark, d)).select("thread_id", "seq", T.side(F.col("role")).alias("side"))
+
+
+@query(M + """SELECT id, role || ': ' || content || CASE WHEN role = 'ai' THEN ' - Tool calls: [{"name":"' || tool_name || '"}]' ELSE '' END AS label FROM m""")
+def q_label_text(spark, d):
+    made = F.when(F.col("role") == "ai", F.array(F.struct(F.col("tool_name").alias("name"))))
+    return _messages(spark, d).select("id", T.label_text(F.col("role"), F.col("content"), made).alias("label"))
+
+
+@query("SELECT conv_id, turn, role <> 'system' AS is_message FROM conversations")
+def q_well_formed(spark, d):
+    keys = F.when(F.col("role") == "system", F.array(*map(F.lit, ("id", "type", "content")))).otherwise(
+        F.array(*map(F.lit, ("id", "type", "content", "additional_kwargs")))
+    )
+    element = F.map_from_arrays(keys, F.transform(keys, lambda _: F.col("text")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.well_formed(F.array(element)).alias("is_message"))
+
+
+@query(
+    """SELECT event_id, event_type <> 'click' AND value >= 20 AS is_valid, (event_type <> 'click')::INT + (value >= 20)::INT AS n_present,
+event_type <> 'click' AND value >= 20 AS has_several, value >= 50 AS has_args FROM events"""
+)
+def q_request_shapes(spark, d):
+    action = F.when(F.col("event_type") != "click", F.col("event_type"))
+    config = F.when(F.col("value") >= 20, F.lit("approve"))
+    pair = F.array(action, config)
+    args = F.when(F.col("value") >= 50, F.create_map(F.lit("k"), F.col("props"))).otherwise(F.create_map().cast("map<string,string>"))
+    return _t(spark, d, "events").select(
+        "event_id",
+        H.valid_request(H.present(F.array(action)), H.present(F.array(config))).alias("is_valid"),
+        F.size(H.present(pair)).alias("n_present"),
+        H.has_several(pair).alias("has_several"),
+        T.has_args(F.array(F.struct(args.alias("args")))).alias("has_args"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN value >= 50 THEN 'was' ELSE event_type END AS a, 1::INT AS n_args FROM events")
+def q_reset_args(spark, d):
+    initial = F.when(F.col("value") >= 50, F.create_map(F.lit("a"), F.lit("was"), F.lit("b"), F.lit("x"))).otherwise(F.create_map(F.lit("b"), F.lit("x")))
+    put_back = H.reset_args(F.create_map(F.lit("a"), F.col("event_type")), initial)
+    return _t(spark, d, "events").select("event_id", put_back["a"].alias("a"), F.size(put_back).alias("n_args"))
+
+
+@query(
+    M
+    + """SELECT u.event_id - 1 AS message_id, u.event_id AS ui_id, m.thread_id, m.role FROM events u JOIN m ON m.id = u.event_id - 1
+WHERE u.event_type = 'signup'"""
+)
+def q_ui_events(spark, d):
+    ui = _t(spark, d, "events").where("event_type = 'signup'").select((F.col("event_id") - 1).alias("message_id"), F.col("event_id").alias("ui_id"))
+    return T.ui_events_of_messages(ui, _messages(spark, d)).select("message_id", "ui_id", "thread_id", "role")
+
+
+@query(
+    M
+    + """SELECT thread_id, id AS tool_call_id, 'tool' AS role, 'Successfully handled tool call.' AS content FROM m WHERE role = 'ai'
+AND NOT EXISTS (SELECT 1 FROM m t WHERE t.role = 'tool' AND t.thread_id = m.thread_id AND t.tool_call_id = m.id)"""
+)
+def q_orphan_answers(spark, d):
+    return T.answers_for_orphans(_messages(spark, d))
+
+
+@query(_REQUESTS_SQL + "SELECT request_id, count(*) FILTER (WHERE (request_id + place) % 3 <> 0) = count(*) AS is_complete FROM a GROUP BY request_id")
+def q_decisions_complete(spark, d):
+    a = H.config_of_actions(_requests(spark, d)).select("request_id", "place")
+    return H.decisions_complete(a.where((F.col("request_id") + F.col("place")) % 3 != 0), a)
+
+
+@query(
+    _REQUESTS_SQL
+    + """SELECT request_id, place, CASE WHEN request_id % 5 < 2 THEN 'edit' WHEN list_contains(allowed, 'approve') THEN 'approve'
+WHEN request_id % 2 = 0 THEN 'reject' END AS submit FROM a"""
+)
+def q_submit_type(spark, d):
+    i = F.col("request_id")
+    return H.config_of_actions(_requests(spark, d)).select("request_id", "place", H.submit_type(i % 5 < 2, F.col("allowed"), i % 2 == 0).alias("submit"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN 'check_inbox,send_email' ELSE 'authenticate' END AS tools FROM customer")
+def q_login_gate(spark, d):
+    third = F.col("c_nationkey") % 3
+    return _t(spark, d, "customer").select("c_custkey", F.array_join(G.gate_by_login(F.when(third > 0, third == 1)), ",").alias("tools"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS is_same FROM supplier")
+def q_credentials(spark, d):
+    given = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name"))
+    none = F.lit(None).cast("string")
+    return _t(spark, d, "supplier").select("s_suppkey", G.same_credentials(given, none, F.col("s_name"), none).alias("is_same"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'none stored' ELSE c_mktsegment END AS colour,
+CASE WHEN c_nationkey % 2 = 0 THEN '{"segment":"' || c_mktsegment || '"}' ELSE 'none stored' END AS preferences FROM customer"""
+)
+def q_read_state(spark, d):
+    fields = F.when(F.col("c_nationkey") % 2 == 0, F.create_map(F.lit("segment"), F.col("c_mktsegment"))).otherwise(F.create_map().cast("map<string,string>"))
+    colour = ST.read_or(F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")), "none stored")
+    return _t(spark, d, "customer").select("c_custkey", colour.alias("colour"), ST.map_or(fields, "none stored").alias("preferences"))
+
+
+@query(
+    """WITH u AS (SELECT user_id AS thread_id, event_type AS key, value, event_id AS seq FROM events
+UNION ALL SELECT DISTINCT user_id, unnest(['view', 'plan']), 0.5, -1 FROM events)
+SELECT thread_id, key, arg_max(value, seq) AS value FROM u GROUP BY thread_id, key"""
+)
+def q_seeded_state(spark, d):
+    e = _t(spark, d, "events")
+    seeds = e.select(F.col("user_id").alias("thread_id")).distinct().select("thread_id", F.explode(F.array(F.lit("view"), F.lit("plan"))).alias("key"), F.lit(0.5).alias("value"))
+    updates = e.select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("key"), "value", F.col("event_id").alias("seq"), F.col("event_id").alias("id"))
+    return ST.fold_updates(ST.seeded(seeds, updates))
+
+
+@query(f"SELECT string_agg(cast(vec_id AS varchar), chr(10) ORDER BY similarity DESC, vec_id) AS passages FROM ({_NEAR.format('', 4)})")
+def q_joined_passages(spark, d):
+    near = V.nearest(_t(spark, d, "embeddings").where("vec_id <> 0"), _query_vector(spark, d))
+    return V.joined_passages(near.select((-F.col("similarity")).alias("rank"), F.col("vec_id").cast("string").alias("chunk")))
+
+
+@query(
+    """SELECT page_id, CASE WHEN length(t) > 100 AND NOT regexp_matches(t, '^https?://') THEN left(t, 100) || '...' ELSE t END AS shown
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || repeat('x', 100) ELSE html END AS t FROM pages)"""
+)
+def q_truncate_value(spark, d):
+    text = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("x" * 100))).otherwise(F.col("html"))
+    return _t(spark, d, "pages").select("page_id", S.truncate_value(text).alias("shown"))
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS url FROM pages")
+def q_data_url(spark, d):
+    return _t(spark, d, "pages").select("page_id", S.data_url(F.lit("text/html"), F.col("html")).alias("url"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN value >= 50 THEN json_extract_string(props, '$.k') END AS k,
+CASE WHEN value >= 10 THEN strftime(ts, '%m/%d/%Y %I:%M %p') END AS shown FROM events"""
+)
+def q_lenient_parse(spark, d):
+    text = F.when(F.col("value") >= 50, F.col("props")).otherwise(F.left("props", F.lit(3)))
+    date = F.when(F.col("value") >= 10, F.col("ts").cast("string")).otherwise("soon")
+    return _t(spark, d, "events").select("event_id", S.partial_json(text)["k"].alias("k"), S.pretty_date_text(date).alias("shown"))
+
+
+@query(
+    """SELECT doc_id, coalesce(trim(text) = '', true) AS is_blank, doc_id % 2 = 0 AS is_uuid, CASE WHEN doc_id % 3 <> 0 THEN lang END AS fence,
+coalesce(lang, '') || chr(10) AS line FROM documents"""
+)
+def q_text_shapes(spark, d):
+    digest = F.md5(F.col("doc_id").cast("string"))
+    dashed = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    css = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("code language-"), "lang")).otherwise("code")
+    return _t(spark, d, "documents").select(
+        "doc_id",
+        S.is_blank(F.col("text")).alias("is_blank"),
+        S.is_uuid(F.when(F.col("doc_id") % 2 == 0, dashed).otherwise(digest)).alias("is_uuid"),
+        S.fence_language(css).alias("fence"),
+        S.without_final_newline(F.concat(F.coalesce("lang", F.lit("")), F.lit("\n\n"))).alias("line"),
+    )
+
+
+@query(
+    """SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view'
+AND p.event_type = 'purchase' AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOURS"""
+)
+def q_interval_join(spark, d):
+    e = _t(spark, d, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("viewed"))
+    buys = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    return R.interval_join(views, buys, "user_id", "viewed", "bought", 6 * 3600).select("view_id", "purchase_id")
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())")
+def q_grouping_sets(spark, d):
+    e = _t(spark, d, "events")
+    return e.groupingSets([["event_type"], ["user_id"], []], "event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT event_id, round(avg(value) OVER w, 6) AS mean_of_3, first_value(value) OVER u AS first_of_user, last_value(value) OVER u AS last_of_user
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+)
+def q_frames(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return _t(spark, d, "events").select(
+        "event_id",
+        F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("mean_of_3"),
+        F.first("value").over(whole).alias("first_of_user"),
+        F.last("value").over(whole).alias("last_of_user"),
+    )
+
+
+@query("SELECT event_type, true AS is_near FROM events GROUP BY event_type")
+def q_approx_distinct(spark, d):
+    users = F.countDistinct("user_id")
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - users) <= 0.1 * users
+    return _t(spark, d, "events").groupBy("event_type").agg(near.alias("is_near"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
