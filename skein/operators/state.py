@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def fold_updates(updates: DataFrame, tie: str = "id") -> DataFrame:
     """thread_id, key, value of the last update of each field (by seq, then ``tie``); a value is replaced as a whole."""
@@ -47,7 +49,8 @@ def siblings(checkpoints: DataFrame) -> DataFrame:
 def branch_paths(checkpoints: DataFrame, most_depth: int = 64) -> DataFrame:
     """checkpoint_id, depth and path (ids from the root, joined by /) of every checkpoint that hangs from a root.
 
-    Levels are joined one after another until one is empty, ``most_depth`` at most: a bound against cycles.
+    Levels are joined one after another until one is empty, ``most_depth`` at most: a bound against cycles. Each level is
+    written to the shared folder, so that it is computed once and not again with every level below it.
     """
     nodes = checkpoints.select("thread_id", "checkpoint_id", "parent_id")
     level = nodes.where("parent_id is null").select(
@@ -59,6 +62,7 @@ def branch_paths(checkpoints: DataFrame, most_depth: int = 64) -> DataFrame:
         level = nodes.join(parents, ["thread_id", "parent_id"]).select(
             "thread_id", "checkpoint_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "above", F.col("checkpoint_id").cast("string")).alias("path")
         )
+        level = checkpointed(level)
         if level.isEmpty():
             return found
         found = found.unionByName(level)

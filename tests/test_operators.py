@@ -75,6 +75,22 @@ def test_branches_are_bounded(spark):
         state.branch_paths(df, most_depth=2)
 
 
+def test_long_branches_are_computed_level_by_level(spark):
+    df = spark.range(15).select(F.lit(1).alias("thread_id"), F.col("id").alias("checkpoint_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    deepest = state.branch_paths(df).orderBy(F.desc("depth")).first()
+    assert (deepest.depth, deepest.path) == (14, "/".join(map(str, range(15))))
+
+
+def test_interval_join_against_all_pairs(spark):
+    stamps = [0, 1, 59, 60, 61, 119, 120, 121, 3600, 3600]
+    of = lambda name, at: spark.createDataFrame([(k % 2, i, t) for k in range(2) for i, t in enumerate(stamps)] + [(None, 99, 0)], f"k long, {name} long, s long").select(
+        "k", name, F.timestamp_seconds("s").alias(at)
+    )
+    got = relational.interval_join(of("a", "x"), of("b", "y"), "k", "x", "y", 60).select("k", "a", "b").collect()
+    want = [(k, i, j) for k in range(2) for i, s in enumerate(stamps) for j, t in enumerate(stamps) if 0 <= t - s <= 60]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_decisions_for_every_subset(spark):
     kinds = ["approve", "edit", "reject"]
     rows = [(list(s),) for n in range(4) for s in itertools.combinations(kinds, n)]
