@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -115,37 +115,40 @@ _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 _SPLITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\x80-\xff]+")
 
 
+def _byte_letters() -> str:
+    """The letter by which byte-level models write each byte: printable bytes stand for themselves, others come from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of texts, as the tokenizers library gives them, encoding each distinct split once.
 
-    ``splits_known``: the tokenizer lower-cases, drops white space and codes each run of letters, each digit and each
-    run of other signs alone. Texts for which this doesn't hold for certain are encoded whole.
+    ``splits_known``: the tokenizer lower-cases, drops white space and codes the bytes of each run of letters, each digit
+    and each run of other signs alone. Texts for which this doesn't hold for certain are encoded whole.
     """
 
     def __init__(self, file: str, end_id: int, splits_known: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         self.splits_known = splits_known
         self.known: dict[bytes, bytes] = {}
-        names = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(names.values()) + 1, bool)
-        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.dtype = np.dtype("<u2" if len(self.last) <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode many splits as one text; the last id of each carries the word end."""
-        for k in range(0, len(new), 200):
-            part = new[k : k + 200]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # not coded one by one after all
-                each = self.tokenizer.encode_batch([s.decode() for s in part], add_special_tokens=False)
-                self.known.update((s, np.array(e.ids, self.dtype).tobytes()) for s, e in zip(part, each))
-                continue
-            data, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
-            self.known.update((split, data[a:b]) for split, a, b in zip(part, [0, *cuts], cuts))
+    def _learn(self, new: Iterable[bytes]) -> None:
+        """Hand splits to the tokenizer's model itself, which takes normal, byte-level text."""
+        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.model.tokenize
+        for split in new:
+            text = split.decode() if split.isalnum() else split.decode().lower().encode().decode("latin-1").translate(_LETTERS)
+            ids = [token.id for token in tokenize(text)]
+            self.known[split] = struct.pack(f"<{len(ids)}{code}", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids and the end id, little-endian, in ``dtype``."""
@@ -155,7 +158,7 @@ class Encoder:
         seen = set(chain.from_iterable(splits))
         if len(self.known) > KNOWN:
             self.known = {s: self.known[s] for s in seen & self.known.keys()}
-        self._learn(list(seen - self.known.keys()))
+        self._learn(seen.difference(self.known))
         whole = iter(self.tokenizer.encode_batch([t for t, p in zip(decoded, plain) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [(b"".join(map(get, s)) if p else np.array(next(whole).ids, self.dtype).tobytes()) + self.end for s, p in zip(splits, plain)]
