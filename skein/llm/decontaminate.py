@@ -27,6 +27,9 @@ RADIUS = 20
 BLOCKS = 8
 #: Words of benchmark items that are sent to every task at once; a larger benchmark is taken in such blocks.
 BLOCK_WORDS = 2_000_000
+#: Windows that are compared at once, and pairs of a window and an item that are marked at once.
+WINDOWS = 1 << 13
+MARKS = 1 << 24
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -131,18 +134,20 @@ class BenchmarkIndex:
             starts = starts[(starts >= 0) & (starts <= len(words) - length)]
             if not len(starts):
                 continue
-            low, high = int(starts[0]), int(starts[-1]) + length
-            shingles = shingle_hashes(words[low:high], n)
-            sums = np.zeros((len(shingles) + 1, 64), np.int32)
-            np.cumsum(_bits(shingles), axis=0, out=sums[1:])
-            at = starts - low
-            prints = _prints(sums[at + per] - sums[at], per)
-            window, item = self.candidates(prints)
-            for w, k in zip(window.tolist(), item.tolist()):
-                part = shingles[at[w] : at[w] + per]
-                sim = weighted_similarity(part, self.shingles[k])
-                if sim >= SIMILARITY:
-                    yield sim, k, int(starts[w])
+            size = max(1, min(WINDOWS, MARKS // len(self.prints)))
+            for begins in np.split(starts, range(size, len(starts), size)):
+                low, high = int(begins[0]), int(begins[-1]) + length
+                shingles = shingle_hashes(words[low:high], n)
+                sums = np.zeros((len(shingles) + 1, 64), np.int32)
+                np.cumsum(_bits(shingles), axis=0, out=sums[1:])
+                at = begins - low
+                prints = _prints(sums[at + per] - sums[at], per)
+                window, item = self.candidates(prints)
+                for w, k in zip(window.tolist(), item.tolist()):
+                    part = shingles[at[w] : at[w] + per]
+                    sim = weighted_similarity(part, self.shingles[k])
+                    if sim >= SIMILARITY:
+                        yield sim, k, int(begins[w])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:

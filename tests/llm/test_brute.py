@@ -53,7 +53,7 @@ def test_codes_give_any_token_and_any_run(ids, data):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60) | st.text("aB'sçÉ .,!12\n\tİ<|endoftx>", max_size=60))
+@given(st.text(max_size=60) | st.text("aB'sçÉ .,!12\n\tİ<|endoftx>", max_size=60) | st.text("aÉŋ.\x00\x07\x1c\x7f ", max_size=60))
 def test_cached_encoding_is_the_librarys(text):
     encoder = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2, True)
     want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
@@ -183,7 +183,9 @@ def windows(text, item):
     return best
 
 
-def test_leaks_against_every_window():
+@pytest.mark.parametrize("windows_at_once", [decontaminate.WINDOWS, 3])
+def test_leaks_against_every_window(monkeypatch, windows_at_once):
+    monkeypatch.setattr(decontaminate, "WINDOWS", windows_at_once)
     rnd = random.Random(11)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randrange(3, 45)))) for k in range(25)]
