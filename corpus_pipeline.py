@@ -1,7 +1,7 @@
 """A pipeline from raw documents to a token store, each stage applied to all that its predecessor kept.
 
 1. quality: documents that the classifier rejects go.
-2. near_dedup: of each group of near SimHash fingerprints, the document of the smallest id stays.
+2. near_dedup: of each group with a similarity of 0.8 or more over five-word shingles, the document of the smallest id stays.
 3. decontaminate: documents that hold a benchmark passage go.
 4. mix: whole documents in training order, as often as the target weights ask for.
 5. tokens: the token store's rows, one per document.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.decontaminate import with_leaks
 from skein.llm.mixing import curriculum
+from skein.llm.near_copies import near_copies_removed
 from skein.llm.quality_model import THRESHOLD, train, with_score
-from skein.llm.simhash import near_duplicates_removed
 from skein.llm.staging import stage, unused
 from skein.llm.token_store import token_store
 
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates_removed(docs)
+    return near_copies_removed(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,6 +157,26 @@ def test_groups_of_the_small_table(spark, small):
     assert sorted(map(tuple, queries.op3_simhash(spark, small).collect())) == want
 
 
+def test_near_copies_by_exact_similarity(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(3)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(200)] for _ in range(40)]
+    rows = []
+    for k, words in enumerate(base):
+        for c in range(4):
+            rows.append((10**6 + 4 * k + c, " ".join(w if rnd.random() > 0.006 * c else f"x{rnd.randrange(10**6)}" for w in words)))
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    data = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = []
+    for _, t in data:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {data[r][0] for r in roots(len(data), pairs)}
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_components(spark):
     rnd = random.Random(5)
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
