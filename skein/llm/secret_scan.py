@@ -15,12 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP = "[\\x20\\x09-\\x0D]+"
-#: A word may hold a secret if it has a run of so many key characters among which there is a digit. The pattern is tried at
+#: A word is a candidate if it has a run of so many key characters among which there is a digit. The pattern is tried at
 #: the beginnings of runs only, so that a long one costs no more than its length.
 CANDIDATE = "(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{12,}"
+#: Signs between the fields of a word (a query string, JSON without spaces), each of which is looked at by itself. How far it
+#: looks ahead is bounded, so that a long word costs no more than its length.
+BETWEEN = "[&,;?{|]+(?=[\"']?[A-Za-z_][A-Za-z0-9_.-]{0,40}[\"']?[=:])|(?<=[\"'])[,;]+(?=[\"'])|(?<=[\"'])[}\\]]+$|[,;|&](?=[A-Za-z0-9+/_=.-]{12})"
+PREFIX = "(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|AIza|glpat-)"
+#: A known prefix, or a name with its value, makes a candidate of any length with or without digits.
+NAMED = "(?<![A-Za-z0-9])" + PREFIX + "[A-Za-z0-9]|[A-Za-z_\"'\\]][=:]+[\"']?[^=:/\"']"
 #: Names that announce secrets, and names that announce look-alikes.
 SECRET_NAMES = "(?i)(passw|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private)"
 OTHER_NAMES = "(?i)(commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|isbn|order|invoice|phone|card|build|version|ref|id[:=])"
+#: The word before a value: an assignment, or a name that announces secrets.
+ANNOUNCED = "[=:]$|" + SECRET_NAMES + "[A-Za-z0-9_]{0,20}[\"']?$"
 #: Words that make a value look written by a person.
 DICTIONARY = (
     "the and for with this that from test example sample dummy placeholder change your here user name file page index image "
@@ -35,17 +43,24 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate: doc_id, word_index, word, before (the two words before it), after (the next word).
+    """One row per candidate: doc_id, word_index, word (a field of it), before (the two words before it), after (the next word).
 
-    Null and empty texts have none; repeated rows repeat theirs; other columns aren't looked at.
+    Candidates are runs of key characters (``CANDIDATE``), known prefixes, values with a name, and words after an assignment or
+    a name that announces secrets; the forest rejects. Null and empty texts have none; repeated rows repeat theirs; other
+    columns aren't looked at.
     """
     text = F.col(f"`{text_col}`")
-    part = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(CANDIDATE))
+    may = F.col("text").rlike(CANDIDATE) | F.col("text").rlike("[=:]|" + PREFIX) | F.col("text").rlike(SECRET_NAMES)
+    part = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).where(may)
     words = part.select("doc_id", F.filter(F.split("text", GAP), lambda w: w != "").alias("w"))
-    hits = F.filter(
-        F.transform("w", lambda x, i: F.struct(i.alias("word_index"), x.alias("word"))), lambda s: s["word"].rlike(CANDIDATE)
-    )
     w = F.col("w")
+
+    def fields(x: Column, i: Column) -> Column:
+        announced = F.coalesce(F.get(w, i - 1), F.lit("")).rlike(ANNOUNCED)
+        own = lambda f: f.rlike(CANDIDATE) | f.rlike(NAMED) | (announced & f.rlike("[A-Za-z0-9]"))
+        return F.transform(F.filter(F.split(x, BETWEEN), own), lambda f: F.struct(i.alias("word_index"), f.alias("word")))
+
+    hits = F.flatten(F.transform("w", fields))
     full = F.transform(
         hits,
         lambda s: F.struct(
@@ -89,7 +104,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "other_before": near.rlike(OTHER_NAMES).cast("int"),
         "assigned": (word.rlike("[A-Za-z_\"'][=:].") | F.col("before").rlike("[=:]$")).cast("int"),
         "quoted": word.rlike("^[\"']|[=:][\"']").cast("int"),
-        "known_prefix": v.rlike("^(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|AIza|glpat-)").cast("int"),
+        "known_prefix": v.rlike("^" + PREFIX).cast("int"),
     }
     return found.withColumns({k: x.cast("double") for k, x in number.items()})
 
@@ -125,6 +140,15 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(F.lit("token=your-token-here"), (i % 10).cast("string")), filler, 0),
         (F.concat_ws("-", F.lit("+49"), F.substring(number(3), 1, 3), F.substring(number(4), 1, 8)), filler, 0),
         (F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("T10-20-30")), filler, 0),
+        (F.concat(F.lit("AKIA"), F.translate(upper, "234567", "QWXYZK")), filler, 1),
+        (F.concat(F.substring(made, 1, 6), (i % 100).cast("string")), F.lit("the password:"), 1),
+        (F.substring(F.translate(mixed, "0123456789+/", "abcdefghijkl"), 1, (7 + i % 6).cast("int")), F.lit("password ="), 1),
+        (F.concat(F.lit("pwd="), F.substring(mixed, 1, (6 + i % 6).cast("int"))), filler, 1),
+        (F.concat(F.lit("passwd="), made), filler, 1),
+        (made, F.lit("the secret"), 0),
+        (made, F.lit("please note:"), 0),
+        (filler, F.lit("the password:"), 0),
+        (F.concat(F.lit("lang="), made), filler, 0),
     ]
     rows = F.array(*[F.struct(w.alias("word"), b.alias("before"), F.lit(y).cast("double").alias("label")) for w, b, y in kinds])
     return spark.range(0, n, 1, 1).select(F.element_at(rows, (i / 5 % len(kinds) + 1).cast("int")).alias("r"), filler.alias("after")).select("r.*", "after")
