@@ -4,7 +4,8 @@
 2. near_dedup: of each group with a similarity of 0.8 or more over five-word shingles, the document of the smallest id stays.
 3. decontaminate: documents that hold a benchmark passage go.
 4. mix: whole documents in training order, as often as the target weights ask for.
-5. tokens: the token store's rows, one per document.
+5. tokens: the token store's rows, one per document, in order of doc_id: of the mix only how often each is used takes effect,
+   not its training order.
 """
 
 from __future__ import annotations
