@@ -177,6 +177,14 @@ def test_near_copies_by_exact_similarity(spark, small):
     assert sorted(got) == sorted(want)
 
 
+def test_repeated_and_null_ids_of_near_copies(spark):
+    words = [f"w{k}" for k in range(120)]
+    near, own = " ".join([*words, "end"]), " ".join(reversed(words))
+    rows = [(1, " ".join(words)), (1, near), (0, near + " too"), (None, own), (None, near), (1, "quite another text of some words")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(0, near + " too"), (None, own), (1, rows[5][1])}
+
+
 def test_components(spark):
     rnd = random.Random(5)
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
