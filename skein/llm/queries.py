@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return token_store(docs, public_tokenizers.path(TOKENIZER), END_ID, splits_known=True)
+    return token_store(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

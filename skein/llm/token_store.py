@@ -12,11 +12,11 @@ executor's files are written again by Spark's own committer.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from .words import pieces
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 MAGIC = b"DAC1"
-#: Splits whose ids a worker remembers; beyond, it keeps those of the texts at hand.
-KNOWN = 400_000
+#: Words whose ids a worker remembers: so many new ones, and as many from before, of which those met again stay. Words of
+#: more bytes than LONGEST_KNOWN aren't remembered.
+KNOWN = 200_000
+LONGEST_KNOWN = 64
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -110,9 +112,36 @@ class Codes:
         return out
 
 
-#: ASCII, and letters that no neighbour can combine with: in such texts the tokenizer's own splits are known beforehand.
+#: ASCII, and letters that no neighbour can combine with: in such words the tokenizer's own splits are known beforehand.
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 _SPLITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\x80-\xff]+")
+#: The settings of a tokenizer file under which _PLAIN and _SPLITS hold.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_known(settings: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and codes each run of letters, digit and run of signs alone."""
+    model = settings.get("model") or {}
+    plain_model = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    added = settings.get("added_tokens") or []
+    literal = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    same = settings.get("normalizer") == _NORMALIZER and settings.get("pre_tokenizer") == _PRE_TOKENIZER
+    return bool(same and plain_model and literal and not settings.get("truncation") and not settings.get("padding"))
 
 
 def _byte_letters() -> str:
@@ -125,43 +154,69 @@ def _byte_letters() -> str:
 _LETTERS = _byte_letters()
 
 
-class Encoder:
-    """Ids of texts, as the tokenizers library gives them, encoding each distinct split once.
+class Encoder(dict):
+    """Ids of texts, as the tokenizers library gives them, each distinct word (a run without white space) encoded once.
 
-    ``splits_known``: the tokenizer lower-cases, drops white space and codes the bytes of each run of letters, each digit
-    and each run of other signs alone. Texts for which this doesn't hold for certain are encoded whole.
+    The dict holds the ids of words, little-endian in ``dtype``; None for a word of which the splits aren't certain. Texts
+    with such a word or with an added token, and all texts if the file's settings aren't known, are encoded whole.
     """
 
-    def __init__(self, file: str, end_id: int, splits_known: bool):
+    def __init__(self, file: str, end_id: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.older: dict[bytes, bytes | None] = {}  # what was known before the dict was last full
+        with open(file, encoding="utf-8") as f:
+            settings = json.load(f)
         self.tokenizer = Tokenizer.from_file(file)
-        self.model = self.tokenizer.model
-        self.splits_known = splits_known
-        self.known: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.splits_known = splits_known(settings)
+        self.added = [t["content"].encode() for t in settings.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([end_id], self.dtype).tobytes()
 
-    def _learn(self, new: Iterable[bytes]) -> None:
-        """Hand splits to the tokenizer's model itself, which takes normal, byte-level text."""
-        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.model.tokenize
-        for split in new:
-            text = split.decode() if split.isalnum() else split.decode().lower().encode().decode("latin-1").translate(_LETTERS)
-            ids = [token.id for token in tokenize(text)]
-            self.known[split] = struct.pack(f"<{len(ids)}{code}", *ids)
+    def __missing__(self, word: bytes) -> bytes | None:
+        if word in self.older:
+            ids = self.older[word]
+        elif word.isalpha():  # ASCII letters alone
+            ids = self._packed(word.decode())
+        else:
+            splits = _SPLITS.findall(word)
+            parts = [self[s] for s in splits] if splits != [word] else [self._learn(word)]
+            ids = None if None in parts else b"".join(parts)
+        if len(word) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _packed(self, text: str) -> bytes:
+        """The ids that the tokenizer's model itself, which takes normal, byte-level text, gives a split."""
+        ids = [token.id for token in self.tokenize(text)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _learn(self, split: bytes) -> bytes | None:
+        text = split.decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text):
+            return None
+        return self._packed(text if split.isalnum() else text.lower().encode().decode("latin-1").translate(_LETTERS))
+
+    def _by_words(self, text: bytes) -> bytes | None:
+        if any(a in text for a in self.added):
+            return None
+        try:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        except TypeError:  # a word that is None
+            return None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids and the end id, little-endian, in ``dtype``."""
-        decoded = [t.decode("utf-8", "replace") for t in texts]
-        plain = [self.splits_known and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in decoded]
-        splits = [_SPLITS.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        seen = set(chain.from_iterable(splits))
-        if len(self.known) > KNOWN:
-            self.known = {s: self.known[s] for s in seen & self.known.keys()}
-        self._learn(seen.difference(self.known))
-        whole = iter(self.tokenizer.encode_batch([t for t, p in zip(decoded, plain) if not p], add_special_tokens=False))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, s)) if p else np.array(next(whole).ids, self.dtype).tobytes()) + self.end for s, p in zip(splits, plain)]
+        found = [self._by_words(t) if self.splits_known else None for t in texts]
+        rest = [t.decode("utf-8", "replace") for t, ids in zip(texts, found) if ids is None]
+        whole = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False)) if rest else iter(())
+        return [(np.array(next(whole).ids, self.dtype).tobytes() if ids is None else ids) + self.end for ids in found]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -179,7 +234,6 @@ def write_store(
     tokenizer_file: str,
     end_id: int,
     *,
-    splits_known: bool,
     id_col: str = "doc_id",
     text_col: str = "text",
     docs_per_shard: int = 8192,
@@ -203,7 +257,7 @@ def write_store(
     )[: shards - 1]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file, end_id, splits_known)
+        encoder = _encoder(tokenizer_file, end_id)
         narrow = encoder.dtype.itemsize == 2
         for batch in batches:
             owner = batch.column(0).fill_null(-(1 << 63)).to_numpy()
@@ -300,9 +354,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_store(docs: DataFrame, tokenizer_file: str, end_id: int = 2, *, splits_known: bool = False, path: str | None = None, **options) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer_file: str, end_id: int = 2, *, path: str | None = None, **options) -> DataFrame:
     """Write the store of ``docs`` (to the shared folder if no path is given) and return what ``read_store`` finds in it."""
     spark = docs.sparkSession
     path = path or table_path(spark, "tokens")
-    write_store(docs, path, tokenizer_file, end_id, splits_known=splits_known, **options)
+    write_store(docs, path, tokenizer_file, end_id, **options)
     return read_store(spark, path)

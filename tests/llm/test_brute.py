@@ -55,14 +55,28 @@ def test_codes_give_any_token_and_any_run(ids, data):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60) | st.text("aB'sçÉ .,!12\n\tİ<|endoftx>", max_size=60) | st.text("aÉŋ.\x00\x07\x1c\x7f ", max_size=60))
 def test_cached_encoding_is_the_librarys(text):
-    encoder = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2, True)
+    encoder = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2)
     want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode([text.encode("utf-8", "ignore")])[0], encoder.dtype).tolist() == want + [2]
 
 
+def test_a_file_with_other_settings_is_encoded_whole(tmp_path):
+    import json
+
+    settings = json.load(open(queries.public_tokenizers.path(queries.TOKENIZER), encoding="utf-8"))
+    assert token_store.splits_known(settings)
+    settings["normalizer"]["normalizers"].pop()  # upper case is kept now
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings))
+    encoder = token_store.Encoder(str(other), 2)
+    text = "Some Words, AND it's 12 more"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not encoder.splits_known and np.frombuffer(encoder.encode([text.encode()])[0], encoder.dtype).tolist() == want + [2]
+
+
 def test_store_of_the_small_table(spark, small):
     got = sorted(tuple(r) for r in queries.op1_token_store(spark, small).collect())
-    tokenizer = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2, True).tokenizer
+    tokenizer = token_store._encoder(queries.public_tokenizers.path(queries.TOKENIZER), 2).tokenizer
     start, want = 0, []
     for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
         ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -75,7 +89,7 @@ def test_many_shards_and_segments(spark, tmp_path):
     rows = [(k, "word " * (k % 7)) for k in random.Random(1).sample(range(1000), 200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     args = (queries.public_tokenizers.path(queries.TOKENIZER), 2)
-    one = sorted(map(tuple, token_store.token_store(df, *args, splits_known=True).collect()))
+    one = sorted(map(tuple, token_store.token_store(df, *args).collect()))
     many = sorted(map(tuple, token_store.token_store(df, *args, docs_per_shard=9, segment_tokens=20, path=str(tmp_path / "s")).collect()))
     assert one == many
 

@@ -63,7 +63,7 @@ def by_id(df):
 
 
 OPERATORS = {
-    "tokens": lambda d, lab, ben: token_store(d, queries.public_tokenizers.path(queries.TOKENIZER), 2, splits_known=True),
+    "tokens": lambda d, lab, ben: token_store(d, queries.public_tokenizers.path(queries.TOKENIZER), 2),
     "quality": lambda d, lab, ben: quality_scores(d, lab),
     "simhash": lambda d, lab, ben: simhash_groups(d),
     "licenses": lambda d, lab, ben: license_scan(d),
