@@ -31,7 +31,7 @@ RANK_BLOCK = 512
 MAGIC = b"DAC1"
 #: Words whose ids a worker remembers: so many new ones, and as many from before, of which those met again stay. Words of
 #: more bytes than LONGEST_KNOWN aren't remembered.
-KNOWN = 200_000
+KNOWN = 300_000
 LONGEST_KNOWN = 64
 
 
