@@ -1,4 +1,4 @@
-"""Hamming comparison of 64-bit fingerprints in bit slices.
+"""Hamming comparison of fingerprints of 64 bits, or of several such words, in bit slices.
 
 Fingerprints are stored vertically: plane b holds bit b of 64 fingerprints in each machine word. A word operation on two
 planes therefore works on 64 comparisons, and their distances are counted in a few words of bitwise counters.
@@ -6,6 +6,8 @@ planes therefore works on 64 comparisons, and their distances are counted in a f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -14,11 +16,12 @@ STEP = 8
 
 
 def to_planes(fingerprints: np.ndarray, spare: int = 2) -> np.ndarray:
-    """Planes (64 x words) of a run of fingerprints, with some empty words at the end."""
+    """Planes (bits x words) of a run of fingerprints (n, or n x 64-bit words each), with some empty words at the end."""
     n = len(fingerprints)
     words = -(-n // 64) + spare
-    rows = np.zeros((words * 64, 8), np.uint8)
-    rows[:n] = fingerprints.astype("<u8").view(np.uint8).reshape(n, 8)
+    each = fingerprints.astype("<u8").reshape(n, -1).view(np.uint8)
+    rows = np.zeros((words * 64, each.shape[1]), np.uint8)
+    rows[:n] = each
     bits = np.unpackbits(rows, axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
@@ -67,7 +70,7 @@ def within(planes: np.ndarray, words: np.ndarray, shift: int, wanted: np.ndarray
     far, r = divmod(shift, 64)
     left, right = np.uint64(r), np.uint64(64 - r)
     counters = Counters(len(words), radius)
-    for k in range(0, 64, STEP):
+    for k in range(0, len(planes), STEP):
         other = planes[k : k + STEP, words + far]
         if r:
             other = (other >> left) | (planes[k : k + STEP, words + far + 1] << right)
@@ -83,6 +86,36 @@ def within(planes: np.ndarray, words: np.ndarray, shift: int, wanted: np.ndarray
     return words, wanted & ~counters.exceeded()
 
 
+def _near_pairs(planes: np.ndarray, at: np.ndarray, shift: int, radius: int) -> np.ndarray:
+    """Those items i of ``at`` that are within the radius of item i + shift."""
+    lanes = np.zeros(planes.shape[1] * 64, bool)
+    lanes[at] = True
+    wanted = np.packbits(lanes, bitorder="little").view("<u8")
+    words = np.flatnonzero(wanted)
+    words, found = within(planes, words, shift, wanted[words], radius)
+    word, bit = np.unpackbits(found.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).nonzero()
+    return words[word] * 64 + bit
+
+
+def _merge(root: np.ndarray, near: np.ndarray, shift: int) -> tuple[np.ndarray, list[int]]:
+    """The roots after joining i with i + shift for all ``near``, and those i that joined two groups."""
+    joined = []
+    for i in near.tolist():
+        a, b = i, i + shift
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            joined.append(i)
+    while True:
+        up = root[root]
+        if np.array_equal(up, root):
+            return root, joined
+        root = up
+
+
 def group_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
     """For fingerprints sorted by bucket, the smallest index in each one's group.
 
@@ -90,43 +123,71 @@ def group_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int) -> np.
     radius joins them there. Every pair of a bucket is compared unless both are known to be in one group already; found
     pairs are merged on the spot and never stored.
     """
-    n = len(fingerprints)
-    root = np.arange(n)
-    planes = to_planes(fingerprints)
-    live = np.arange(n)
+    return _forest(to_planes(fingerprints), ends, radius, np.arange(len(fingerprints)))[0]
+
+
+def _forest(planes: np.ndarray, ends: np.ndarray, radius: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roots after merging all pairs within the radius, and the pairs that joined two groups."""
+    live = np.arange(len(root))
     shift = 0
+    left: list[int] = []
+    right: list[int] = []
     while True:
         shift += 1
         live = live[ends[live] > live + shift]
-        if not len(live):
-            return root
         apart = live[root[live] != root[live + shift]]
         if not len(apart):
-            if shift % 64 == 0 and not _differ(root, live, ends):
-                return root
+            if not len(live) or shift % 64 == 0 and not _differ(root, live, ends):
+                return root, np.array(left, np.int64), np.array(right, np.int64)
             continue
-        lanes = np.zeros(planes.shape[1] * 64, bool)
-        lanes[apart] = True
-        wanted = np.packbits(lanes, bitorder="little").view("<u8")
-        words = np.flatnonzero(wanted)
-        words, found = within(planes, words, shift, wanted[words], radius)
-        if not len(words):
-            continue
-        hits = (np.unpackbits(found.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).nonzero())
-        pairs = words[hits[0]] * 64 + hits[1]
-        for i in pairs.tolist():
-            a, b = i, i + shift
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
+        near = _near_pairs(planes, apart, shift, radius)
+        if len(near):
+            root, joined = _merge(root, near, shift)
+            left += joined
+            right += [i + shift for i in joined]
+
+
+def forest_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that join all groups of their bucket, at most one for each fingerprint; equal labels are one group."""
+    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+    return _forest(to_planes(fingerprints), ends, radius, first[which])[1:]
+
+
+def nearest_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the pair with its nearest one of another label within the radius, in its bucket; ties by place."""
+    n = len(fingerprints)
+    flat = fingerprints.reshape(n, -1)
+    best = np.full(n, radius + 1)
+    who = np.full(n, -1)
+    for i, j in _all(fingerprints, ends, radius, labels):
+        d = np.bitwise_count(flat[i] ^ flat[j]).sum(1)
+        for x, y in ((i, j), (j, i)):
+            better = d < best[x]
+            best[x[better]] = d[better]
+            who[x[better]] = y[better]
+    i = np.flatnonzero(who >= 0)
+    return i, who[i]
+
+
+def all_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different labels within the radius."""
+    found = list(_all(fingerprints, ends, radius, labels))
+    none = [np.empty(0, np.int64)]
+    return np.concatenate([i for i, _ in found] or none), np.concatenate([j for _, j in found] or none)
+
+
+def _all(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    planes = to_planes(fingerprints)
+    live = np.arange(len(fingerprints))
+    shift = 0
+    while True:
+        shift += 1
+        live = live[ends[live] > live + shift]
+        if not len(live) or shift % 64 == 1 and not _differ(labels, live, ends):
+            return
+        apart = live[labels[live] != labels[live + shift]]
+        if len(apart) and len(near := _near_pairs(planes, apart, shift, radius)):
+            yield near, near + shift
 
 
 def _differ(root: np.ndarray, live: np.ndarray, ends: np.ndarray) -> bool:

@@ -1,28 +1,50 @@
-"""Groups of documents whose sets of word shingles are similar, and a table with one document of each."""
+"""SimHash near-dedup at a similarity: groups of documents with similar sets of word shingles, and one document of each.
+
+Each different shingle set has a fingerprint of WORDS x 64 bits, of which two sets of Jaccard similarity s differ in about
+arccos(2 s / (1 + s)) / pi: at 0.8 in 15 %. Sets that agree in the sampled bits of some table share a bucket, in which they
+are compared bit-sliced; pairs within RADIUS bits are candidates, and their exact similarity decides.
+
+At a similarity of exactly 0.8 a pair differs in 19.4 of 128 bits on average (standard deviation 4.1). A pair of d bits is
+missed if no table's bits are free of differences: below 2e-5 at 19 bits, 0.002 at FAR_BITS, none up to 15 bits. Above 0.8
+fewer bits differ. ``tests/llm/test_brute.py`` measures the recall.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitslice
 from .components import connected_components
-from .staging import stage, unused
+from .simhash import bit_majority
+from .staging import drop_staged, stage, unused
 from .words import LOWER, hash_words, mix, pieces, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: Documents with a Jaccard similarity of NUMERATOR / DENOMINATOR or more are near copies.
 NUMERATOR, DENOMINATOR = 4, 5
-#: A pair shares a bucket if all ROWS minima of some band agree. At similarity 0.8 a pair misses all bands with
-#: probability (1 - 0.8^6)^50 = 2.5e-7, above it with less.
-BANDS, ROWS = 50, 6
-#: Rounds in which each bucket's members are compared with one of them, before its remaining pairs are compared.
-STARS = 3
-_drawn = np.random.default_rng(42)
-FACTORS = _drawn.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _drawn.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2)
+WORDS = 2
+BITS = 64 * WORDS
+RADIUS = 36
+#: Differing bits for which the number of tables is chosen, and the share of such pairs that may be missed.
+FAR_BITS, MISSED = 26, 0.002
+#: Bits of a table's key, at least; more from 256 x 1024 sets on, so that buckets of unlike sets don't grow.
+LEAST_KEY, BUCKET_BITS = 8, 10
+#: Sets of a bucket that are compared at once; a larger bucket is cut into cells of two of CUTS parts each.
+MOST_COMPARED = 1 << 18
+CUTS = 8
+#: Rows of the tables that a task sorts.
+TASK_ROWS = 2_000_000
+
+ROW = "a long, b long, f0 long, f1 long, n long, label long, bucket long"
+_NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -38,46 +60,165 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS hashes for each set, none of which may be empty."""
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints (sets x WORDS) of shingle sets, none of which may be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
-        h = np.full(len(sets), b, np.uint64)
-        for j in range(b * ROWS, b * ROWS + ROWS):
-            h = mix(h) + np.minimum.reduceat(flat * FACTORS[j] + SHIFTS[j], starts)
-        out[:, b] = mix(h)
-    return out
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)))
+    return np.stack([bit_majority(mix(flat + np.uint64(w)), starts) for w in range(WORDS)], axis=1)
 
 
 def _prints(texts: pa.Array) -> pa.Array:
     keys: list[int] = []
     sets: list[np.ndarray] = []
-    banded: list[np.ndarray] = []
+    prints: list[np.ndarray] = [np.empty((0, WORDS), np.uint64)]
     for piece in pieces(texts):
         found = shingle_sets(piece)
-        filled = [s for s in found if len(s)]
-        rows = iter(bands(filled) if filled else [])
-        banded += [next(rows) if len(s) else s for s in found]
+        filled = np.array([len(s) > 0 for s in found])
+        bits = np.zeros((len(found), WORDS), np.uint64)
+        if filled.any():
+            bits[filled] = set_fingerprints([s for s in found if len(s)])
+        prints.append(bits)
         keys += [xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in found]
         sets += found
-    key = pa.array(np.array(keys, np.uint64).view(np.int64))
+    bits = np.concatenate(prints).view(np.int64)
+    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
     n = pa.array(np.array([len(s) for s in sets], np.int64))
-    return pa.StructArray.from_arrays([key, n, _lists(banded), _lists(sets)], ["key", "n", "bands", "hashes"])
+    columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), n, pa.array(bits[:, 0]), pa.array(bits[:, 1]), hashes]
+    return pa.StructArray.from_arrays(columns, ["key", "n", "f0", "f1", "hashes"])
 
 
 def prints(text: Column) -> Column:
-    """key (names the shingle set), n (its size), bands, hashes."""
-    kind = "struct<key:long,n:long,bands:array<long>,hashes:array<long>>"
+    """key (names the shingle set; 0: empty), n (its size), f0 and f1 (its fingerprint), hashes."""
+    kind = "struct<key:long,n:long,f0:long,f1:long,hashes:array<long>>"
     return F.arrow_udf(_prints, kind).asNondeterministic()(text.cast("binary"))
 
 
+def tables_for(n_sets: int) -> np.ndarray:
+    """The sampled bits of each table (tables x bits of a key) for so many sets; parts of some permutations of all bits."""
+    width = min(40, max(LEAST_KEY, math.ceil(math.log2(max(2, n_sets))) - BUCKET_BITS))
+    free = math.prod((BITS - FAR_BITS - i) / (BITS - i) for i in range(width))
+    n_tables = math.ceil(math.log(MISSED) / math.log1p(-free))
+    drawn = np.random.default_rng(42)
+    each = BITS // width
+    rounds = [drawn.permutation(BITS)[: each * width].reshape(each, width) for _ in range(-(-n_tables // each))]
+    return np.concatenate(rounds)[: max(n_tables, each)]
+
+
+def _batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+    n = len(next(c for c in columns if c is not None))
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], _NAMES)
+
+
+def _table_rows(tables: np.ndarray):
+    """Rows (a, f0, f1, n, label) to one row for each table, with its bucket."""
+    weights = np.int64(1) << np.arange(tables.shape[1], dtype=np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                a, f0, f1, n, label = (c.to_numpy() for c in whole.slice(at, 4096).columns)
+                bits = np.unpackbits(np.stack([f0, f1], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for t, where in enumerate(tables):
+                    bucket = (bits[:, where] @ weights) * np.int64(1 << 20) + t
+                    yield _batch(a, None, f0, f1, n, label, bucket)
+
+    return rows
+
+
+def _cells(bucket: int, a: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their new bucket) of a large bucket: each row goes to the CUTS - 1 cells of its part and another, so every pair meets."""
+    part = (mix(a.view(np.uint64) + np.uint64(level)) % np.uint64(CUTS)).astype(np.int64)
+    name = np.uint64(bucket & 0xFFFFFFFFFFFFFFFF)
+    for x in range(CUTS):
+        for y in range(x + 1, CUTS):
+            cell = mix(mix(np.array([name])) + np.uint64(x * CUTS + y))[0] >> np.uint64(1)
+            rows = np.flatnonzero((part == x) | (part == y))
+            yield rows, np.full(len(rows), np.int64(cell))
+
+
+def _compared(how: str, level: int, most: int):
+    """Sorted rows (by bucket and n) to links a, b and, with a bucket, rows of large buckets for the next level.
+
+    A task reads its rows as a stream and holds about ``most`` of them.
+    """
+    find = {"forest": bitslice.forest_within, "nearest": bitslice.nearest_within, "all": bitslice.all_within}[how]
+
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, f0, f1, n, label, bucket = rows
+        firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.empty(len(a), np.int64)
+        for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(a)]):
+            # sets whose sizes differ by more can't be similar
+            ends[x:y] = x + np.searchsorted(n[x:y], n[x:y] * DENOMINATOR // NUMERATOR, "right")
+        i, j = find(np.stack([f0, f1], axis=1).view(np.uint64), ends, RADIUS, label)
+        if len(i):
+            yield _batch(np.minimum(a[i], a[j]), np.maximum(a[i], a[j]), *[None] * 5)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((6, 0), np.int64)
+        parts: list[np.ndarray] = []
+        passing = None  # the large bucket whose rows are on their way
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                parts.append(np.stack([batch.column(k).to_numpy() for k in range(6)]))
+                if held.shape[1] + sum(p.shape[1] for p in parts) <= most:
+                    continue
+            held, parts = np.concatenate([held, *parts], axis=1), []
+            bucket = held[5]
+            # the last bucket may go on in the next batch
+            last = int(np.searchsorted(bucket, bucket[-1], "left")) if batch is not None else len(bucket)
+            if passing is not None:
+                cut = int(np.searchsorted(bucket, passing, "right"))
+                yield from passed_on(held[:, :cut], passing)
+                held, last = held[:, cut:], max(0, last - cut)
+                if held.shape[1]:
+                    passing = None
+            elif batch is not None and len(bucket) - last > most:
+                passing = int(bucket[-1])
+                yield from passed_on(held[:, last:], passing)
+                held = held[:, :last]
+            if last:
+                yield from links(np.ascontiguousarray(held[:, :last]))
+            held = np.ascontiguousarray(held[:, last:])
+
+    def passed_on(rows: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+        for which, cell in _cells(bucket, rows[0], level) if rows.shape[1] else ():
+            a, f0, f1, n, label, _ = rows[:, which]
+            yield _batch(a, None, f0, f1, n, label, cell)
+
+    return read
+
+
+def candidate_pairs(rows: DataFrame, how: str, most: int = MOST_COMPARED) -> DataFrame:
+    """``rows``: a, f0, f1, n, label of different sets. Returns pairs a < b within the radius that share a bucket.
+
+    ``how``: forest (enough pairs to join what is near, one for each row and bucket at most), nearest (each row's nearest
+    of another label) or all (of different labels). Buckets of one label give none.
+    """
+    spark = rows.sparkSession
+    n_sets = rows.count()
+    tables = tables_for(n_sets)
+    spread = rows.select("a", "f0", "f1", "n", "label").mapInArrow(_table_rows(tables), ROW)
+    size, level, pairs = n_sets * len(tables), 0, None
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        found = stage(
+            spread.select("a", "f0", "f1", "n", "label", "bucket")
+            .repartition(max(least, -(-size // TASK_ROWS)), "bucket")
+            .sortWithinPartitions("bucket", "n")
+            .mapInArrow(_compared(how, level, most), ROW),
+            "compared",
+        )
+        new = found.where("bucket is null").select("a", "b").distinct()
+        pairs = new if pairs is None else pairs.unionByName(new).distinct()
+        spread = found.where("bucket is not null")
+        size = spread.count()
+        level += 1
+        if not size:
+            return pairs
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar enough, by their exact similarity."""
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
@@ -87,38 +228,34 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """``rows``: key, n, bands, hashes. Returns links a, b of similar sets that join all that have a common bucket.
+def similar_links(marked: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
+    """``marked``: key, n, f0, f1, hashes, sets may repeat. Returns links a, b of similar sets that join each group.
 
-    The members of a bucket are first compared with one of them, which joins large groups without their pairs. Then every
-    pair of a bucket is compared whose members aren't known to be in one group.
+    First a forest of near pairs is verified, which joins large groups without their pairs; then each set's nearest of
+    another group; then every near pair of different groups. Only sets with a near one go on after the first round.
     """
-    exploded = rows.select("key", "n", F.explode("bands").alias("bucket"))
-    mixed = lambda d, c: d.groupBy("bucket").agg(F.min(c).alias("l"), F.max(c).alias("m")).where("l <> m").select("bucket")
-    members = stage(exploded.join(mixed(exploded, "key"), "bucket", "left_semi").distinct(), "members")
-    sets = stage(
-        rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets"
+    rows = stage(
+        marked.where("n > 0").groupBy(F.col("key").alias("a")).agg(*[F.min(c).alias(c) for c in ("f0", "f1", "n")]), "rows"
     )
-    near_size = F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR
-    pair = [F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")]
-    links = None
-    for star in range(STARS + 1):
+    sets = links = tried = None
+    for how in ("forest", "nearest", "all"):
         if links is None:
-            named = members.withColumn("label", F.col("key"))
-        else:
-            labels = connected_components(links).withColumnRenamed("node", "key")
-            named = members.join(labels, "key", "left").select("key", "n", "bucket", F.coalesce("component", "key").alias("label"))
-            named = stage(named, "named")
-            named = named.join(mixed(named, "label"), "bucket", "left_semi")
-        other = named.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "label")])
-        if star < STARS:
-            middle = F.min_by(F.struct("key2", "n2", "label2"), F.xxhash64("key2", F.lit(star)))
-            found = named.join(other.groupBy("bucket").agg(middle.alias("o")).select("bucket", "o.*"), "bucket")
+            named = rows.withColumn("label", F.col("a"))
         else:
-            found = named.join(other, "bucket").where("key < key2")
-        pairs = stage(found.where(F.col("label") != F.col("label2")).where(near_size).select(*pair).distinct(), "pairs")
+            labels = connected_components(links).select(F.col("node").alias("a"), "component")
+            named = stage(rows.join(labels, "a", "left").withColumn("label", F.coalesce("component", "a")), "named")
+        pairs = candidate_pairs(named, how, most)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if sets is None:  # every set with a near one is in a pair of the forest
+            ends = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "ends")
+            sets = stage(marked.join(ends, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+            whole, rows = rows, stage(rows.join(ends, rows["a"] == ends["key"], "left_semi"), "near_rows")
+            drop_staged(whole)
         new = stage(_similar(pairs, sets), "similar")
         links = new if links is None else links.unionByName(new)
+    drop_staged(sets)
+    drop_staged(rows)
     return links
 
 
@@ -126,18 +263,18 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one row of each group of near copies, with all its columns.
 
     Near copies have sets of SHINGLE_WORDS-word shingles (whole text if shorter, A-Z lower-cased) with a Jaccard similarity of
-    0.8 or more, which is computed exactly for every pair that shares a bucket; a group is what links join. The row of the
-    smallest id stays; a null id only where the whole group has none; of several rows with that id, one. Texts without
-    words (null too) are one group.
+    0.8 or more, which is computed exactly for every candidate pair; a group is what links join. The row of the smallest
+    id stays; a null id only where the whole group has none; of several rows with that id, one. Texts without words (null
+    too) are one group. An empty table stays empty.
     """
     mark, number, key, named = (unused(docs, c) for c in ("kept_print", "kept_n", "kept_key", "kept_id"))
     marked = stage(docs.withColumn(mark, prints(F.col(f"`{text_col}`"))), "prints")
-    rows = marked.select(f"`{mark}`.*")
     distinct = stage(marked.select(F.col(f"`{mark}`.key").alias("key"), F.col(f"`{id_col}`").alias("id")).groupBy("key").agg(F.min("id").alias("first_id")), "distinct")
-    found = connected_components(similar_links(rows)).withColumnRenamed("node", "key")
+    found = connected_components(similar_links(marked.select(f"`{mark}`.*"))).withColumnRenamed("node", "key")
     rooted = distinct.join(found, "key", "left").withColumn("root", F.coalesce("component", "key"))
     first = F.min(F.struct(F.col("first_id").isNull().alias("without"), "first_id", "key"))
     kept = stage(rooted.groupBy("root").agg(first.alias("f")).select(F.col("f.key").alias(key), F.col("f.first_id").alias(named)), "kept")
+    drop_staged(distinct)
     same = (F.col(f"`{mark}`.key") == F.col(key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(named))
     stay = marked.join(kept, same, "left_semi")
     out = [F.col(f"`{c}`") for c in docs.columns]
