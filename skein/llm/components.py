@@ -14,7 +14,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each node hands the smallest neighbour to its larger, then to its smaller
     neighbours, until nothing changes; rounds grow with the logarithm of the longest chain. Nulls and loops are no links,
     repeated links count once, and no links give no rows. A node with very many links is a large group only as the input
-    of a minimum, which is taken before the shuffle, and of a join, whose large partitions Spark splits.
+    of a minimum, which is taken before the shuffle, and of a join. Minima are written before they are joined, so that both
+    sides of the join are shuffled for it alone and Spark splits its large partitions.
     """
     edges = stage(
         links.where("a is not null and b is not null and a <> b")
@@ -29,9 +30,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stage(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large"
+        )
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
@@ -40,7 +43,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = stage(small, "links")
-        drop_staged(edges)
+        for done in (edges, least, large, low):
+            drop_staged(done)
         edges = after
     else:
         raise RuntimeError("components didn't settle; raise max_rounds")
