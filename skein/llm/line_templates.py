@@ -1,9 +1,12 @@
 """Line dedup by a tree of line templates.
 
 As in log parsing, a line falls to a leaf by its number of tokens and its ``DEPTH`` leading tokens, after tokens with a
-digit have become ``<*>``. Within a leaf, variable fields are generalised: a token stays in the template if another line of
-the leaf has the same token there, else it becomes ``<*>``. If less than ``SIMILARITY`` of a line would stay, the line is a
-template of its own. A template found in more than one document recurs: all but its first document lose its lines.
+digit have become ``<*>``. Within a leaf, variable fields are generalised: of a line's tokens those stay that most different
+lines of the leaf have at the same place, until ``PERCENT`` of its places are taken (the leading ones count; ties: the earlier
+place). Lines with the same tokens there are one template, and every place in which they differ is ``<*>``: a field may have
+new values or the same few again and again. A template found in more than one document recurs: all but its first document
+lose its lines. A line alone in its leaf is its own template. The rule looks at counts alone, so it needs no order of lines
+and no pairs.
 """
 
 from __future__ import annotations
@@ -13,16 +16,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import drop_staged, stage
 
 DEPTH = 3
-SIMILARITY = 0.8
+#: Share of a line's places that make its template, rounded up.
+PERCENT = 70
+#: Rows of a table of leaves or templates that is sent to all tasks, at most (some tens of MB); larger ones are shuffled.
+SENT_ROWS = 500_000
 #: A token with a digit; tried at the beginnings of tokens only, so that long ones cost no more than their length.
 VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (names the document's row), i, leaf, mh, masked of every line that has a token."""
+    """doc_id, row (names the document's row), i, leaf, h1 and h2 (name the masked line), masked of every line that has a token."""
     parted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("lines"))
     exploded = parted.select("doc_id", "row", F.posexplode("lines").alias("i", "line"))
     line = F.col("line")
@@ -40,40 +50,43 @@ def _lines(docs: DataFrame) -> DataFrame:
             "row",
             "i",
             F.xxhash64(n_tokens, F.substring_index("masked", " ", DEPTH)).alias("leaf"),
-            F.xxhash64("masked").alias("mh"),
+            F.xxhash64("masked").alias("h1"),
+            F.xxhash64(F.lit(1), "masked").alias("h2"),
             "masked",
         )
     )
 
 
-def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """mh and template of the lines whose leaf has more than one line; each distinct line is looked at once."""
-    leaves = lines.groupBy("leaf").agg(F.min("mh").alias("a"), F.max("mh").alias("b")).where("a <> b").select("leaf")
-    distinct = _lines(docs).select("leaf", "mh", "masked").join(leaves, "leaf", "left_semi").groupBy("leaf", "mh").agg(F.first("masked").alias("masked"))
-    tokens = stage(
-        distinct.select("leaf", "mh", F.posexplode(F.split("masked", " ")).alias("p", "token")).select("leaf", "mh", "p", F.xxhash64("token").alias("t")),
-        "tokens",
-    )
-    shared = tokens.groupBy("leaf", "p", "t").agg(F.min("mh").alias("a"), F.max("mh").alias("b")).where("a <> b").select("leaf", "p", "t", F.lit(1).alias("is_shared"))
-    kept = tokens.join(shared, ["leaf", "p", "t"], "left")
-    line = kept.groupBy("leaf", "mh").agg(
-        F.count("*").alias("n"),
-        F.count("is_shared").alias("n_kept"),
-        F.sort_array(F.collect_list(F.when(F.col("is_shared") == 1, F.struct("p", "t")))).alias("parts"),
-    )
-    return line.where(F.col("n_kept") >= SIMILARITY * F.col("n")).select(
-        "mh", F.xxhash64("leaf", "n", F.transform("parts", lambda x: F.xxhash64(x["p"], x["t"]))).alias("template")
+def _templates(lines: DataFrame) -> DataFrame:
+    """h1, h2, t1, t2 (name the template) of the lines whose leaf has more than one; each distinct line is looked at once."""
+    leaves = stage(lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf"), "leaves")
+    distinct = lines.join(_sent(leaves), "leaf", "left_semi").groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked"))
+    words = F.split("masked", " ")
+    lead = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)).alias("lead")
+    distinct = stage(distinct.select("leaf", "h1", "h2", lead, F.size(words).alias("n"), F.slice(words, DEPTH + 1, F.size(words)).alias("rest")), "distinct")
+    tokens = distinct.select("leaf", "h1", "h2", F.posexplode("rest").alias("p", "token"))
+    shared = tokens.groupBy("leaf", "p", "token").agg(F.count("*").alias("lines")).where("lines > 1")
+    kept = tokens.join(shared, ["leaf", "p", "token"], "left")
+    order = F.struct(-F.coalesce("lines", F.lit(1)), "p", "token")
+    ranked = kept.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(order)).alias("ranked"))
+    n_kept = F.greatest(F.floor((F.col("n") * PERCENT + 99) / 100).cast("int") - DEPTH, F.lit(0))
+    parts = F.transform(F.slice("ranked", 1, n_kept), lambda x: F.struct(x["p"], x["token"]))
+    found = distinct.join(ranked, ["h1", "h2"], "left").select(
+        "h1", "h2", F.xxhash64("lead", parts).alias("t1"), F.xxhash64(F.lit(1), "lead", parts).alias("t2")
     )
+    return stage(found, "templates")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row and drops (indexes of lines to drop) of the documents that lose lines."""
-    lines = stage(_lines(docs).select("doc_id", "row", "i", "leaf", "mh"), "lines")
-    templates = stage(_templates(docs, lines), "templates")
-    named = lines.join(templates, "mh", "left").select("doc_id", "row", "i", F.coalesce("template", "mh").alias("template"))
-    seen = named.groupBy("template").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id <> last_id")
-    lost = named.join(seen, "template").where("doc_id <> first_id or doc_id is null")
-    return lost.groupBy("doc_id", "row").agg(F.collect_set("i").alias("drops"))
+    lines = stage(_lines(docs), "lines")
+    found = lines.select("doc_id", "row", "i", "h1", "h2").join(_sent(_templates(lines)), ["h1", "h2"], "left")
+    named = found.select("doc_id", "row", "i", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
+    seen = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id <> last_id")
+    lost = named.join(_sent(stage(seen, "seen")), ["t1", "t2"]).where("doc_id <> first_id or doc_id is null")
+    drops = stage(lost.groupBy("doc_id", "row").agg(F.collect_set("i").alias("drops")), "drops")
+    drop_staged(lines)
+    return drops
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

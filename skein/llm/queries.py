@@ -177,17 +177,15 @@ WITH raw AS (
   SELECT doc_id, i, string_split(regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS m FROM spaced WHERE s <> ''
 ), distinct_lines AS (
   SELECT DISTINCT len(m) AS n, list_slice(m, 1, 3) AS lead, m FROM lines
-), leaves AS (
-  SELECT n, lead FROM distinct_lines GROUP BY n, lead HAVING count(*) > 1
 ), tokens AS (
-  SELECT n, lead, m, p, list_extract(m, p) AS t FROM (SELECT n, lead, m, unnest(range(1, n + 1)) AS p FROM distinct_lines SEMI JOIN leaves USING (n, lead))
-), shared AS (
-  SELECT n, lead, m, p, CASE WHEN count(*) OVER (PARTITION BY n, lead, p, t) > 1 THEN t END AS t FROM tokens
-), templates AS (
-  SELECT n, lead, m, list(t ORDER BY p) AS tpl FROM shared GROUP BY n, lead, m HAVING count(t) >= 0.8 * n
+  SELECT n, lead, m, p, list_extract(m, p) AS t FROM (SELECT n, lead, m, unnest(range(4, n + 1)) AS p FROM distinct_lines)
+), counted AS (
+  SELECT n, lead, m, p, t, count(*) OVER (PARTITION BY n, lead, p, t) AS f FROM tokens
+), skeletons AS (
+  SELECT m, list_slice(list({'p': p, 't': t} ORDER BY f DESC, p), 1, greatest((any_value(n) * 70 + 99) // 100 - 3, 0)) AS parts FROM counted GROUP BY m
 ), named AS (
-  SELECT doc_id, i, CASE WHEN t.m IS NULL THEN {'own': true, 'tpl': l.m} ELSE {'own': false, 'tpl': t.tpl} END AS template
-  FROM lines l LEFT JOIN templates t ON l.m = t.m
+  SELECT doc_id, i, {'n': len(l.m), 'lead': list_slice(l.m, 1, 3), 'parts': s.parts} AS template
+  FROM lines l LEFT JOIN skeletons s ON l.m = s.m
 ), seen AS (
   SELECT template, min(doc_id) AS first_id FROM named GROUP BY template HAVING count(DISTINCT doc_id) > 1
 ), lost AS (

@@ -493,6 +493,27 @@ def test_lines_with_variable_fields_recur(spark):
     assert out[0].count("\n") == 2 and all(out[k].count("\n") <= 1 and "posted" not in out[k] and "footer" not in out[k] for k in range(1, 5))
 
 
+def dropped(spark, texts):
+    from skein.llm.line_templates import drop_recurring_lines
+
+    return sum(r.n_dropped for r in drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def test_fields_with_few_values_many_values_or_one_in_four_tokens(spark):
+    names, cities = "Anna Ben Cora Dan Eva".split(), "Rome Oslo Bonn Lyon Bath".split()
+    line = "user sees the welcome page as {} coming from {} now".format
+    assert dropped(spark, [line(a, b) for a in names for b in cities]) == 24
+    assert dropped(spark, [line(f"{chr(97 + k)}x", f"{chr(97 + k)}y") for k in range(25)]) == 24
+    assert dropped(spark, [f"goods came from {c}" for c in "Rome Oslo Bonn Lyon Bath Rome Kiel Graz Pisa".split()]) == 8
+    four = [f"From our busy news desk by {a} {b}" for a in ("Anna", "Ben") for b in ("today", "yesterday")]
+    assert dropped(spark, four) == 3
+    # two templates in one leaf, and a line that is like neither
+    mixed = [f"we have now shipped order of {a} to {b} by road" for a in names for b in cities[:2]]
+    mixed += [f"we have now received money of {a} in {b} by wire" for a in names[:3] for b in cities[3:]]
+    assert dropped(spark, [*mixed, "we have now nothing else that anybody could ever want"]) == 9 + 5
+    assert dropped(spark, ["a line of its own here", "some other line is there", "and a third one follows it"]) == 0
+
+
 def test_pipeline_runs_as_its_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, step in corpus_pipeline.STAGES:
