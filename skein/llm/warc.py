@@ -7,7 +7,7 @@ revisit may change.
 
 from __future__ import annotations
 
-import gzip
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 #: Headers of a stored response that a "not modified" answer doesn't change, and those of one connection.
 NOT_MERGED = (
     "content-length content-encoding content-type content-range transfer-encoding connection keep-alive te trailer "
@@ -23,6 +25,9 @@ NOT_MERGED = (
 #: Query parameters that don't name a page.
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)"
 
+#: Bytes of a file that are inflated at once.
+PART = 1 << 20
+
 _HEADERS = pa.map_(pa.string(), pa.string())
 RECORD = pa.schema(
     [("source_key", pa.int64()), ("ordinal", pa.int64())]
@@ -47,27 +52,75 @@ def _fields(block: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], fields
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a plain or gzip file (of one or many members) in parts of PART bytes; ends where the file is broken."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + PART]) for k in range(0, len(view), PART))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    rest = b""
+    while at < len(view) or rest:
+        if not rest:
+            rest = bytes(view[at : at + PART])
+            at += PART
+        try:
+            part = member.decompress(rest, PART)
+        except zlib.error:
+            return
+        if part:
+            yield part
+        if member.eof:
+            rest, member = member.unused_data, zlib.decompressobj(31)
+        else:
+            rest = member.unconsumed_tail
+
+
+def _whole_number(text: str, digits: str) -> int | None:
+    return int(text) if re.fullmatch(f"[0-9]{digits}", text) else None
+
+
 def read_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzip (also one member per record). A broken tail ends the reading."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
+    """The records of a WARC file, plain or gzip (also one member per record).
+
+    Reading ends at a broken tail: compressed data that can't be read on, a head without an end, a length that is no
+    number, or a block that is shorter than its length. Records before it are given. A file is inflated as it is read;
+    beside it one record is in memory. A status that isn't three digits is null.
+    """
+    parts = _inflated(data)
+    held = bytearray()
+
+    def find(what: bytes, begin: int) -> int:
+        while (at := held.find(what, begin)) < 0:
+            begin = max(begin, len(held) - len(what) + 1)
+            part = next(parts, None)
+            if part is None:
+                return -1
+            held.extend(part)
+        return at
+
+    while (at := find(b"WARC/", 0)) >= 0:
+        del held[:at]
+        end = find(b"\r\n\r\n", 0)
         if end < 0:
             return
-        _, fields = _fields(data[at:end])
-        length = fields.get("content-length", "")
-        if not length.isdigit():
+        _, fields = _fields(bytes(held[:end]))
+        length = _whole_number(fields.get("content-length", ""), "{1,15}")
+        if length is None:
             return
-        block = data[end + 4 : end + 4 + int(length)]
-        at = end + 4 + int(length)
+        stop = end + 4 + length
+        while len(held) < stop:
+            part = next(parts, None)
+            if part is None:
+                return
+            held.extend(part)
+        block = bytes(held[end + 4 : stop])
+        del held[:stop]
         status, headers, payload = None, {}, block
         if "msgtype=response" in fields.get("content-type", ""):
             head, _, payload = block.partition(b"\r\n\r\n")
             first, headers = _fields(head)
-            code = first.split(" ")[1:2]
-            status = int(code[0]) if code and code[0].isdigit() else None
+            status = _whole_number("".join(first.split(" ")[1:2]), "{3}")
         yield {
             "warc_type": fields.get("warc-type"),
             "record_id": fields.get("warc-record-id"),
@@ -93,9 +146,9 @@ def parse_warc(files: DataFrame, key_col: str, data_col: str, *, with_payload: b
                 for k, record in enumerate(read_records(data.as_py() or b"")):
                     size += record["payload_bytes"] if with_payload else 500
                     rows.append(record | {"source_key": key.as_py(), "ordinal": k} | ({} if with_payload else {"payload": None}))
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_pylist(rows, RECORD)
-                    rows, size = [], 0
+                    if size > 4_000_000:
+                        yield pa.RecordBatch.from_pylist(rows, RECORD)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, RECORD)
 
@@ -104,7 +157,10 @@ def parse_warc(files: DataFrame, key_col: str, data_col: str, *, with_payload: b
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under ``path``; the key is a hash of the file's name."""
+    """Records of all WARC files under ``path``; the key is a hash of the file's name.
+
+    Spark hands a file over in one row as it is stored, so a file may have 2 GB; it is inflated as it is read.
+    """
     files = spark.read.format("binaryFile").load(path)
     return parse_warc(files.select(F.xxhash64("path").alias("key"), "content"), "key", "content")
 
@@ -149,7 +205,8 @@ def resolve_revisits(records: DataFrame, chunk: str = "day") -> DataFrame:
     no_earlier_response. "Earlier" is strictly before; among responses of one moment the greatest record id counts. A
     revisit without a readable date or URL has no earlier response. Repeated revisits stay repeated. The join runs in two
     levels, within chunks of time and over the last responses of chunks, so that a URL with very many captures is no
-    single task. Payloads don't travel: ``attach_payload`` fetches them by refers_to.
+    single task. Records are read once: what is needed of them is written to the shared folder. Payloads don't travel:
+    ``attach_payload`` fetches them by refers_to. No records, or none that are revisits, give no rows.
     """
     ts = F.unix_micros(F.try_to_timestamp("date"))
     rows = records.select(
@@ -166,7 +223,7 @@ def resolve_revisits(records: DataFrame, chunk: str = "day") -> DataFrame:
         "payload_bytes",
         "payload_crc32",
     ).where("warc_type = 'revisit' or (warc_type = 'response' and status = 200)")
-    rows = rows.withColumn("chunk", F.date_trunc(chunk, F.timestamp_micros("ts")))
+    rows = stage(rows.withColumn("chunk", F.date_trunc(chunk, F.timestamp_micros("ts"))), "records")
     response = F.when(
         ~F.col("is_revisit") & F.col("ts").isNotNull() & F.col("canonical").isNotNull(),
         F.struct("record_id", "headers", "digest", "payload_bytes", "payload_crc32"),

@@ -14,7 +14,7 @@ from skein.llm.rules import quality_rules
 from skein.llm.secret_scan import labelled_findings, secret_scan, train
 from skein.llm.simhash import simhash_groups
 from skein.llm.token_store import token_store
-from skein.llm.warc import canonical_url, parse_warc, resolve_revisits
+from skein.llm.warc import canonical_url, parse_warc, read_records, read_warc, resolve_revisits
 
 #: columns with the names that operators use inside, besides those of the table
 CLASHES = "fp score leaks h range row drops leaf mh t key a b kept_id kept_fp mix_id mix_position shard ids size position component_id".split()
@@ -129,6 +129,55 @@ def test_broken_warc(spark):
     assert got == [None, "", "a.com/x?a=1&b=2", "a.com/x?a=1&b=2", "a.com/x", ""]
 
 
+def record(body, length=None, status="200"):
+    block = f"HTTP/1.1 {status} OK\r\nETag: x\r\n\r\n".encode() + body
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {length or len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_broken_tails_end_the_reading():
+    import gzip
+    import random
+
+    noise = random.Random(1).randbytes(3_000_000)
+    good = record(b"one") + record(noise)
+    bodies = lambda data: [r["payload"] for r in read_records(data)]
+    assert bodies(good) == bodies(gzip.compress(good)) == bodies(gzip.compress(record(b"one")) + gzip.compress(record(noise))) == [b"one", noise]
+    assert bodies(gzip.compress(good)[:-100_000]) == bodies(gzip.compress(record(b"one")) + b"\x1f\x8bbroken") == [b"one"]
+    assert bodies(gzip.compress(record(b"one")) + b"\x00" * 20) == [b"one"]
+    assert bodies(record(b"one") + record(b"two")[:-8]) == [b"one"]
+    assert bodies(record(b"one") + record(b"two", "²")) == bodies(record(b"one") + record(b"two", "9" * 30)) == [b"one"]
+    assert [r["status"] for r in read_records(record(b"a", status="²") + record(b"b", status="20") + record(b"c"))] == [None, None, 200]
+    assert bodies(b"") == bodies(b"\x1f\x8b") == bodies(b"WARC/" * 5) == []
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.warc").write_bytes(record(b"plain"))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(b"one")) + gzip.compress(record(b"two")))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record(b"three") * 2)[:-9])
+    (tmp_path / "d.warc").write_bytes(b"")
+    got = read_warc(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in got)[:2] == [b"one", b"plain"] and len({r.source_key for r in got}) == 3
+    assert all(r.payload_bytes == len(r.payload) and r.status == 200 for r in got)
+
+
+def test_empty_and_very_long_pages_with_clashing_columns(spark, tmp_path):
+    rows = [(1, "http://a.com/x", "<title>a</title>" + LONG), (2, "http://a.com/x", ""), (3, "http://b.com/", MANY)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = pages.withColumns({c: F.lit(c) for c in ("warc", "canonical", "ts", "chunk", "near", "hit", "headers", "c", "k")})
+    clash.write.parquet(f"{tmp_path}/full/pages.parquet")
+    clash.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    got = {r.page_id: (r.canonical, r.outcome, r.refers_to_page, r.payload_bytes) for r in queries.op4_warc_revisits(spark, f"{tmp_path}/full").collect()}
+    assert got == {
+        1: ("a.com/x", "validator_mismatch", None, None),  # page 2 was captured between
+        2: ("a.com/x", "resolved", 2, 0),
+        3: ("b.com", "resolved", 3, len(MANY)),
+    }
+    assert queries.op4_warc_revisits(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_awkward_pages(spark, tmp_path):
     rows = [(1, "http://a.com/", "<title>x</title>"), (1, "http://a.com/", "<title>x</title>"), (None, None, None), (2, None, "y"), (3, "http://a.com", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
