@@ -1,16 +1,17 @@
 """Benchmark passages inside documents.
 
 For every benchmark item, windows of the item's own length slide over a document. A window's SimHash fingerprint is
-looked up in a multi-index of the items' fingerprints: 64 bits in ``BLOCKS`` blocks, each with a table from a block's
-value to the items within ``RADIUS // BLOCKS`` bits of it, which together hold every item within the radius. Candidates
-are verified by the exact weighted similarity of their shingles (each weighing its number of occurrences).
+compared with the item's in a multi-index of ``BLOCKS`` blocks: a window within the radius is within ``RADIUS // BLOCKS`` bits
+in one block at least, so no such window is missed. Candidates are verified by the exact weighted similarity of their
+shingles (each weighing its number of occurrences).
 
-Only windows that share at least one shingle with the item are built: any other has similarity zero.
+Only windows that share a shingle with the item are built, and only for items of which the text has a rare shingle and
+enough shingles: any other has too small a similarity. At similarity 0.8 about 10 of 64 bits differ, and the radius is 20.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
 from .words import ALNUM, hash_words, pieces, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -27,9 +29,10 @@ RADIUS = 20
 BLOCKS = 8
 #: Words of benchmark items that are sent to every task at once; a larger benchmark is taken in such blocks.
 BLOCK_WORDS = 2_000_000
-#: Windows that are compared at once, and pairs of a window and an item that are marked at once.
+#: Windows that are compared at once, and pairs of a text and an item that are marked at once.
 WINDOWS = 1 << 13
-MARKS = 1 << 24
+MARKS = 1 << 22
+_LOW = np.uint64((1 << 22) - 1)
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -53,101 +56,108 @@ def _prints(sets: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * sets > n, axis=-1, bitorder="little").view("<u8").ravel()
 
 
+#: Whether two bytes are within RADIUS // BLOCKS bits, by their exclusive or.
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
+
+
 class BenchmarkIndex:
-    """Items by shingle, and the multi-index of their fingerprints."""
+    """Items by their rarest shingles, and the blocks of their fingerprints.
+
+    A window as similar as SIMILARITY lacks at most so many of an item's shingles, so it has one of any set of one more: an
+    item is listed under those that the fewest items have. What all items share, such as a question's usual words, lists none.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]):
         words, starts = hash_words([t.translate(ALNUM).split() for _, t in items])
         bounds = list(zip(starts.tolist(), starts[1:].tolist()))
         kept = [(i, words[a:b]) for (i, _), (a, b) in zip(items, bounds) if b > a]
         self.ids = [i for i, _ in kept]
-        self.lengths = np.array([len(w) for _, w in kept], np.int64)
+        self.lengths = [len(w) for _, w in kept]
         self.shingles = [_shingles(w) for _, w in kept]
-        self.items_of: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(self.shingles):
-            for h in set(s.tolist()):
-                self.items_of[h].append(k)
-        #: by shingle length, as items of fewer words than a shingle are one shingle themselves
-        self.by_size = {
-            n: np.unique(np.concatenate([s for s, m in zip(self.shingles, self.lengths) if min(m, SHINGLE_WORDS) == n]))
-            for n in sorted({min(int(m), SHINGLE_WORDS) for m in self.lengths})
-        }
-        self.filters = {}
-        for n, values in self.by_size.items():
-            self.filters[n] = bits = np.zeros(1 << 22, bool)
-            bits[(values & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         prints = np.array([_prints(_bits(s).sum(0, dtype=np.int64), len(s))[0] for s in self.shingles], np.uint64)
         self.prints = prints
-        blocks = prints.view(np.uint8).reshape(-1, 8) if len(prints) else np.empty((0, 8), np.uint8)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-        #: table[block][value]: items (packed bits) whose block is within RADIUS // BLOCKS bits of value
-        self.tables = [np.packbits(near[:, blocks[:, k]], axis=1) for k in range(BLOCKS)]
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of every fingerprint within the radius."""
-        parts = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        some = self.tables[0][parts[:, 0]]
-        for k in range(1, BLOCKS):
-            some = some | self.tables[k][parts[:, k]]
-        window, item = np.unpackbits(some, axis=1, count=len(self.prints)).nonzero()
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[close], item[close]
+        self.blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
+        #: by shingle length, as items of fewer words than a shingle are one shingle themselves: shingles, where each one's
+        #: items begin, items, and a filter of their lowest bits
+        self.listed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(m, SHINGLE_WORDS) for m in self.lengths}):
+            own = [k for k, m in enumerate(self.lengths) if min(m, SHINGLE_WORDS) == n]
+            values, n_items = np.unique(np.concatenate([np.unique(self.shingles[k]) for k in own]), return_counts=True)
+            rare = []
+            for k in own:
+                s = self.shingles[k]
+                by_rank = s[np.lexsort((s, n_items[np.searchsorted(values, s)]))]
+                rare.append(np.unique(by_rank[: len(s) - self.needed(k) + 1]))
+            flat = np.concatenate(rare)
+            who = np.repeat(own, [len(r) for r in rare])
+            order = np.lexsort((who, flat))
+            values, begins = np.unique(flat[order], return_index=True)
+            bits = np.zeros(1 << 22, bool)
+            bits[(values & _LOW).astype(np.int64)] = True
+            self.listed[n] = values, np.append(begins, len(flat)), who[order], bits
+
+    def needed(self, k: int) -> int:
+        """Shingles of item k, repeats counted, that a similar window has at least."""
+        return math.ceil(len(self.shingles[k]) * SIMILARITY - 1e-9)
+
+    def candidates(self, prints: np.ndarray, k: int) -> np.ndarray:
+        """Windows whose fingerprint is within the radius of item k's: a block is within RADIUS // BLOCKS bits of its, then all are counted."""
+        parts = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        some = np.flatnonzero(_NEAR[parts ^ self.blocks[k]].any(1))
+        return some[np.bitwise_count(prints[some] ^ self.prints[k]) <= RADIUS]
+
+    def pairs(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) where the text has one of the shingles under which the item is listed."""
+        found: list[np.ndarray] = [np.empty(0, np.int64)]
+        for n, (values, begins, items, bits) in self.listed.items():
+            h = shingle_hashes(words, n)
+            at = np.flatnonzero(bits[(h & _LOW).astype(np.int64)])
+            place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
+            doc = np.searchsorted(starts, at, "right") - 1
+            hit = (values[place] == h[at]) & (at + n <= starts[doc + 1])
+            once = np.unique(np.stack([doc[hit], place[hit]]), axis=1)
+            counts = begins[once[1] + 1] - begins[once[1]]
+            for part in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(np.cumsum(counts) // MARKS)) + 1):
+                c = counts[part]
+                which = np.repeat(begins[once[1, part]] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+                found.append(np.unique(np.repeat(once[0, part], c) * len(self.ids) + items[which]))
+        return [divmod(x, len(self.ids)) for x in np.unique(np.concatenate(found)).tolist()]
 
     def scan(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text the items found in it, as (item id, similarity, first word, words)."""
         words, starts = hash_words([t.translate(ALNUM).split() for t in texts])
-        wanted: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, values in self.by_size.items():
-            h = shingle_hashes(words, n)
-            at = np.flatnonzero(self.filters[n][(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            at = at[np.isin(h[at], values)]
-            doc = np.searchsorted(starts, at, "right") - 1
-            inside = at + n <= starts[doc + 1]
-            for d, p in zip(doc[inside].tolist(), at[inside].tolist()):
-                for k in self.items_of[int(h[p])]:
-                    wanted[d][k].append(p)
         found: list[list[tuple]] = [[] for _ in texts]
-        for d, hits in wanted.items():
-            begin, end = int(starts[d]), int(starts[d + 1])
-            best: dict[int, tuple] = {}
-            lengths: dict[int, set] = defaultdict(set)
-            for k, places in hits.items():
-                lengths[int(self.lengths[k])].update(places)
-            for length, places in lengths.items():
-                for sim, k, first in self._windows(words[begin:end], sorted(p - begin for p in places), length):
-                    if k not in best or (sim, -first) > (best[k][0], -best[k][1]):
-                        best[k] = (sim, first)
-            found[d] = sorted((self.ids[k], sim, first, int(self.lengths[k])) for k, (sim, first) in best.items())
-        return found
-
-    def _windows(self, words: np.ndarray, places: list[int], length: int) -> Iterator[tuple[float, int, int]]:
-        """Windows of ``length`` words that hold a shingle at one of the places, and the items that they match."""
-        if len(words) < length:
-            #: the whole text is the only window that can be compared
-            length = len(words)
+        hashed = None
+        for d, k in self.pairs(words, starts):
+            own = words[starts[d] : starts[d + 1]]
+            n = min(SHINGLE_WORDS, self.lengths[k])
+            if hashed is None or hashed[:2] != (d, n):
+                hashed = d, n, shingle_hashes(own, n)
+            places = np.flatnonzero(np.isin(hashed[2], self.shingles[k]))
+            if len(places) >= self.needed(k) and (best := self._best_window(own, places, k)):
+                found[d].append((self.ids[k], *best, self.lengths[k]))
+        return [sorted(f, key=lambda x: (x[0] is None, x[0] or 0, x[2])) for f in found]
+
+    def _best_window(self, words: np.ndarray, places: np.ndarray, k: int) -> tuple[float, int] | None:
+        """Similarity and first word of the most similar window of item k's length that holds a shingle at one of the places."""
+        length = min(self.lengths[k], len(words))  # the whole of a shorter text is the only window that can be compared
         n = min(SHINGLE_WORDS, length)
         per = length - n + 1
-        p = np.array(places)
-        cut = np.flatnonzero(np.diff(p) > length) + 1
-        for run in np.split(p, cut):
-            starts = np.unique((run[:, None] - np.arange(per)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - length)]
-            if not len(starts):
-                continue
-            size = max(1, min(WINDOWS, MARKS // len(self.prints)))
-            for begins in np.split(starts, range(size, len(starts), size)):
-                low, high = int(begins[0]), int(begins[-1]) + length
-                shingles = shingle_hashes(words[low:high], n)
+        best = None
+        for run in np.split(places, np.flatnonzero(np.diff(places) > length) + 1):
+            first, last = max(0, int(run[0]) - per + 1), min(int(run[-1]), len(words) - length)
+            for low in range(first, last + 1, WINDOWS):
+                begins = np.arange(low, min(low + WINDOWS, last + 1))
+                shingles = shingle_hashes(words[low : int(begins[-1]) + length], n)
                 sums = np.zeros((len(shingles) + 1, 64), np.int32)
                 np.cumsum(_bits(shingles), axis=0, out=sums[1:])
                 at = begins - low
                 prints = _prints(sums[at + per] - sums[at], per)
-                window, item = self.candidates(prints)
-                for w, k in zip(window.tolist(), item.tolist()):
-                    part = shingles[at[w] : at[w] + per]
-                    sim = weighted_similarity(part, self.shingles[k])
-                    if sim >= SIMILARITY:
-                        yield sim, k, int(begins[w])
+                for w in self.candidates(prints, k).tolist():
+                    sim = weighted_similarity(shingles[w : w + per], self.shingles[k])
+                    if sim >= SIMILARITY and (best is None or sim > best[0]):
+                        best = sim, low + w
+        return best
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -185,16 +195,19 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str, *, text_col: st
     Words are runs of letters and digits with A-Z lower-cased. A text shorter than an item is compared whole. Null and
     empty texts, and items without words, match nothing; equal items of one id count once, a null item id is kept. Columns
     of ``docs`` stay as they are, whatever their names. No shuffle: the benchmark, in blocks of a bounded number of words,
-    goes to every task.
+    goes to every task; with more than one block, rows are written after each, so that a worker holds one block.
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("binary")
-    columns = []
+    out, index = None, None
     for block in _blocks(benchmark, item_id_col, item_text_col):
+        if out is not None:
+            out = stage(out, "leaks")
+            index.destroy()
         index = spark.sparkContext.broadcast(BenchmarkIndex(block))
-        columns.append(F.arrow_udf(_scanner(index), FOUND).asNondeterministic()(text))
-    found = F.concat(*columns) if columns else F.from_json(F.lit("[]"), FOUND)
-    return docs.withColumn(name, found)
+        found = F.arrow_udf(_scanner(index), FOUND).asNondeterministic()(text)
+        out = docs.withColumn(name, found) if out is None else out.withColumn(name, F.concat(F.col(f"`{name}`"), found))
+    return docs.withColumn(name, F.from_json(F.lit("[]"), FOUND)) if out is None else out
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:

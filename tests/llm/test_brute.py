@@ -294,6 +294,20 @@ def test_leaks_against_every_window(monkeypatch, windows_at_once):
     assert sum(map(len, want)) > 30 and found == want
 
 
+def test_a_benchmark_in_blocks_of_a_few_items(spark, small, monkeypatch):
+    whole = sorted(map(tuple, queries.op8_decontaminate(spark, small).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 700)
+    assert whole and sorted(map(tuple, queries.op8_decontaminate(spark, small).collect())) == whole
+
+
+def test_items_are_listed_under_their_rarest_shingles():
+    usual = " ".join(f"u{k}" for k in range(30))
+    items = [(k, f"{usual} {' '.join(f'own{k}x{j}' for j in range(30))}".encode()) for k in range(50)]
+    index = decontaminate.BenchmarkIndex(items)
+    assert max(np.diff(index.listed[5][1])) == 1
+    assert index.scan([usual.encode(), items[7][1]]) == [[], [(7, 1.0, 0, 60)]]
+
+
 # Quality
 
 
