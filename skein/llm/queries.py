@@ -159,7 +159,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return secret_scan(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scan: patterns find candidates, a random forest removes false positives.
 
 Everything on the rows is done by built-in functions and the JVM's own forest. The forest is trained from labelled findings
-(columns as ``candidates`` makes them, and ``label``). No table of the test data labels findings, so ``labelled_findings``
-makes a stated set: secrets and look-alikes in the places where they occur.
+(columns as ``candidates`` makes them, and ``label``). Where no findings are labelled, ``labelled_findings`` makes a stated set:
+names, ways of writing an assignment, kinds of values, paths and neighbouring words are drawn independently, so that the forest
+learns what each of them says and no layout.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import drop_staged, stage
+
 GAP = "[\\x20\\x09-\\x0D]+"
 #: A word is a candidate if it has a run of so many key characters among which there is a digit. The pattern is tried at
 #: the beginnings of runs only, so that a long one costs no more than its length.
@@ -21,38 +24,66 @@ CANDIDATE = "(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{12
 #: Signs between the fields of a word (a query string, JSON without spaces), each of which is looked at by itself. How far it
 #: looks ahead is bounded, so that a long word costs no more than its length.
 BETWEEN = "[&,;?{|]+(?=[\"']?[A-Za-z_][A-Za-z0-9_.-]{0,40}[\"']?[=:])|(?<=[\"'])[,;]+(?=[\"'])|(?<=[\"'])[}\\]]+$|[,;|&](?=[A-Za-z0-9+/_=.-]{12})"
+#: Known beginnings of keys.
 PREFIX = "(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|AIza|glpat-)"
 #: A known prefix, or a name with its value, makes a candidate of any length with or without digits.
-NAMED = "(?<![A-Za-z0-9])" + PREFIX + "[A-Za-z0-9]|[A-Za-z_\"'\\]][=:]+[\"']?[^=:/\"']"
+NAMED = "^-----BEGIN$|(?<![A-Za-z0-9])" + PREFIX + "[A-Za-z0-9]|[A-Za-z_\"'\\]][=:]+[\"']?[^=:/\"']"
 #: Names that announce secrets, and names that announce look-alikes.
 SECRET_NAMES = "(?i)(passw|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private)"
 OTHER_NAMES = "(?i)(commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|isbn|order|invoice|phone|card|build|version|ref|id[:=])"
 #: The word before a value: an assignment, or a name that announces secrets.
 ANNOUNCED = "[=:]$|" + SECRET_NAMES + "[A-Za-z0-9_]{0,20}[\"']?$"
-#: Words that make a value look written by a person.
+#: Frequent words, of which the share in a value is its dictionary coverage.
 DICTIONARY = (
-    "the and for with this that from test example sample dummy placeholder change your here user name file page index image "
-    "data http https www com org net html php main master value default secret password token key hello world foo bar"
+    "about account action address admin after again album alpha android annual answer apple april archive area article august author "
+    "back base before beta blog blue board body book border bottom branch brown build business button cache call camera card cart "
+    "case category center change check child city class clean click client close cloud code color comment common company config "
+    "contact content copy count country create current custom data date december default delete demo desktop detail device dialog "
+    "document door down download draft dragon drive edit email empty engine english error event example export family field file "
+    "filter final first flash folder font food foot form forum frame free friday friend from front full game gallery garden general "
+    "global gold green group guest guide hash head header health hello help here high history home hotel house html http icon image "
+    "import index info input issue item java july june just label land large last layer left letter level library light line link "
+    "linux list live local login logo long love mail main make march market master media member menu message mobile model module "
+    "money monday month more mouse movie music name network never news next night node note november number object october offer "
+    "office online open option order other page panel paper part party pass password path people phone photo place plan play player "
+    "plugin point policy popular post press price print private product profile project public query quick random read record red "
+    "register release report request reset result return review right river road role root rule sample save school score screen "
+    "script search second secret secure security select send sept server service session setting shadow share shop short show side "
+    "sign simple site size small social some song sort sound source space sport staff star start state static status step stop store "
+    "story street string student style submit summer sunday support system table target task team template test text theme thing "
+    "this thread time title today token tool total train travel tree type under update upload url user utils value version video view "
+    "water web week welcome white window winter wood word work world write year yellow your"
 ).split()
-TREES, DEPTH, SEED = 24, 7, 7
+#: What stands for a value that isn't given.
+PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|change_me|your|xxxx|[*]{3}|<.*>|[$][{(]|todo|null|none|redacted)"
+#: Where secrets are made up, and where they are set.
+TEST_PATH = "(?i)(test|spec|example|sample|fixture|mock|demo|readme|docs?/)"
+CONFIG_PATH = "(?i)([.]env|[.]ini|[.]cfg|[.]conf|[.]ya?ml|[.]toml|[.]properties|config|settings|deploy|prod)"
+TREES, DEPTH, SEED = 24, 8, 7
 THRESHOLD = 0.5
-FEATURES = (
-    "length runs_ratio digit_ratio upper_ratio hex_only distinct_ratio dictionary_ratio path_parts url_like at_sign "
-    "secret_before other_before assigned quoted known_prefix"
-).split()
-
-
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate: doc_id, word_index, word (a field of it), before (the two words before it), after (the next word).
-
-    Candidates are runs of key characters (``CANDIDATE``), known prefixes, values with a name, and words after an assignment or
-    a name that announces secrets; the forest rejects. Null and empty texts have none; repeated rows repeat theirs; other
-    columns aren't looked at.
+#: Kinds of neighbouring characters: a and A for letters, 0 for digits, - for other signs; either order unless it says otherwise.
+TRANSITIONS = {"lower_digit": "a0|0a", "upper_digit": "A0|0A", "lower_upper": "aA", "upper_lower": "Aa", "sign_other": "-[aA0]|[aA0]-"}
+FEATURES = [
+    *"length digit_ratio upper_ratio hex_only distinct_ratio".split(),
+    *TRANSITIONS,
+    *"consonant_pairs dictionary_ratio placeholder path_parts url_like at_sign test_path config_path".split(),
+    *"secret_before other_before secret_after other_after assigned quoted known_prefix key_block".split(),
+]
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """One row per candidate: doc_id, path, word_index, word (a field of it), before and after (the two words on either side).
+
+    Candidates are runs of key characters (``CANDIDATE``), known prefixes, beginnings of key blocks, values with a name, and
+    words after an assignment or a name that announces secrets; the forest rejects. Null and empty texts have none; a null
+    path, or none, is empty; repeated rows repeat theirs; other columns aren't looked at.
     """
     text = F.col(f"`{text_col}`")
-    may = F.col("text").rlike(CANDIDATE) | F.col("text").rlike("[=:]|" + PREFIX) | F.col("text").rlike(SECRET_NAMES)
-    part = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).where(may)
-    words = part.select("doc_id", F.filter(F.split("text", GAP), lambda w: w != "").alias("w"))
+    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
+    may = F.col("text").rlike(CANDIDATE) | F.col("text").rlike("[=:]|-----BEGIN|" + PREFIX) | F.col("text").rlike(SECRET_NAMES)
+    part = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), text.alias("text")).where(may)
+    words = part.select("doc_id", "path", F.filter(F.split("text", GAP), lambda w: w != "").alias("w"))
     w = F.col("w")
 
     def fields(x: Column, i: Column) -> Column:
@@ -61,23 +92,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.transform(F.filter(F.split(x, BETWEEN), own), lambda f: F.struct(i.alias("word_index"), f.alias("word")))
 
     hits = F.flatten(F.transform("w", fields))
+    near = lambda s, *k: F.concat_ws(" ", *[F.get(w, s["word_index"] + j) for j in k])
     full = F.transform(
         hits,
         lambda s: F.struct(
-            s["word_index"].cast("long").alias("word_index"),
-            s["word"].alias("word"),
-            F.concat_ws(" ", F.get(w, s["word_index"] - 2), F.get(w, s["word_index"] - 1)).alias("before"),
-            F.coalesce(F.get(w, s["word_index"] + 1), F.lit("")).alias("after"),
+            s["word_index"].cast("long").alias("word_index"), s["word"].alias("word"), near(s, -2, -1).alias("before"), near(s, 1, 2).alias("after")
         ),
     )
-    return words.select("doc_id", F.inline(full))
-
-
-def _runs(value: Column) -> Column:
-    """Runs of one kind of character: lower, upper, digit, other."""
-    for pattern, sign in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^a-zA-Z0-9]+", "-")):
-        value = F.regexp_replace(value, pattern, sign)
-    return F.length(value)
+    return words.select("doc_id", "path", F.inline(full))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -87,85 +109,116 @@ def with_features(found: DataFrame) -> DataFrame:
     found = found.withColumn("value", value)
     v = F.col("value")
     n = F.greatest(F.length(v), F.lit(1))
-    words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
-    near = F.concat_ws(" ", "before", F.regexp_extract(word, "^([^=:]*[=:])", 1))
+    pairs = F.greatest(F.length(v) - 1, F.lit(1))
+    kinds = F.regexp_replace(F.translate(v, _LOWER + _UPPER + _DIGITS, "a" * 26 + "A" * 26 + "0" * 10), "[^aA0]", "-")
+    sounds = F.translate(F.lower(v), _LOWER, "".join("v" if x in "aeiouy" else "c" for x in _LOWER))
+    words = "|".join(sorted(DICTIONARY, key=lambda x: (-len(x), x)))
+    before = F.concat_ws(" ", "before", F.regexp_extract(word, "^([^=:]*[=:])", 1))
     number = {
         "length": F.length(v),
-        "runs_ratio": _runs(v) / n,
-        "digit_ratio": F.regexp_count(v, F.lit("[0-9]")) / n,
-        "upper_ratio": F.regexp_count(v, F.lit("[A-Z]")) / n,
-        "hex_only": v.rlike("^[0-9a-f]+$").cast("int"),
+        "digit_ratio": F.regexp_count(kinds, F.lit("0")) / n,
+        "upper_ratio": F.regexp_count(kinds, F.lit("A")) / n,
+        "hex_only": v.rlike("^(?=.*[0-9])[0-9a-f]+$").cast("int"),
         "distinct_ratio": F.size(F.array_distinct(F.split(v, ""))) / n,
+        **{k: F.regexp_count(kinds, F.lit(f"(?={p}).")) / pairs for k, p in TRANSITIONS.items()},
+        "consonant_pairs": F.regexp_count(sounds, F.lit("(?=cc).")) / pairs,
         "dictionary_ratio": 1 - F.length(F.regexp_replace(F.lower(v), words, "")) / n,
+        "placeholder": v.rlike(PLACEHOLDER).cast("int"),
         "path_parts": F.regexp_count(v, F.lit("[/.]")),
         "url_like": word.rlike("(?i)(://|^www\\.|\\.(com|org|net|html?)\\b)").cast("int"),
         "at_sign": F.contains(word, F.lit("@")).cast("int"),
-        "secret_before": near.rlike(SECRET_NAMES).cast("int"),
-        "other_before": near.rlike(OTHER_NAMES).cast("int"),
+        "test_path": F.col("path").rlike(TEST_PATH).cast("int"),
+        "config_path": F.col("path").rlike(CONFIG_PATH).cast("int"),
+        "secret_before": before.rlike(SECRET_NAMES).cast("int"),
+        "other_before": before.rlike(OTHER_NAMES).cast("int"),
+        "secret_after": F.col("after").rlike(SECRET_NAMES).cast("int"),
+        "other_after": F.col("after").rlike(OTHER_NAMES).cast("int"),
         "assigned": (word.rlike("[A-Za-z_\"'][=:].") | F.col("before").rlike("[=:]$")).cast("int"),
         "quoted": word.rlike("^[\"']|[=:][\"']").cast("int"),
         "known_prefix": v.rlike("^" + PREFIX).cast("int"),
+        "key_block": (word.rlike("^-----BEGIN$") & F.col("after").rlike("PRIVATE")).cast("int"),
     }
     return found.withColumns({k: x.cast("double") for k, x in number.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """A stated set of n labelled findings, the same at every call: word, before, after, label."""
-    i = F.col("id")
-    sign = lambda k: F.sha2(F.concat(i.cast("string"), F.lit(f":{k}")), 256)
-    number = lambda k: F.conv(F.substring(sign(k), 1, 12), 16, 10)
-    upper = F.substring(F.translate(F.upper(F.regexp_replace(F.base64(F.unhex(sign(1))), "[^A-Za-z0-9]", "")), "0189", "2345"), 1, 16)
-    mixed = F.regexp_replace(F.base64(F.unhex(sign(2))), "[^A-Za-z0-9]", "")
-    filler = F.element_at(F.array(*map(F.lit, "the in of with see and for at our from".split())), (i % 10 + 1).cast("int"))
-    made = F.element_at(F.array(*map(F.lit, "onerthing eruntlichkeit mentauxre ciadorando thatering".split())), (i % 5 + 1).cast("int"))
-    hexa = lambda m: F.substring(sign(3), 1, m)
-    kinds = [
-        (F.concat(F.lit("password="), F.substring(sign(4), 1, (12 + i % 9).cast("int"))), filler, 1),
-        (F.concat(F.lit('"'), hexa(40), F.lit('"')), F.concat(F.lit("token =")), 1),
-        (F.concat(F.lit("AKIA"), upper), filler, 1),
-        (F.concat(F.lit("ghp_"), F.substring(F.concat(mixed, mixed), 1, 36)), filler, 1),
-        (F.concat(F.lit("api_key:"), F.substring(mixed, 1, 24)), filler, 1),
-        (F.concat(F.lit("secret='"), F.substring(mixed, 1, 20), F.lit("'")), filler, 1),
-        (hexa(40), F.lit("in commit"), 0),
-        (hexa(32), F.lit("md5 checksum"), 0),
-        (hexa(64), F.lit("sha256 digest"), 0),
-        (F.concat_ws("-", hexa(8), F.substring(sign(5), 1, 4), F.substring(sign(6), 1, 4), F.substring(sign(7), 1, 4), F.substring(sign(8), 1, 12)), filler, 0),
-        (F.rpad(number(1), 16, "4"), filler, 0),
-        (F.concat(made, F.lit("."), (i % 100).cast("string"), F.lit("@mail"), (i % 9).cast("string"), F.lit(".example.com")), filler, 0),
-        (F.concat(F.lit("https://www."), made, F.lit(".example.org/en/"), F.substring(number(2), 1, 5), F.lit(".html")), filler, 0),
-        (F.concat(F.lit("/usr/lib/"), made, F.lit("/v"), (i % 30).cast("string"), F.lit("/index.html")), filler, 0),
-        (F.concat(F.lit("password=changeme"), (i % 1000).cast("string")), filler, 0),
-        (F.concat(F.lit("AKIAEXAMPLE"), F.lit("EXAMPLE"), (i % 10).cast("string")), filler, 0),
-        (F.concat(made, made, (i % 100).cast("string")), filler, 0),
-        (F.concat(F.lit("token=your-token-here"), (i % 10).cast("string")), filler, 0),
-        (F.concat_ws("-", F.lit("+49"), F.substring(number(3), 1, 3), F.substring(number(4), 1, 8)), filler, 0),
-        (F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("T10-20-30")), filler, 0),
-        (F.concat(F.lit("AKIA"), F.translate(upper, "234567", "QWXYZK")), filler, 1),
-        (F.concat(F.substring(made, 1, 6), (i % 100).cast("string")), F.lit("the password:"), 1),
-        (F.substring(F.translate(mixed, "0123456789+/", "abcdefghijkl"), 1, (7 + i % 6).cast("int")), F.lit("password ="), 1),
-        (F.concat(F.lit("pwd="), F.substring(mixed, 1, (6 + i % 6).cast("int"))), filler, 1),
-        (F.concat(F.lit("passwd="), made), filler, 1),
-        (made, F.lit("the secret"), 0),
-        (made, F.lit("please note:"), 0),
-        (filler, F.lit("the password:"), 0),
-        (F.concat(F.lit("lang="), made), filler, 0),
-    ]
-    rows = F.array(*[F.struct(w.alias("word"), b.alias("before"), F.lit(y).cast("double").alias("label")) for w, b, y in kinds])
-    return spark.range(0, n, 1, 1).select(F.element_at(rows, (i / 5 % len(kinds) + 1).cast("int")).alias("r"), filler.alias("after")).select("r.*", "after")
+def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> DataFrame:
+    """A stated set of n labelled findings, the same at every call with a seed: path, word, before, after, label."""
+    drawn = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_003))
+    pick = lambda k, options: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in options]), (drawn(k) % len(options) + 1).cast("int"))
+    hexa = lambda k: F.sha2(F.concat_ws(":", "id", F.lit(seed), F.lit(k)), 256)
+    mixed = F.regexp_replace(F.base64(F.unhex(hexa(1))), "[^A-Za-z0-9]", "")
+    digits = F.regexp_replace(F.conv(F.substring(hexa(2), 1, 15), 16, 10), "^0", "7")
+    upper = F.substring(F.translate(F.upper(mixed), "0189", "2345"), 1, 16)
+    letters = F.translate(mixed, _DIGITS, "kqzvjxwbgf")
+    word = lambda k: pick(k, DICTIONARY[::3])
+    sounds = lambda k: F.concat(*[x for j in range(3) for x in (F.element_at(F.split(F.lit("b d f g l m n p r s t v"), " "), (drawn(f"{k}c{j}") % 12 + 1).cast("int")), F.element_at(F.split(F.lit("a e i o u ea ou ie"), " "), (drawn(f"{k}v{j}") % 8 + 1).cast("int")))])  # noqa: E731, E501
+    filler = lambda k: pick(k, "the in of with see and for at our from was then so to by it when you we they".split())
+    own = pick("own", "password passwd pwd secret token api_key apikey access_key auth_token client_secret private_key credential db_password AUTH_TOKEN".split())
+    other = pick("other", "commit sha1 sha256 md5 hash checksum digest uuid isbn order invoice phone version build ref id".split())
+    some = pick("some", ["name", "title", "color", "lang", "user", "path", word("nameword"), sounds("namesound")])
+    random = pick(
+        "random",
+        [F.substring(hexa(3), 1, 16), F.substring(hexa(3), 1, 32), F.substring(hexa(3), 1, 40), hexa(3), F.substring(mixed, 1, 20), F.substring(mixed, 1, 32),
+         F.base64(F.unhex(F.substring(hexa(4), 1, 48))), F.substring(letters, 1, 12), F.concat(F.substring(mixed, 1, 6), F.lit("-"), F.substring(mixed, 7, 6))],
+    )
+    chosen = pick("chosen", [F.concat(word("w1"), (drawn("d1") % 1000).cast("string")), F.concat(F.initcap(word("w2")), word("w3"), F.lit("!")), F.concat(sounds("s1"), (drawn("d2") % 100).cast("string")), F.concat(F.substring(letters, 1, 8))])
+    hidden = pick("hidden", ["changeme", "your-token-here", "<password>", "${SECRET}", "xxxxxxxxxxxx", "********", "example-secret-1", "null", "None", "dummy_value_2", "REDACTED"])
+    uuid = F.concat_ws("-", *[F.substring(hexa(5), a, m) for a, m in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    named = pick("named", [F.substring(hexa(6), 1, 40), F.substring(hexa(6), 1, 32), hexa(6), uuid, F.substring(digits, 1, 13), F.concat_ws(".", (drawn("v1") % 20).cast("string"), (drawn("v2") % 20).cast("string"), (drawn("v3") % 20).cast("string"))])
+    plain = pick(
+        "plain",
+        [uuid, digits, F.substring(hexa(7), 1, 40), F.concat(word("p1"), F.lit("."), sounds("p2"), F.lit("@"), sounds("p3"), F.lit(".org")), F.concat(F.lit("https://"), sounds("p4"), F.lit(".com/"), word("p5"), F.lit("/"), F.substring(digits, 1, 5)),
+         F.concat(F.lit("/usr/"), word("p6"), F.lit("/"), sounds("p7"), F.lit("/v1/"), word("p8"), F.lit(".txt")), F.concat(word("p9"), F.initcap(word("p10")), F.initcap(word("p11")), F.lit("2")), F.concat(F.lit("2019-0"), (drawn("m") % 9 + 1).cast("string"), F.lit("-11T10:20:30")),
+         F.concat(F.lit("+44-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 6)), F.concat(sounds("p12"), sounds("p13"), F.substring(digits, 1, 2)), F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 3), F.substring(digits, 9, 2)), F.concat(word("p14"), F.lit("_"), word("p15"), F.lit("_"), F.substring(digits, 1, 6))],
+    )
+    key = F.concat(pick("prefix", ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-"]), F.when(drawn("up") % 2 == 0, upper).otherwise(F.substring(F.concat(mixed, mixed), 1, 30)))
+    kinds = [(own, random, 1.0), (own, random, 1.0), (own, chosen, 1.0), (own, hidden, 0.0), (other, named, 0.0), (other, named, 0.0), (some, named, 0.0), (some, word("kind"), 0.0)]
+    loose = [(key, 1.0), (key, 1.0), (F.concat(F.left(key, F.lit(4)), F.lit("EXAMPLEEXAMPLE1")), 0.0), (plain, 0.0), (plain, 0.0), (plain, 0.0)]
+    at = drawn("kind")
+    case = lambda rows, k, f: F.element_at(F.array(*[f(r) for r in rows]), (k % len(rows) + 1).cast("int"))
+    name, value, label = (case(kinds, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(3))
+    quote = pick("quote", ['"', "'"])
+    bind = pick("bind", ["=", ":"])
+    styles = [
+        (F.concat(name, bind, value), filler("b1"), filler("b2")),
+        (F.concat(name, bind, quote, value, quote), filler("b1"), filler("b2")),
+        (F.concat(quote, name, quote, F.lit(":"), quote, value, quote), filler("b1"), filler("b2")),
+        (value, filler("b1"), F.concat(name, bind)),
+        (F.concat(quote, value, quote), name, bind),
+        (value, filler("b1"), name),
+        (value, name, F.lit("is")),
+    ]
+    style = lambda j: case(styles, drawn("style"), lambda r: r[j])
+    part = drawn("part") % 20
+    block = part == 19
+    free = part >= 13
+    free_word, free_label = (case(loose, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(2))
+    private = drawn("private") % 2 == 0
+    prose = (part >= 10) & ~free  # a dictionary word after a name is no secret
+    return spark.range(0, n, 1, 4).select(
+        pick("path", ["", "src1/main.py", "app/config/prod.yaml", "deploy/.env", "docs/readme.md", "tests/test_login.py", "web", "forum", "mail/2020"]).alias("path"),
+        F.when(block, "-----BEGIN").when(free, free_word).when(prose, word("prose")).otherwise(style(0)).alias("word"),
+        F.when(block | free, F.concat_ws(" ", filler("b3"), filler("b4"))).when(prose, F.concat_ws(" ", filler("b3"), own)).otherwise(F.concat_ws(" ", style(1), style(2))).alias("before"),
+        F.when(block & private, "RSA PRIVATE").when(block, "CERTIFICATE----- MIIB").otherwise(F.concat_ws(" ", filler("a1"), filler("a2"))).alias("after"),
+        F.when(block, private.cast("double")).when(free, free_label).when(prose, F.lit(0.0)).otherwise(label).alias("label"),
+    )
 
 
 def train(findings: DataFrame) -> PipelineModel:
-    """The forest, from labelled findings: columns word, before, after and label (1: a secret); rows without a label are left out."""
+    """The forest, from labelled findings: columns path, word, before, after and label (1: a secret); rows without a label are left out."""
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", featureSubsetStrategy="sqrt")
-    rows = with_features(findings.where("label is not null")).select("label", *FEATURES)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows)
+    # one file, so that training meets the same rows in the same order on any cluster
+    rows = stage(with_features(findings.where("label is not null")).select("label", *FEATURES).coalesce(1), "findings")
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows)
+    drop_staged(rows)
+    return model
 
 
-def secret_scan(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate that isn't removed as a false positive, and per removed one: doc_id, word_index, n_chars,
     value_sha256, probability (6 decimals), is_secret. The value itself isn't returned. Documents without candidates,
     and an empty table, give no rows."""
-    scored = model.transform(with_features(candidates(docs, id_col, text_col)))
+    scored = model.transform(with_features(candidates(docs, id_col, text_col, path_col)))
     p = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
     return scored.select(
         "doc_id",
