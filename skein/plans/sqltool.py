@@ -1,8 +1,9 @@
 """SQL text in, rows or an error out.
 
-A query is parsed first and refused unless it only reads, names allowed tables as a whole, and calls no function that
-reaches outside SQL. It then runs with a row cap and, if asked, a time limit. Errors of planning and of running come back
-as values.
+A query is parsed first and refused unless its plan is made of reading nodes that are known by name, reads allowed tables as a
+whole, and calls no function that reaches outside SQL. Names follow Spark's rules: case is ignored, and a name that the query
+itself defines hides a table only where Spark would see it so. It then runs with a row cap and, if asked, a time limit.
+Errors of planning and of running come back as values.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 #: Functions that run code or read files from plain SELECT.
 DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files"}
-#: Plan nodes that a reading query is made of never include these.
-_WRITES = re.compile(
-    r"(Insert|Create|Drop|Alter|Replace|Delete|Update|Merge|Truncate|Load|Set|Reset|Refresh|Cache|Uncache|Add|Analyze|Repair|Rename|Recover|Command|Call)"
+#: Plan nodes that a reading query is made of; any other is refused.
+READING = set(
+    "UnresolvedWith UnresolvedRelation Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias "
+    "UnresolvedSubqueryColumnAliases Distinct Union Intersect Except OneRowRelation UnresolvedInlineTable LocalRelation "
+    "WithWindowDefinition UnresolvedHaving Pivot Unpivot UnpivotTransformer Generate Sample UnresolvedHint NameParameterizedQuery "
+    "PosParameterizedQuery UnresolvedTableOrAlias AsOfJoin RepartitionByExpression Repartition".split()
 )
 
 
@@ -35,74 +39,100 @@ class Result:
     rows: list[Row] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
     error: str | None = None
+    #: whether the query has more rows than the cap let through
+    truncated: bool = False
 
     def __str__(self) -> str:
         return str([tuple(r) for r in self.rows]) if self.ok else self.error or ""
 
 
-def _children(node) -> list:
+def _items(sequence) -> list:
     found = []
-    for group in (node.children(), node.innerChildren()):
-        it = group.iterator()
-        while it.hasNext():
-            found.append(it.next())
-    if _has(node, "expressions"):
-        it = node.expressions().iterator()
-        while it.hasNext():
-            found.append(it.next())
-    plan = node.plan() if _has(node, "plan") else None
-    return found + ([plan] if plan is not None else [])
-
-
-_methods: dict[str, set[str]] = {}
-
-
-def _has(node, method: str) -> bool:
-    """Whether a plan node or expression has a method without parameters; asked of the JVM once for each class."""
-    kind = node.getClass()
-    name = kind.getName()
-    if name not in _methods:
-        _methods[name] = {m for m in ("expressions", "plan") if any(x.getName() == m and x.getParameterCount() == 0 for x in kind.getMethods())}
-    return method in _methods[name]
-
-
-def parsed_names(spark: SparkSession, query: str) -> tuple[set[str], set[str], set[str]]:
-    """Relations (without those that the query itself defines), functions and node kinds of a parsed query."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    relations: set[str] = set()
-    functions: set[str] = set()
-    kinds: set[str] = set()
-    defined: set[str] = set()
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        kind = node.getClass().getSimpleName()
-        kinds.add(kind)
-        if kind == "UnresolvedRelation":
-            relations.add(node.multipartIdentifier().mkString("."))
-        elif kind == "UnresolvedFunction":
-            functions.add(node.nameParts().mkString(".").lower())
-        elif kind == "UnresolvedTableValuedFunction":
-            functions.add("table function " + node.name().mkString(".").lower())
-        elif kind == "UnresolvedWith":
-            relatives = node.cteRelations().iterator()
-            while relatives.hasNext():
-                pair = relatives.next()
-                defined.add(pair._1())
-                stack.append(pair._2())
-        stack.extend(_children(node))
-    return relations - defined, functions, kinds
+    it = sequence.iterator()
+    while it.hasNext():
+        found.append(it.next())
+    return found
+
+
+@dataclass
+class Names:
+    """What a parsed query names: relations that it doesn't define itself, functions, and kinds of plan nodes."""
+
+    relations: set[tuple[str, ...]] = field(default_factory=set)
+    functions: set[str] = field(default_factory=set)
+    kinds: set[str] = field(default_factory=set)
+
+
+class _Walk:
+    """A walk through a parsed plan that knows which names are defined where."""
+
+    _kinds: dict[str, tuple[bool, set[str]]] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.plan_class = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+        self.names = Names()
+
+    def kind(self, node) -> tuple[str, bool, set[str]]:
+        """A node's class, whether it is a plan and not an expression, and which inner parts it has; asked of the JVM once a class."""
+        cls = node.getClass()
+        name = cls.getName()
+        if name not in self._kinds:
+            methods = {m for m in ("expressions", "plan") if any(x.getName() == m and x.getParameterCount() == 0 for x in cls.getMethods())}
+            self._kinds[name] = self.plan_class.isInstance(node), methods
+        return cls.getSimpleName().rstrip("$"), *self._kinds[name]
+
+    def visit(self, root, scope: frozenset[str]) -> None:
+        stack = [(root, scope)]
+        while stack:
+            node, scope = stack.pop()
+            kind, is_plan, methods = self.kind(node)
+            if is_plan:
+                self.names.kinds.add(kind)
+            elif "UnresolvedIdentifier" in kind:  # a name that is computed
+                self.names.kinds.add(kind)
+            if kind == "UnresolvedRelation":
+                parts = tuple(str(x) for x in _items(node.multipartIdentifier()))
+                if len(parts) > 1 or parts[0].lower() not in scope:
+                    self.names.relations.add(parts)
+            elif kind == "UnresolvedFunction":
+                self.names.functions.add(node.nameParts().mkString(".").lower())
+            elif kind == "UnresolvedGenerator":
+                self.names.functions.add(node.name().unquotedString().lower())
+            elif kind == "UnresolvedTableValuedFunction":
+                self.names.functions.add("table function " + node.name().mkString(".").lower())
+            elif kind == "UnresolvedWith":
+                recursive = bool(node.allowRecursion())
+                for pair in _items(node.cteRelations()):
+                    name = pair._1().lower()
+                    self.visit(pair._2(), scope | {name} if recursive else scope)
+                    scope = scope | {name}
+                stack.append((node.child(), scope))
+                continue
+            inner = _items(node.children()) + _items(node.innerChildren())
+            if "expressions" in methods:
+                inner += _items(node.expressions())
+            if not is_plan and "plan" in methods:
+                inner.append(node.plan())
+            stack += [(x, scope) for x in inner]
+
+
+def parsed_names(spark: SparkSession, query: str) -> Names:
+    walk = _Walk(spark)
+    walk.visit(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
+    return walk.names
 
 
 def check_query(spark: SparkSession, query: str, allowed: set[str] | None) -> None:
-    """Raise Refused if the query does more than read allowed tables."""
-    relations, functions, kinds = parsed_names(spark, query)
-    if writes := sorted(k for k in kinds if _WRITES.match(k) or k.endswith("Command") or k.endswith("Statement")):
-        raise Refused(f"only reading is allowed, not {writes[0]}")
-    if denied := sorted(f for f in functions if f.rpartition(".")[2] in DENIED_FUNCTIONS or f.startswith("table function")):
+    """Raise Refused if the query does more than read allowed tables (None: all views of the session)."""
+    names = parsed_names(spark, query)
+    if others := sorted(k for k in names.kinds if k not in READING):
+        raise Refused(f"only reading is allowed, not {others[0]}")
+    if denied := sorted(f for f in names.functions if f.rpartition(".")[2] in DENIED_FUNCTIONS or f.startswith("table function")):
         raise Refused(f"{denied[0]} is not allowed")
-    if allowed is not None and (others := sorted(relations - allowed)):
-        raise Refused(f"table {others[0]} is not allowed")
+    known = {t.name for t in spark.catalog.listTables()} if allowed is None else allowed
+    known = {name.lower() for name in known}
+    if unknown := sorted(".".join(r) for r in names.relations if ".".join(r).lower() not in known):
+        raise Refused(f"table {unknown[0]} is not allowed")
 
 
 def sqlite_compat(query: str) -> str:
@@ -120,24 +150,28 @@ class SqlTool:
         self.spark, self.allowed, self.cap, self.timeout_s, self.prefix, self.compat = spark, allowed, cap, timeout_s, prefix, compat
         self.log: list[tuple[str, float, bool, str | None, int]] = []
 
-    def plan(self, query: str, args: dict | list | None = None) -> DataFrame:
-        """The checked query as a capped DataFrame; raises what check or analysis raise."""
+    def _checked(self, query: str, args: dict | list | None) -> DataFrame:
         query = sqlite_compat(query) if self.compat else query
         check_query(self.spark, query, self.allowed)
-        df = self.spark.sql(query, args=args) if args else self.spark.sql(query)
-        return df.limit(self.cap)
+        return self.spark.sql(query, args=args) if args else self.spark.sql(query)
+
+    def plan(self, query: str, args: dict | list | None = None) -> DataFrame:
+        """The checked query as a capped DataFrame; raises what check or analysis raise."""
+        return self._checked(query, args).limit(self.cap)
 
     def run(self, query: str, args: dict | list | None = None) -> Result:
+        """The query's rows up to the cap (``truncated`` says if there are more), or its error."""
         began = time.time()
         timer = None
         tag = f"sqltool-{uuid.uuid4().hex}"
         try:
-            df = self.plan(query, args)
+            df = self._checked(query, args).limit(self.cap + 1)
             if self.timeout_s:
                 self.spark.addTag(tag)
                 timer = threading.Timer(self.timeout_s, self.spark.interruptTag, [tag])
                 timer.start()
-            result = Result(True, df.collect(), df.columns)
+            rows = df.collect()
+            result = Result(True, rows[: self.cap], df.columns, truncated=len(rows) > self.cap)
         except (PySparkException, Refused) as e:
             result = Result(False, error=self.prefix + str(e))
         except Exception as e:  # noqa: BLE001  the tool's contract: any failure is a value

@@ -33,6 +33,21 @@ def test_rows_are_capped_and_shown_as_text(tool):
         "SELECT java_method('java.lang.Math', 'abs', 1)",
         "SELECT * FROM range(5)",
         "SET spark.sql.ansi.enabled = false",
+        "WITH customer AS (SELECT * FROM customer) SELECT * FROM customer",
+        "SELECT * FROM customer WHERE EXISTS (WITH customer AS (SELECT 1 AS x) SELECT x FROM customer)",
+        "SELECT * FROM (WITH customer AS (SELECT 1 AS x) SELECT * FROM customer) a, customer",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a",
+        "SELECT * FROM IDENTIFIER('customer')",
+        "SELECT IDENTIFIER('abs')(1)",
+        "DESCRIBE customer",
+        "DESCRIBE nation",
+        "SHOW TABLES",
+        "EXPLAIN SELECT * FROM nation",
+        "TABLE customer",
+        "FROM nation |> JOIN customer",
+        "SELECT TRANSFORM (n_name) USING 'cat' FROM nation",
+        "BEGIN SELECT 1; END",
+        "SELECT * FROM default.customer",
         "SELECT nothing FROM nation",
         "SELEKT 1",
     ],
@@ -47,6 +62,41 @@ def test_runtime_errors_are_values_too(spark):
     assert str(SqlTool(spark, prefix="Error querying database: ").run("SELECT x")).startswith("Error querying database: ")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT n_nationkey + 1 - 2 * 3 AS x FROM nation",
+        "SELECT struct(n_name), named_struct('a', 1), array(1), map('a', 1), CASE WHEN true THEN 1 END, date_add(date'2024-01-01', 1) FROM nation",
+        "SELECT replace(n_name, 'A', 'B') || 'x', n_name LIKE 'A%' FROM NATION ORDER BY 1 LIMIT 2 OFFSET 1",
+        "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM A) SELECT * FROM B",
+        "WITH region AS (SELECT * FROM nation) SELECT n_name FROM region",
+        "WITH RECURSIVE t AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM t WHERE x < 3) SELECT * FROM t",
+        "SELECT n_regionkey, count(*) FROM nation GROUP BY ROLLUP (n_regionkey) HAVING count(*) > 1",
+        "SELECT n_name, rank() OVER w FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name)",
+        "SELECT * FROM nation JOIN LATERAL (SELECT r_name FROM region WHERE r_regionkey = n_regionkey)",
+        "SELECT n_name, x FROM nation LATERAL VIEW explode(array(1, 2)) t AS x",
+        "SELECT * FROM VALUES (1), (2) AS t(a) UNION SELECT 3 EXCEPT SELECT 1 INTERSECT SELECT 2",
+        "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM Region)",
+        "SELECT * FROM (SELECT n_regionkey, n_nationkey FROM nation) PIVOT (count(n_nationkey) FOR n_regionkey IN (0, 1))",
+    ],
+)
+def test_reading_passes(tool, text):
+    result = tool.run(text)
+    assert result.ok, result.error
+
+
+def test_without_an_allowlist_only_views_are_read(spark, small):
+    open_database(spark, f"parquet:{small}", ["nation", "customer"])
+    assert SqlTool(spark).run("SELECT * FROM customer LIMIT 1").ok
+    assert not SqlTool(spark).run(f"SELECT * FROM parquet.`{small}/customer.parquet`").ok
+    assert not SqlTool(spark).run("SELECT * FROM no_such_view").ok
+
+
+def test_cut_results_say_so(tool):
+    assert tool.run("SELECT * FROM nation").truncated
+    assert not tool.run("SELECT * FROM nation LIMIT 3").truncated
+
+
 def test_own_names_pass(tool):
     assert tool.run("WITH n AS (SELECT * FROM nation) SELECT count(*) FROM n JOIN region r ON n_regionkey = r_regionkey").rows[0][0] == 25
 
