@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 URL = "^https?://"
 ISO = "yyyy-MM-dd HH:mm:ss"
@@ -38,6 +42,25 @@ def truncate_value(text: Column, chars: int = 100) -> Column:
     return F.when((F.length(text) > chars) & ~text.rlike(URL), F.concat(F.left(text, F.lit(chars)), F.lit("..."))).otherwise(text)
 
 
+def truncate_list(items: Column, most: int = 2) -> Column:
+    """The first values of a list, each cut as ``truncate_value`` does."""
+    return F.transform(F.slice(items, 1, most), lambda x: truncate_value(x))
+
+
+def indented_json(entries: Column) -> Column:
+    """A map of texts as JSON with an entry a line, indented by two spaces; an empty map in one line."""
+    quoted = lambda x: F.coalesce(F.to_json(F.struct(x.alias("x"))), F.lit("null"))
+    inner = lambda x: F.when(x.isNull(), F.lit("null")).otherwise(F.regexp_extract(quoted(x), '^\\{"x":(.*)\\}$', 1))
+    lines = F.transform(F.map_entries(entries), lambda e: F.concat(F.lit("  "), inner(e["key"]), F.lit(": "), inner(e["value"])))
+    return F.when(F.size(entries) == 0, F.lit("{}")).otherwise(F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))
+
+
+def truncate_object(entries: Column, chars: int = 100) -> Column:
+    """A map of texts as JSON, or how long it is if it is long."""
+    text = indented_json(entries)
+    return F.when(F.length(text) > chars, F.concat(F.lit("Truncated "), F.length(text).cast("string"), F.lit(" characters..."))).otherwise(text)
+
+
 def json_or_text(text: Column, path: str) -> Column:
     """A field of a JSON text, or the text itself where it is no JSON."""
     return F.when(F.try_parse_json(text).isNull(), text).otherwise(F.get_json_object(text, path))
@@ -123,5 +146,46 @@ def structured(text: Column, schema: str, required: list[str]) -> Column:
 
 
 def partial_json(text: Column) -> Column:
-    """Arguments of a call that is still being written: the map so far if it parses, else an empty one."""
-    return F.coalesce(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+    """Arguments of a call that is still being written: the map so far, cut-off texts included; an empty one where nothing parses."""
+    return F.coalesce(F.from_json(_repaired(text), "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+
+
+def repair_json(text: str | None) -> str | None:
+    """JSON that was cut off, closed where it ends, or else where its last whole value ends; None if that gives no JSON."""
+    if text is None:
+        return None
+    closers: list[str] = []
+    ends: list[tuple[int, str]] = []  # places at which it can be cut, and what closes it there
+    in_string = escaped = False
+    for k, c in enumerate(text):
+        if in_string:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                in_string = False
+        elif c == '"':
+            in_string = True
+        elif c in "{[":
+            closers.append("}" if c == "{" else "]")
+            ends.append((k + 1, "".join(reversed(closers))))
+        elif c in "}]" and closers:
+            closers.pop()
+            ends.append((k + 1, "".join(reversed(closers))))
+        elif c == ",":
+            ends.append((k, "".join(reversed(closers))))
+    close = "".join(reversed(closers))
+    whole = text[:-1] if escaped else text
+    for tried in (whole + ('"' if in_string else "") + close, *(text[:k] + c for k, c in reversed(ends[-3:]))):
+        try:
+            json.loads(tried)
+            return tried
+        except ValueError:
+            continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def _repaired(texts: pd.Series) -> pd.Series:
+    return texts.map(repair_json, na_action="ignore")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 NO_REASON = "A reason is needed to reject."
 NO_CHANGE = "Nothing was changed."
 NOT_ALLOWED = "This decision is not allowed."
+NOT_ALL = "Every action needs a decision."
 
 
 def waiting_calls(calls: DataFrame, config: DataFrame, name: str = "tool_name") -> DataFrame:
@@ -118,3 +119,52 @@ def has_several(responses: Column) -> Column:
 def present(interrupts: Column) -> Column:
     """A list of interrupts without nulls."""
     return F.filter(interrupts, lambda x: x.isNotNull())
+
+
+def submit_all(decided: DataFrame, actions: DataFrame) -> DataFrame:
+    """Per request of several actions: its decisions in the order of its actions, or the error that some are missing.
+
+    ``decided``: request_id, place, decision (the last of a place counts: columns may have ``seq``); ``actions``: request_id,
+    place. A request of one action isn't submitted this way and gives no row.
+    """
+    order = F.col("seq") if "seq" in decided.columns else F.lit(0)
+    last = decided.groupBy("request_id", "place").agg(F.max_by("decision", F.struct(order, "decision")).alias("decision"))
+    rows = actions.select("request_id", "place").join(last, ["request_id", "place"], "left").groupBy("request_id").agg(
+        F.count("*").alias("n"), F.count("decision").alias("n_decided"), F.sort_array(F.collect_list(F.when(F.col("decision").isNotNull(), F.struct("place", "decision")))).alias("d")
+    )
+    full = F.col("n_decided") == F.col("n")
+    return rows.where("n > 1").select(
+        "request_id", F.when(full, F.transform("d", lambda x: x["decision"])).alias("decisions"), F.when(~full, F.lit(NOT_ALL)).alias("error")
+    )
+
+
+def serve_questions(interrupts: DataFrame, answers: DataFrame, tool: str = "ask_user_input") -> DataFrame:
+    """The ask-user loop over a log: what each round of a thread is resumed with.
+
+    ``interrupts``: thread_id, round, request_no, question, options, allow_freetext (null: true). Only the first request of a
+    round is served. ``answers``: thread_id, round, answer; blanks around it are dropped, and a number names an option.
+    Returns thread_id, round, type, name, question, options, allow_freetext, user_answer (null: still waiting) and is_last.
+    """
+    first = interrupts.groupBy("thread_id", "round").agg(F.min_by(F.struct("question", "options", "allow_freetext"), "request_no").alias("q"))
+    last = interrupts.groupBy("thread_id").agg(F.max("round").alias("last_round"))
+    given = answers.select("thread_id", "round", F.trim("answer").alias("answer"))
+    return first.join(given, ["thread_id", "round"], "left").join(last, "thread_id").select(
+        "thread_id",
+        "round",
+        F.lit("edit").alias("type"),
+        F.lit(tool).alias("name"),
+        "q.question",
+        "q.options",
+        F.coalesce("q.allow_freetext", F.lit(True)).alias("allow_freetext"),
+        resolve_choice(F.col("answer"), F.col("q.options")).alias("user_answer"),
+        (F.col("round") == F.col("last_round")).alias("is_last"),
+    )
+
+
+def resolve_threads(threads: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``threads`` (thread_id, status, next) with those of ``resolved`` (thread_id) sent to their end: nothing is next, no decision is taken."""
+    marks = resolved.select("thread_id", F.lit(True).alias("is_resolved")).distinct()
+    done = F.coalesce("is_resolved", F.lit(False))
+    return threads.join(marks, "thread_id", "left").select(
+        "thread_id", F.when(done, F.lit("resolved")).otherwise(F.col("status")).alias("status"), F.when(~done, F.col("next")).alias("next")
+    )

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 1000, 200
-SEPARATORS = ["\n\n", "\n", " "]
+SEPARATORS = ["\n\n", "\n", ". ", " "]
 #: Query vectors that are compared in one pass; more are taken in such blocks.
 QUERY_BLOCK = 4096
+#: Vectors that are compared with a block of queries at once.
+TILE = 512
 
 
 def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -26,7 +28,7 @@ def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(start, chunk) pieces that end at the coarsest separator within reach: paragraph, line, word, else anywhere."""
+    """(start, chunk) pieces that end at the coarsest separator within reach: paragraph, line, sentence, word, else anywhere."""
     out, at, n = [], 0, len(text)
     while at < n:
         end = min(n, at + size)
@@ -62,12 +64,27 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def embed_stub(text: Column, dims: int = 64) -> Column:
-    """Stands in for an embedding model: hashed words of a text, normalised."""
+    """Stands in for an embedding model: counts of a text's words by the first bits of their MD5, normalised. ``dims``: 256 at most."""
     words = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dims)
+    numbers = F.sequence(F.lit(0), F.lit(dims - 1))
+    counts = F.get(F.transform(F.array(slots), lambda all: F.transform(numbers, lambda k: F.size(F.filter(all, lambda s: s == k)).cast("double"))), F.lit(0))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  so that x is computed once
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    divided = lambda c: bound(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")))
+    return bound(counts, divided)
+
+
+def store_chunks(chunks: DataFrame, path: str, dims: int = 64) -> None:
+    """Embed chunks (chunk_id, chunk, other columns) and append them to the vector store at ``path``, a Parquet table."""
+    chunks.withColumn("embedding", embed_stub(F.col("chunk"), dims)).write.mode("append").parquet(path)
+
+
+def search_store(spark: SparkSession, path: str, text: str, k: int = 4) -> DataFrame:
+    """The k chunks of a store nearest to a text: chunk_id, similarity."""
+    store = spark.read.parquet(path)
+    vector = spark.range(1).select(embed_stub(F.lit(text)).alias("v")).first()["v"]
+    return nearest(store, list(vector), k, "chunk_id")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -89,7 +106,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 4, id_col: str = "v
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For every query the k nearest other vectors: query_id, id, similarity, rank.
 
-    Queries go to all tasks in blocks of QUERY_BLOCK vectors, one block in memory at a time; each task multiplies matrices
+    Queries go to all tasks in blocks of QUERY_BLOCK vectors; each task multiplies them with TILE vectors at a time
     and keeps k candidates of each query and batch, so that k rows of each query and task are shuffled.
     """
     spark = vectors.sparkSession
@@ -104,18 +121,22 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: st
         def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                flat = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-                flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
-                sims = np.round(q @ flat.T, 6)
-                sims[q_ids[:, None] == own] = -np.inf
-                keep = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :keep]
-                q_at = np.repeat(np.arange(len(q_ids)), keep)
-                at = order.ravel()
-                s = sims[q_at, at]
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q_at][ok]), pa.array(own[at][ok]), pa.array(s[ok])], ["query_id", "id", "similarity"])
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for at in range(0, len(batch), TILE):
+                    tile = batch.slice(at, TILE)
+                    own = tile.column(0).to_numpy()
+                    flat = tile.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
+                    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+                    sims = np.round(q @ flat.T, 6)
+                    sims[q_ids[:, None] == own] = -np.inf
+                    least = np.partition(sims, len(own) - k, axis=1)[:, [len(own) - k]] if k < len(own) else -np.inf
+                    row, col = ((sims >= least) & np.isfinite(sims)).nonzero()  # the k best and their ties
+                    found.append((row, own[col], sims[row, col]))
+                row, ids, s = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((ids, -s, row))
+                row, ids, s = row[order], ids[order], s[order]
+                ok = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row[ok]]), pa.array(ids[ok]), pa.array(s[ok])], ["query_id", "id", "similarity"])
 
         return vectors.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(top, "query_id long, id long, similarity double")
 

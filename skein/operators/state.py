@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, drop_checkpointed
 
 
 def fold_updates(updates: DataFrame, tie: str = "id") -> DataFrame:
@@ -46,27 +46,41 @@ def siblings(checkpoints: DataFrame) -> DataFrame:
     )
 
 
-def branch_paths(checkpoints: DataFrame, most_depth: int = 64) -> DataFrame:
-    """checkpoint_id, depth and path (ids from the root, joined by /) of every checkpoint that hangs from a root.
+def branch_paths(checkpoints: DataFrame) -> DataFrame:
+    """thread_id, checkpoint_id, depth and path (ids from the root, joined by /) of every checkpoint that hangs from a root.
 
-    Levels are joined one after another until one is empty, ``most_depth`` at most: a bound against cycles. Each level is
-    written to the shared folder, so that it is computed once and not again with every level below it.
+    Pointer doubling: each node knows an ancestor and the path below it, and in each round takes over its ancestor's pointer,
+    so the rounds grow with the logarithm of the depth, which isn't bounded. Nodes below a missing parent or a cycle never
+    reach a root and aren't given. Rounds are written to the shared folder, and the last but one deleted.
     """
-    nodes = checkpoints.select("thread_id", "checkpoint_id", "parent_id")
-    level = nodes.where("parent_id is null").select(
-        "thread_id", "checkpoint_id", F.lit(0).cast("long").alias("depth"), F.col("checkpoint_id").cast("string").alias("path")
+    state = checkpointed(
+        checkpoints.select(
+            "thread_id", "checkpoint_id", F.col("parent_id").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("checkpoint_id").cast("string").alias("path")
+        )
     )
-    found = level
-    for _ in range(most_depth):
-        parents = level.select("thread_id", F.col("checkpoint_id").alias("parent_id"), "depth", F.col("path").alias("above"))
-        level = nodes.join(parents, ["thread_id", "parent_id"]).select(
-            "thread_id", "checkpoint_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "above", F.col("checkpoint_id").cast("string")).alias("path")
+    longest = state.groupBy("thread_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        going = state.where("up is not null")
+        if going.isEmpty():
+            break
+        above = state.select("thread_id", F.col("checkpoint_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        further = going.join(above, ["thread_id", "up"]).select(
+            "thread_id", "checkpoint_id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2") + 1).alias("depth"), F.concat_ws("/", "path2", "path").alias("path")
         )
-        level = checkpointed(level)
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"checkpoints are deeper than {most_depth} or form a cycle")
+        after = checkpointed(state.where("up is null").unionByName(further))
+        drop_checkpointed(state)
+        state = after
+    return state.where("up is null").drop("up")
+
+
+def write_fields(writes: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """What tools write to the state: the updates, and a tool message for each call, which the log needs as its answer.
+
+    ``writes``: thread_id, seq, id, tool_call_id, key, value. A field is replaced as a whole when updates are folded.
+    """
+    updates = writes.select("thread_id", "key", "value", "seq", "id")
+    answers = writes.select("thread_id", "seq", "tool_call_id").distinct()
+    return updates, answers.select("thread_id", "seq", F.lit("tool").alias("role"), F.lit(text).alias("content"), "tool_call_id")
 
 
 def fold_events(events: DataFrame, key: list[str], order: list[str], removed: Column) -> DataFrame:

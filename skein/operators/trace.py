@@ -112,8 +112,9 @@ def content_string(blocks: Column) -> Column:
 
 
 def label_text(role: Column, content: Column, calls: Column) -> Column:
-    """``role: content``, and the tool calls as JSON if there are any."""
-    return F.concat(role, F.lit(": "), F.coalesce(content, F.lit("")), F.when(F.size(calls) > 0, F.concat(F.lit(" - Tool calls: "), F.to_json(calls))).otherwise(""))
+    """``role: content`` (``role:`` without content), and the tool calls as JSON if there are any."""
+    text = F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit(" "), content)).otherwise("")
+    return F.concat(role, F.lit(":"), text, F.when(F.size(calls) > 0, F.concat(F.lit(" - Tool calls: "), F.to_json(calls))).otherwise(""))
 
 
 def thread_title(messages: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def orphan_calls(messages: DataFrame) -> DataFrame:
     return calls.join(answered, ["thread_id", "call_id"], "left_anti")
 
 
-def answers_for_orphans(messages: DataFrame, text: str = "Successfully handled tool call.") -> DataFrame:
+def answers_for_orphans(messages: DataFrame, text: str = "The call was handled.") -> DataFrame:
     """A tool message for each unanswered call, to be put before the next submission."""
     return orphan_calls(messages).select("thread_id", F.col("call_id").alias("tool_call_id"), F.lit("tool").alias("role"), F.lit(text).alias("content"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.aggregates import ChunkText, geometric_mean
+from ..functions.audio import wav
 from ..operators import context_window as C
 from ..operators import hitl as H
 from ..operators import relational as R
@@ -16,6 +18,9 @@ from ..operators import routing as G
 from ..operators import state as ST
 from ..operators import trace as T
 from ..sources import calls, tables
+from ..sources.process import process_lines
+from ..sources.shared import new_table_path
+from ..sources.sinks import write_table
 from ..streaming import streams
 from .sqltool import SqlTool
 
@@ -517,9 +522,9 @@ def q_math(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.round(S.square_root(p), 6).alias("root"), F.round(S.square(p), 6).alias("squared"), (F.col("p_size") + 1).alias("added"))
 
 
-@query("SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(sqrt(cast(p_retailprice AS bigint)), 6) AS b, NULL::DOUBLE AS c FROM part")
+@query("SELECT p_partkey, round(sqrt(p_size), 6) AS a, round(sqrt(cast(p_retailprice AS bigint)), 6) AS b, CASE WHEN p_size % 2 = 0 THEN round(sqrt(p_size + 1), 6) END AS c FROM part")
 def q_math_list(spark, d):
-    text = F.concat(F.col("p_size").cast("string"), F.lit("|"), F.rint("p_retailprice").cast("long").cast("string"), F.lit("|x"))
+    text = F.concat(F.col("p_size").cast("string"), F.lit("|"), F.rint("p_retailprice").cast("long").cast("string"), F.lit("|"), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") + 1).cast("string")).otherwise("x"))
     roots = F.transform(S.roots_of_list(text), lambda x: F.round(x, 6))
     return _t(spark, d, "part").select("p_partkey", *[F.get(roots, F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
@@ -755,10 +760,10 @@ def q_message_sides(spark, d):
     return T.spoken(_turns(spark, d)).select("thread_id", "seq", T.side(F.col("role")).alias("side"))
 
 
-@query(M + """SELECT id, role || ': ' || content || CASE WHEN role = 'ai' THEN ' - Tool calls: [{"name":"' || tool_name || '"}]' ELSE '' END AS label FROM m""")
+@query(M + """SELECT id, role || ':' || CASE WHEN role = 'tool' THEN '' ELSE ' ' || content END || CASE WHEN role = 'ai' THEN ' - Tool calls: [{"name":"' || tool_name || '"}]' ELSE '' END AS label FROM m""")
 def q_label_text(spark, d):
     made = F.when(F.col("role") == "ai", F.array(F.struct(F.col("tool_name").alias("name"))))
-    return _messages(spark, d).select("id", T.label_text(F.col("role"), F.col("content"), made).alias("label"))
+    return _messages(spark, d).select("id", T.label_text(F.col("role"), F.when(F.col("role") != "tool", F.col("content")), made).alias("label"))
 
 
 @query("SELECT conv_id, turn, role <> 'system' AS is_message FROM conversations")
@@ -788,10 +793,11 @@ def q_request_shapes(spark, d):
     )
 
 
-@query("SELECT event_id, CASE WHEN value >= 50 THEN 'was' ELSE event_type END AS a, 1::INT AS n_args FROM events")
+@query("SELECT event_id, CASE WHEN value >= 50 THEN 'was' ELSE event_type END AS a, CASE WHEN value >= 20 THEN 1 ELSE 2 END AS n_args FROM events")
 def q_reset_args(spark, d):
     initial = F.when(F.col("value") >= 50, F.create_map(F.lit("a"), F.lit("was"), F.lit("b"), F.lit("x"))).otherwise(F.create_map(F.lit("b"), F.lit("x")))
-    put_back = H.reset_args(F.create_map(F.lit("a"), F.col("event_type")), initial)
+    one, two = F.create_map(F.lit("a"), F.col("event_type")), F.create_map(F.lit("a"), F.col("event_type"), F.lit("c"), F.lit("y"))
+    put_back = H.reset_args(F.when(F.col("value") >= 20, one).otherwise(two), initial)
     return _t(spark, d, "events").select("event_id", put_back["a"].alias("a"), F.size(put_back).alias("n_args"))
 
 
@@ -807,7 +813,7 @@ def q_ui_events(spark, d):
 
 @query(
     M
-    + """SELECT thread_id, id AS tool_call_id, 'tool' AS role, 'Successfully handled tool call.' AS content FROM m WHERE role = 'ai'
+    + """SELECT thread_id, id AS tool_call_id, 'tool' AS role, 'The call was handled.' AS content FROM m WHERE role = 'ai'
 AND NOT EXISTS (SELECT 1 FROM m t WHERE t.role = 'tool' AND t.thread_id = m.thread_id AND t.tool_call_id = m.id)"""
 )
 def q_orphan_answers(spark, d):
@@ -945,11 +951,227 @@ def q_frames(spark, d):
     )
 
 
-@query("SELECT event_type, true AS is_near FROM events GROUP BY event_type")
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users, true AS is_near FROM events GROUP BY event_type")
 def q_approx_distinct(spark, d):
     users = F.countDistinct("user_id")
     near = F.abs(F.approx_count_distinct("user_id", 0.02) - users) <= 0.1 * users
-    return _t(spark, d, "events").groupBy("event_type").agg(near.alias("is_near"))
+    return _t(spark, d, "events").groupBy("event_type").agg(users.alias("n_users"), near.alias("is_near"))
+
+
+# Agents and their limits ----------------------------------------------------------------------------------------------
+
+_GUARD = [
+    ("SELECT n_name FROM nation", True),
+    ("SELECT n_nationkey + 1, struct(n_name) FROM NATION", True),
+    ("WITH a AS (SELECT 1 AS x) SELECT x FROM A", True),
+    ("SELECT * FROM supplier", False),
+    ("WITH supplier AS (SELECT * FROM supplier) SELECT * FROM supplier", False),
+    ("SELECT * FROM supplier WHERE EXISTS (WITH supplier AS (SELECT 1 AS x) SELECT x FROM supplier)", False),
+    ("SELECT * FROM IDENTIFIER('supplier')", False),
+    ("SELECT * FROM parquet.`/tmp/x`", False),
+    ("DESCRIBE supplier", False),
+    ("SHOW TABLES", False),
+    ("DROP TABLE nation", False),
+    ("CREATE VIEW v AS SELECT 1", False),
+    ("SELECT java_method('java.lang.Math', 'abs', 1)", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {str(ok).lower()})" for k, (_, ok) in enumerate(_GUARD)) + ") t(statement_no, ok)")
+def q_sql_guard(spark, d):
+    tables.open_database(spark, f"parquet:{d}", ["nation", "supplier"])
+    tool = SqlTool(spark, {"nation"})
+    return spark.createDataFrame([(k, tool.run(text).ok) for k, (text, _) in enumerate(_GUARD)], "statement_no long, ok boolean")
+
+
+@query(
+    """SELECT z // 200 AS thread_id, c_custkey AS checkpoint_id, z % 200 AS depth, array_to_string(range(z - z % 200 + 1, c_custkey + 1), '/') AS path
+FROM (SELECT c_custkey, c_custkey - 1 AS z FROM customer)"""
+)
+def q_branch_chain(spark, d):
+    z = F.col("c_custkey") - 1
+    chain = _t(spark, d, "customer").select(
+        F.floor(z / 200).cast("long").alias("thread_id"), F.col("c_custkey").alias("checkpoint_id"), F.when(z % 200 != 0, z).alias("parent_id")
+    )
+    return ST.branch_paths(chain)
+
+
+@query(
+    _REQUESTS_SQL
+    + """SELECT request_id, CASE WHEN count(*) FILTER (WHERE (request_id + place) % 3 <> 0) = 2 THEN string_agg(action || place, ',' ORDER BY place) END AS decisions,
+CASE WHEN count(*) FILTER (WHERE (request_id + place) % 3 <> 0) < 2 THEN 'Every action needs a decision.' END AS error FROM a GROUP BY request_id"""
+)
+def q_submit_all(spark, d):
+    a = H.config_of_actions(_requests(spark, d))
+    decided = a.where((F.col("request_id") + F.col("place")) % 3 != 0).select("request_id", "place", F.concat("action", F.col("place").cast("string")).alias("decision"))
+    return H.submit_all(decided, a).withColumn("decisions", F.array_join("decisions", ","))
+
+
+@query(
+    """SELECT o_custkey AS thread_id, o_orderkey AS round, 'edit' AS type, 'ask_user_input' AS name, 'first' AS question, 'red,green,blue' AS options,
+o_orderkey % 2 = 0 AS allow_freetext, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 5 BETWEEN 1 AND 3 THEN ['red', 'green', 'blue'][o_orderkey % 5]
+ELSE cast(o_orderkey % 5 AS varchar) END AS user_answer, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_last FROM orders"""
+)
+def q_ask_user(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("thread_id"), F.col("o_orderkey").alias("round"))
+    asked = o.select("*", F.explode(F.array(F.lit(1), F.lit(0))).alias("request_no")).select(
+        "*",
+        F.when(F.col("request_no") == 0, "first").otherwise("second").alias("question"),
+        F.array(*map(F.lit, ("red", "green", "blue"))).alias("options"),
+        (F.col("round") % 2 == 0).alias("allow_freetext"),
+    )
+    answers = o.where("round % 4 <> 0").withColumn("answer", F.concat(F.lit(" "), (F.col("round") % 5).cast("string"), F.lit(" ")))
+    return H.serve_questions(asked, answers).withColumn("options", F.array_join("options", ","))
+
+
+@query(
+    """SELECT conv_id AS thread_id, CASE WHEN conv_id % 3 = 0 THEN 'resolved' WHEN conv_id % 2 = 0 THEN 'interrupted' ELSE 'idle' END AS status,
+CASE WHEN conv_id % 3 <> 0 AND conv_id % 2 = 0 THEN 'tools' END AS next FROM (SELECT DISTINCT conv_id FROM conversations)"""
+)
+def q_resolve_threads(spark, d):
+    ids = _t(spark, d, "conversations").select(F.col("conv_id").alias("thread_id")).distinct()
+    even = F.col("thread_id") % 2 == 0
+    threads = ids.select("thread_id", F.when(even, "interrupted").otherwise("idle").alias("status"), F.when(even, F.lit("tools")).alias("next"))
+    return H.resolve_threads(threads, ids.where("thread_id % 3 = 0"))
+
+
+@query(
+    """SELECT user_id AS thread_id, 'props' AS key, arg_max(props, event_id) AS value, count(*) AS n_answers, max(event_id) AS last_call FROM events
+WHERE event_type = 'click' GROUP BY user_id"""
+)
+def q_state_writes(spark, d):
+    clicks = _t(spark, d, "events").where("event_type = 'click'")
+    writes = clicks.select(
+        F.col("user_id").alias("thread_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("id"), F.col("event_id").alias("tool_call_id"), F.lit("props").alias("key"), F.col("props").alias("value")
+    )
+    updates, answers = ST.write_fields(writes, "The field was written.")
+    answered = answers.where("role = 'tool'").groupBy("thread_id").agg(F.count("*").alias("n_answers"), F.max("tool_call_id").alias("last_call"))
+    return ST.fold_updates(updates).join(answered, "thread_id")
+
+
+@query("SELECT n_nationkey AS request_id, 'travel heard: Find flights to ' || n_name AS content FROM nation")
+def q_sub_agents(spark, d):
+    requests = _t(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), F.concat(F.lit("Find flights to "), "n_name").alias("content"))
+
+    def agent(log: DataFrame) -> DataFrame:
+        said = log.select("thread_id", F.lit(2).cast("long").alias("seq"), F.lit("ai").alias("role"), G.stub_reply(F.lit("travel"), F.col("content"), F.lit(None).cast("int")).alias("content"))
+        found = log.select("thread_id", F.lit(1).cast("long").alias("seq"), F.lit("tool").alias("role"), F.lit("searched").alias("content"))
+        return log.unionByName(found).unionByName(said)
+
+    return G.delegate(requests, agent)
+
+
+@query("SELECT user_id, least(count(*), 40) AS n_steps, count(*) > 40 AS is_stopped FROM events GROUP BY user_id")
+def q_step_limit(spark, d):
+    return G.within_limit(_t(spark, d, "events"), "user_id")
+
+
+@query("SELECT c_custkey, '<a(b(model: ' || c_name || '12))>yx' AS content FROM customer")
+def q_middleware(spark, d):
+    text = lambda *parts: lambda df: df.withColumn("content", F.concat(*[F.col("content") if p is None else F.lit(p) for p in parts]))
+    around = lambda name: lambda call, df: text(f"{name}(", None, ")")(call(df))
+    stack = [
+        G.Middleware(before=text(None, "1"), wrap=around("a"), after=text(None, "x")),
+        G.Middleware(before=text(None, "2"), wrap=around("b"), after=text(None, "y")),
+        G.Middleware(after=text("<", None, ">")),
+    ]
+    return G.run_agent(_t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("content")), text("model: ", None), stack)
+
+
+@query(
+    K
+    + """SELECT thread_id, seq, CASE WHEN seq > 3 THEN 'large' ELSE 'standard' END AS model, CASE WHEN seq > 3 THEN 0.2 ELSE 1.0 END::DOUBLE AS temperature, 8::INT AS max_tokens,
+left(CASE WHEN seq > 3 THEN 'large' ELSE 'standard' END || ' heard: ' || content, 32) AS reply FROM c WHERE role = 'human'"""
+)
+def q_model_call(spark, d):
+    human = T.of_role(_turns(spark, d), "human").select("thread_id", "seq", "content")
+    late = F.col("seq") > 3
+    rows = G.model_config(human, F.when(late, "large").otherwise("standard"), F.when(late, F.lit(0.2)), F.lit(8))
+    return rows.withColumn("reply", G.stub_reply(F.col("model"), F.col("content"), F.col("max_tokens"))).drop("content")
+
+
+# More sources, sinks and functions -------------------------------------------------------------------------------------
+
+_EMBED_SQL = """
+list_transform(range(64), lambda k: cast(len(list_filter(slots, lambda s: s = k)) / nullif(sqrt(list_sum(list_transform(range(64), lambda j: pow(len(list_filter(slots, lambda s: s = j)), 2)))), 0) AS FLOAT)::DOUBLE)
+"""
+_SLOTS = "list_transform(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || left(md5(w), 2))::INT % 64)"
+
+
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, {_SLOTS.format('text')} AS slots FROM conversations), v AS (SELECT conv_id, turn, {_EMBED_SQL} AS e FROM w),
+q AS (SELECT {_EMBED_SQL} AS e FROM (SELECT {_SLOTS.format("'what is the answer to this'")} AS slots))
+SELECT conv_id * 1000 + turn AS chunk_id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v, q ORDER BY similarity DESC NULLS LAST, chunk_id LIMIT 4"""
+)
+def q_vector_store(spark, d):
+    path = new_table_path(spark, "vectors")
+    chunks = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("chunk"))
+    V.store_chunks(chunks, path)
+    return V.search_store(spark, path, "what is the answer to this")
+
+
+@query(
+    """WITH o AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS page FROM nation) SELECT page, n_name AS text FROM o"""
+)
+def q_file_pages(spark, d):
+    path = new_table_path(spark, "pages")
+    _t(spark, d, "nation").coalesce(1).orderBy("n_nationkey").select("n_name").write.text(path)
+    return tables.binary_pages(spark, f"{path}/*.txt", lambda data: data.decode().splitlines()).select("page", "text")
+
+
+@query("SELECT c::INT AS command, k - 1 AS line_no, cast(k AS varchar) AS line FROM (VALUES (0, 3), (1, 5)) p(c, n), range(1, 6) r(k) WHERE k <= n")
+def q_process_source(spark, d):
+    return process_lines(spark, [["seq", "3"], ["seq", "5"]])
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id")
+def q_sink_roundtrip(spark, d):
+    counts = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return write_table(counts, new_table_path(spark, "sink"), ["event_type"]).select("event_type", "user_id", "n")
+
+
+@query("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS mean FROM events GROUP BY event_type")
+def q_udaf(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.round(geometric_mean(F.col("value") + 1), 6).alias("mean"))
+
+
+@query(_CHUNK_SQL)
+def q_udtf_chunks(spark, d):
+    spark.udtf.register("chunk_text", ChunkText)
+    _t(spark, d, "documents").createOrReplaceTempView("chunk_documents")
+    return spark.sql("SELECT doc_id, c.chunk_no, c.start_index, c.chunk FROM chunk_documents, LATERAL chunk_text(text, 1000, 200) c")
+
+
+@query(
+    """WITH t AS (SELECT page_id, url, CASE WHEN length(html) > 100 THEN left(html, 100) || '...' ELSE html END AS cut, '{' || chr(10) || '  "url": "' || url || '"' || chr(10) || '}' AS j,
+'{' || chr(10) || '  "url": "' || url || repeat('x', 100) || '"' || chr(10) || '}' AS long FROM pages)
+SELECT page_id, url || ' ' || cut AS list, CASE WHEN page_id % 2 = 0 THEN CASE WHEN length(j) > 100 THEN 'Truncated ' || length(j) || ' characters...' ELSE j END
+ELSE 'Truncated ' || length(long) || ' characters...' END AS object FROM t"""
+)
+def q_truncate_entries(spark, d):
+    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("x" * 100)))
+    return _t(spark, d, "pages").select(
+        "page_id", F.array_join(S.truncate_list(F.array("url", "html", F.lit("more"))), " ").alias("list"), S.truncate_object(F.create_map(F.lit("url"), url)).alias("object")
+    )
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN left(event_type, 2) WHEN 4 THEN NULL ELSE 'x' END AS k, CASE WHEN event_id % 5 = 0 THEN '1' END AS n FROM events"""
+)
+def q_partial_json(spark, d):
+    kind = F.col("event_type")
+    texts = [F.concat(F.lit('{"k": "'), kind, F.lit('", "n": "1"}')), F.concat(F.lit('{"k": "'), F.left(kind, F.lit(2))), F.lit('{"k": "x", "n'), F.lit('{"k": "x", "n": '), F.lit("no object")]
+    text = F.element_at(F.array(*texts), (F.col("event_id") % 5 + 1).cast("int"))
+    return _t(spark, d, "events").withColumn("args", S.partial_json(text)).select("event_id", F.col("args")["k"].alias("k"), F.col("args")["n"].alias("n"))
+
+
+@query(
+    """SELECT p_partkey, to_base64(unhex('524946462a00000057415645666d7420100000000100010044ac000088580100020010006461746106000000' || printf('%02x00', p_size)
+|| CASE WHEN p_size = 0 THEN '0000' ELSE printf('%02xff', 256 - p_size) END || 'ff7f')) AS wav FROM part"""
+)
+def q_wav(spark, d):
+    size = F.col("p_size")
+    return _t(spark, d, "part").select("p_partkey", S.base64_text(wav(F.array(size, -size, F.lit(70_000)))).alias("wav"))
 
 
 def queries() -> dict[str, Query]:

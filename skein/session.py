@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.shared import drop_table, new_table_path
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -28,18 +27,12 @@ def build_session(master: str | None = None, name: str = "skein", **settings: st
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, so that it is computed once and its lineage is cut.
-
-    The table lies in the folder that ``spark.checkpoint.dir`` names; only where that is unset and Spark runs in one
-    process, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/skein/cut-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read again, so that it is computed once and its lineage is cut."""
+    path = new_table_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_checkpointed(df: DataFrame) -> None:
+    """Delete a table that ``checkpointed`` wrote and no later plan reads."""
+    drop_table(df)

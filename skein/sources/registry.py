@@ -5,7 +5,7 @@ from __future__ import annotations
 import inspect
 import typing
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +32,11 @@ class Tool:
     def invoke(self, arguments: dict, runtime: object = None) -> object:
         return self.function(**arguments, **({"runtime": runtime} if self.needs_runtime else {}))
 
-    def register(self, spark: SparkSession) -> None:
-        spark.udf.register(self.name, self.function, self.returns)
+    def register(self, spark: SparkSession, runtime: object = None) -> None:
+        """The tool as an SQL function: rows go to Python in Arrow batches. ``runtime`` is bound here for functions that take one."""
+        function = partial(self.function, runtime=runtime) if self.needs_runtime else self.function
+        names = list(self.arguments)
+        spark.udf.register(self.name, F.udf(lambda *values: function(**dict(zip(names, values))), self.returns, useArrow=True))
 
 
 def tool(name: str | Callable | None = None, description: str | None = None):

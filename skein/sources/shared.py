@@ -1,0 +1,34 @@
+"""Tables in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="skein-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_folder(spark)}/skein/{name}-{uuid.uuid4().hex}"
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind a table of the shared folder."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/skein/" in path.toString():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -52,11 +52,15 @@ def concat_tokens(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("thread_id", "msg_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("content"))
 
 
-def concat_tokens_stream(chunks: DataFrame, idle: str | None = None) -> DataFrame:
+#: How long state is kept of a message or item that gets nothing, in milliseconds.
+IDLE_MS = 86_400_000
+
+
+def concat_tokens_stream(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Stream: after every trigger the text so far of each message that got chunks (update mode).
 
-    A message's chunks are kept in state by seq, so late ones take their place. With ``idle`` (milliseconds as text) the
-    state of a message that got nothing for so long is dropped.
+    A message's chunks are kept in state by seq, so late ones take their place. The state of a message that got nothing for
+    ``idle_ms`` is dropped; None keeps it, for a run over what is available, which a time-out would never let end.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,8 +73,8 @@ def concat_tokens_stream(chunks: DataFrame, idle: str | None = None) -> DataFram
             held.update((int(s), t) for s, t in zip(pdf["seq"], pdf["text"]) if t)
         ordered = sorted(held)
         state.update((ordered, [held[s] for s in ordered]))
-        if idle:
-            state.setTimeoutDuration(int(idle))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"thread_id": [key[0]], "msg_id": [key[1]], "content": ["".join(held[s] for s in ordered)]})
 
     return chunks.groupBy("thread_id", "msg_id").applyInPandasWithState(
@@ -78,22 +82,31 @@ def concat_tokens_stream(chunks: DataFrame, idle: str | None = None) -> DataFram
         "thread_id long, msg_id long, content string",
         "seqs array<long>, texts array<string>",
         "update",
-        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 
-def fold_events_stream(events: DataFrame) -> DataFrame:
-    """Stream of interface events (thread_id, item_id, seq, action add/remove, value): the live value, null once removed."""
+def fold_events_stream(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Stream of interface events (thread_id, item_id, seq, action add/remove, value): the live value, null once removed.
+
+    A removal is remembered, so that an older event that comes late doesn't bring the item back; the state of an item that
+    got nothing for ``idle_ms`` is dropped (None: kept, for a run over what is available).
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seq, value = state.get if state.exists else (-1, None)
         for pdf in frames:
             for s, action, v in zip(pdf["seq"], pdf["action"], pdf["value"]):
                 if s >= seq:
                     seq, value = int(s), None if action == "remove" else str(v)
         state.update((seq, value))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"thread_id": [key[0]], "item_id": [key[1]], "value": [value]})
 
     return events.groupBy("thread_id", "item_id").applyInPandasWithState(
-        fold, "thread_id long, item_id long, value string", "seq long, value string", "update", GroupStateTimeout.NoTimeout
+        fold, "thread_id long, item_id long, value string", "seq long, value string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )

@@ -71,14 +71,15 @@ def test_seeds_come_before_updates(spark):
 def test_branches_are_bounded(spark):
     df = spark.createDataFrame([(1, 1, None, 0), (1, 2, 1, 1), (1, 3, 1, 2), (1, 4, 2, 3)], "thread_id long, checkpoint_id long, parent_id long, seq long")
     assert {r.path for r in state.branch_paths(df).collect()} == {"1", "1/2", "1/3", "1/2/4"}
-    with pytest.raises(ValueError):
-        state.branch_paths(df, most_depth=2)
+    looped = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 4), (1, 4, 3), (1, 5, 99), (2, 1, None)], "thread_id long, checkpoint_id long, parent_id long")
+    assert {(r.thread_id, r.path) for r in state.branch_paths(looped).collect()} == {(1, "1"), (1, "1/2"), (2, "1")}
+    assert state.branch_paths(looped.limit(0)).count() == 0
 
 
-def test_long_branches_are_computed_level_by_level(spark):
-    df = spark.range(15).select(F.lit(1).alias("thread_id"), F.col("id").alias("checkpoint_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+def test_long_branches(spark):
+    df = spark.range(300).select(F.lit(1).alias("thread_id"), F.col("id").alias("checkpoint_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
     deepest = state.branch_paths(df).orderBy(F.desc("depth")).first()
-    assert (deepest.depth, deepest.path) == (14, "/".join(map(str, range(15))))
+    assert (deepest.depth, deepest.path) == (299, "/".join(map(str, range(300))))
 
 
 def test_interval_join_against_all_pairs(spark):

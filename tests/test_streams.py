@@ -43,7 +43,7 @@ def test_tokens_are_joined_in_order_across_triggers(spark, tmp_path):
     for part in (rows[:3], rows[3:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = run(streams.concat_tokens_stream(stream), "update", "tokens", spark).collect()
+    out = run(streams.concat_tokens_stream(stream, None), "update", "tokens", spark).collect()
     batch = streams.concat_tokens(spark.createDataFrame(rows, schema)).first().content
     assert max((r.content for r in out), key=len) == batch == "0;1;2;4;5;"
 
@@ -55,7 +55,7 @@ def test_event_fold_agrees_with_batch(spark, tmp_path):
     for part in (rows[:2], rows[2:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    last = {r.item_id: r.value for r in run(streams.fold_events_stream(stream), "update", "ui", spark).collect()}
+    last = {r.item_id: r.value for r in run(streams.fold_events_stream(stream, None), "update", "ui", spark).collect()}
     batch = state.fold_events(spark.createDataFrame(rows, schema), ["thread_id", "item_id"], ["seq"], F.col("action") == "remove").collect()
     assert {k: v for k, v in last.items() if v} == {r.item_id: r.value for r in batch} == {2: "c"}
 
