@@ -153,30 +153,8 @@ def forest_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, label
     return _forest(to_planes(fingerprints), ends, radius, first[which])[1:]
 
 
-def nearest_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint the pair with its nearest one of another label within the radius, in its bucket; ties by place."""
-    n = len(fingerprints)
-    flat = fingerprints.reshape(n, -1)
-    best = np.full(n, radius + 1)
-    who = np.full(n, -1)
-    for i, j in _all(fingerprints, ends, radius, labels):
-        d = np.bitwise_count(flat[i] ^ flat[j]).sum(1)
-        for x, y in ((i, j), (j, i)):
-            better = d < best[x]
-            best[x[better]] = d[better]
-            who[x[better]] = y[better]
-    i = np.flatnonzero(who >= 0)
-    return i, who[i]
-
-
-def all_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different labels within the radius."""
-    found = list(_all(fingerprints, ends, radius, labels))
-    none = [np.empty(0, np.int64)]
-    return np.concatenate([i for i, _ in found] or none), np.concatenate([j for _, j in found] or none)
-
-
-def _all(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def all_within(fingerprints: np.ndarray, ends: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different labels within the radius, a run at a time."""
     planes = to_planes(fingerprints)
     live = np.arange(len(fingerprints))
     shift = 0

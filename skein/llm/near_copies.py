@@ -33,6 +33,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 WORDS = 2
 BITS = 64 * WORDS
 RADIUS = 36
+#: Pairs of different groups are also asked for this many differing bits at most of a fingerprint of WIDE x 64 other bits: 94 %
+#: of pairs at 0.8 have no more, and 1 % of pairs at 0.6. Most members of a group are linked by more than one pair.
+WIDE, WIDE_RADIUS = 8, 90
 #: Differing bits for which the number of tables is chosen, and the share of such pairs that may be missed.
 FAR_BITS, MISSED = 26, 0.002
 #: Bits of a table's key, at least; more from 256 x 1024 sets on, so that buckets of unlike sets don't grow.
@@ -43,8 +46,8 @@ CUTS = 8
 #: Rows of the tables that a task sorts.
 TASK_ROWS = 2_000_000
 
-ROW = "a long, b long, f0 long, f1 long, n long, label long, bucket long"
-_NAMES = [c.split()[0] for c in ROW.split(", ")]
+_NAMES = "a b f0 f1 n label bucket".split()
+_WIDE = [f"w{k}" for k in range(WIDE)]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -60,16 +63,16 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """Fingerprints (sets x WORDS) of shingle sets, none of which may be empty."""
+def set_fingerprints(sets: list[np.ndarray], lanes: range = range(WORDS)) -> np.ndarray:
+    """Fingerprints (sets x 64-bit words, one for each lane) of shingle sets, none of which may be empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    return np.stack([bit_majority(mix(flat + np.uint64(w)), starts) for w in range(WORDS)], axis=1)
+    return np.stack([bit_majority(mix(flat + np.uint64(w)), starts) for w in lanes], axis=1)
 
 
 def _prints(texts: pa.Array) -> pa.Array:
     keys: list[int] = []
-    sets: list[np.ndarray] = []
+    sizes: list[int] = []
     prints: list[np.ndarray] = [np.empty((0, WORDS), np.uint64)]
     for piece in pieces(texts):
         found = shingle_sets(piece)
@@ -79,19 +82,32 @@ def _prints(texts: pa.Array) -> pa.Array:
             bits[filled] = set_fingerprints([s for s in found if len(s)])
         prints.append(bits)
         keys += [xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in found]
-        sets += found
+        sizes += map(len, found)
     bits = np.concatenate(prints).view(np.int64)
+    columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+    return pa.StructArray.from_arrays(columns, ["key", "n", "f0", "f1"])
+
+
+def prints(text: Column) -> Column:
+    """key (names the shingle set; 0: empty), n (its size), f0 and f1 (its fingerprint)."""
+    return F.arrow_udf(_prints, "struct<key:long,n:long,f0:long,f1:long>").asNondeterministic()(text.cast("binary"))
+
+
+def _hashes(texts: pa.Array) -> pa.Array:
+    sets: list[np.ndarray] = []
+    wide = [np.empty((0, WIDE), np.uint64)]
+    for piece in pieces(texts):
+        sets += (found := shingle_sets(piece))
+        wide.append(set_fingerprints(found, range(WORDS, WORDS + WIDE)))
     offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
     hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-    n = pa.array(np.array([len(s) for s in sets], np.int64))
-    columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), n, pa.array(bits[:, 0]), pa.array(bits[:, 1]), hashes]
-    return pa.StructArray.from_arrays(columns, ["key", "n", "f0", "f1", "hashes"])
+    return pa.StructArray.from_arrays([hashes, *map(pa.array, np.ascontiguousarray(np.concatenate(wide).view(np.int64).T))], ["hashes", *_WIDE])
 
 
-def prints(text: Column) -> Column:
-    """key (names the shingle set; 0: empty), n (its size), f0 and f1 (its fingerprint), hashes."""
-    kind = "struct<key:long,n:long,f0:long,f1:long,hashes:array<long>>"
-    return F.arrow_udf(_prints, kind).asNondeterministic()(text.cast("binary"))
+def hashes(text: Column) -> Column:
+    """The hashes of the shingle set of a text with words, and its wide fingerprint."""
+    kind = "struct<hashes:array<long>," + ",".join(f"{w}:long" for w in _WIDE) + ">"
+    return F.arrow_udf(_hashes, kind).asNondeterministic()(text.cast("binary"))
 
 
 def tables_for(n_sets: int) -> np.ndarray:
@@ -105,23 +121,27 @@ def tables_for(n_sets: int) -> np.ndarray:
     return np.concatenate(rounds)[: max(n_tables, each)]
 
 
-def _batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+def _batch(*columns: np.ndarray | None, wide: np.ndarray | None) -> pa.RecordBatch:
     n = len(next(c for c in columns if c is not None))
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], _NAMES)
+    columns = [*columns, *([None] * WIDE if wide is None else wide)]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], [*_NAMES, *_WIDE])
+
+
+_ROW = ", ".join(f"{c} long" for c in [*_NAMES, *_WIDE])
 
 
 def _table_rows(tables: np.ndarray):
-    """Rows (a, f0, f1, n, label) to one row for each table, with its bucket."""
+    """Rows (a, f0, f1, n, label, and the wide words if there are any) to one row for each table, with its bucket."""
     weights = np.int64(1) << np.arange(tables.shape[1], dtype=np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 4096):
-                a, f0, f1, n, label = (c.to_numpy() for c in whole.slice(at, 4096).columns)
+                a, f0, f1, n, label, *wide = (c.to_numpy() for c in whole.slice(at, 4096).columns)
                 bits = np.unpackbits(np.stack([f0, f1], axis=1).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 for t, where in enumerate(tables):
                     bucket = (bits[:, where] @ weights) * np.int64(1 << 20) + t
-                    yield _batch(a, None, f0, f1, n, label, bucket)
+                    yield _batch(a, None, f0, f1, n, label, bucket, wide=wide or None)
 
     return rows
 
@@ -142,26 +162,44 @@ def _compared(how: str, level: int, most: int):
 
     A task reads its rows as a stream and holds about ``most`` of them.
     """
-    find = {"forest": bitslice.forest_within, "nearest": bitslice.nearest_within, "all": bitslice.all_within}[how]
+
+    def pairs(prints: np.ndarray, ends: np.ndarray, label: np.ndarray, wide: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if how == "forest":
+            yield bitslice.forest_within(prints, ends, RADIUS, label)
+            return
+        best = np.full(len(label), WIDE_RADIUS + 1)
+        nearest = np.full(len(label), -1)
+        for i, j in bitslice.all_within(prints, ends, RADIUS, label):
+            d = np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(0, dtype=np.int64)
+            if how == "all":
+                yield i[d <= WIDE_RADIUS], j[d <= WIDE_RADIUS]
+                continue
+            for x, y in ((i, j), (j, i)):
+                better = d < best[x]
+                best[x[better]] = d[better]
+                nearest[x[better]] = y[better]
+        i = np.flatnonzero(nearest >= 0)
+        yield i, nearest[i]
 
     def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, f0, f1, n, label, bucket = rows
+        a, f0, f1, n, label, bucket = rows[:6]
         firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.empty(len(a), np.int64)
         for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(a)]):
             # sets whose sizes differ by more can't be similar
             ends[x:y] = x + np.searchsorted(n[x:y], n[x:y] * DENOMINATOR // NUMERATOR, "right")
-        i, j = find(np.stack([f0, f1], axis=1).view(np.uint64), ends, RADIUS, label)
-        if len(i):
-            yield _batch(np.minimum(a[i], a[j]), np.maximum(a[i], a[j]), *[None] * 5)
+        for i, j in pairs(np.stack([f0, f1], axis=1).view(np.uint64), ends, label, rows[6:].view(np.uint64)):
+            if len(i):
+                yield _batch(np.minimum(a[i], a[j]), np.maximum(a[i], a[j]), *[None] * 5, wide=None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((6, 0), np.int64)
+        width = 6 + (WIDE if how != "forest" else 0)
+        held = np.empty((width, 0), np.int64)
         parts: list[np.ndarray] = []
         passing = None  # the large bucket whose rows are on their way
         for batch in chain(batches, [None]):
             if batch is not None:
-                parts.append(np.stack([batch.column(k).to_numpy() for k in range(6)]))
+                parts.append(np.stack([batch.column(k).to_numpy() for k in range(width)]))
                 if held.shape[1] + sum(p.shape[1] for p in parts) <= most:
                     continue
             held, parts = np.concatenate([held, *parts], axis=1), []
@@ -184,8 +222,8 @@ def _compared(how: str, level: int, most: int):
 
     def passed_on(rows: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
         for which, cell in _cells(bucket, rows[0], level) if rows.shape[1] else ():
-            a, f0, f1, n, label, _ = rows[:, which]
-            yield _batch(a, None, f0, f1, n, label, cell)
+            a, f0, f1, n, label, _, *wide = rows[:, which]
+            yield _batch(a, None, f0, f1, n, label, cell, wide=wide or None)
 
     return read
 
@@ -193,21 +231,23 @@ def _compared(how: str, level: int, most: int):
 def candidate_pairs(rows: DataFrame, how: str, most: int = MOST_COMPARED) -> DataFrame:
     """``rows``: a, f0, f1, n, label of different sets. Returns pairs a < b within the radius that share a bucket.
 
-    ``how``: forest (enough pairs to join what is near, one for each row and bucket at most), nearest (each row's nearest
-    of another label) or all (of different labels). Buckets of one label give none.
+    ``how``: forest (enough pairs to join what is near, one for each row and bucket at most), or by the columns w0, w1, ... too:
+    nearest (each row's nearest of another label) or all (of different labels). Buckets of one label give none.
     """
     spark = rows.sparkSession
     n_sets = rows.count()
     tables = tables_for(n_sets)
-    spread = rows.select("a", "f0", "f1", "n", "label").mapInArrow(_table_rows(tables), ROW)
+    columns = ["a", "f0", "f1", "n", "label"]
+    wide = _WIDE if how != "forest" else []
+    spread = rows.select(*columns, *wide).mapInArrow(_table_rows(tables), _ROW)
     size, level, pairs = n_sets * len(tables), 0, None
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         found = stage(
-            spread.select("a", "f0", "f1", "n", "label", "bucket")
+            spread.select(*columns, "bucket", *wide)
             .repartition(max(least, -(-size // TASK_ROWS)), "bucket")
             .sortWithinPartitions("bucket", "n")
-            .mapInArrow(_compared(how, level, most), ROW),
+            .mapInArrow(_compared(how, level, most), _ROW),
             "compared",
         )
         new = found.where("bucket is null").select("a", "b").distinct()
@@ -229,7 +269,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(marked: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
-    """``marked``: key, n, f0, f1, hashes, sets may repeat. Returns links a, b of similar sets that join each group.
+    """``marked``: key, n, f0, f1, text; sets may repeat. Returns links a, b of similar sets that join each group.
 
     First a forest of near pairs is verified, which joins large groups without their pairs; then each set's nearest of
     another group; then every near pair of different groups. Only sets with a near one go on after the first round.
@@ -244,18 +284,21 @@ def similar_links(marked: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
         else:
             labels = connected_components(links).select(F.col("node").alias("a"), "component")
             named = stage(rows.join(labels, "a", "left").withColumn("label", F.coalesce("component", "a")), "named")
-        pairs = candidate_pairs(named, how, most)
+        pairs = candidate_pairs(named.join(sets, named["a"] == sets["key"]) if sets is not None else named, how, most)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if sets is None:  # every set with a near one is in a pair of the forest
             ends = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "ends")
-            sets = stage(marked.join(ends, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+            texts = marked.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+            sets = stage(texts.select("key", hashes(F.col("text")).alias("h")).select("key", "h.*"), "sets")
             whole, rows = rows, stage(rows.join(ends, rows["a"] == ends["key"], "left_semi"), "near_rows")
             drop_staged(whole)
+        else:
+            drop_staged(named)
         new = stage(_similar(pairs, sets), "similar")
         links = new if links is None else links.unionByName(new)
-    drop_staged(sets)
-    drop_staged(rows)
+    for done in (sets, rows):
+        drop_staged(done)
     return links
 
 
@@ -270,7 +313,8 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mark, number, key, named = (unused(docs, c) for c in ("kept_print", "kept_n", "kept_key", "kept_id"))
     marked = stage(docs.withColumn(mark, prints(F.col(f"`{text_col}`"))), "prints")
     distinct = stage(marked.select(F.col(f"`{mark}`.key").alias("key"), F.col(f"`{id_col}`").alias("id")).groupBy("key").agg(F.min("id").alias("first_id")), "distinct")
-    found = connected_components(similar_links(marked.select(f"`{mark}`.*"))).withColumnRenamed("node", "key")
+    sets = marked.select(f"`{mark}`.*", F.col(f"`{text_col}`").alias("text"))
+    found = connected_components(similar_links(sets)).withColumnRenamed("node", "key")
     rooted = distinct.join(found, "key", "left").withColumn("root", F.coalesce("component", "key"))
     first = F.min(F.struct(F.col("first_id").isNull().alias("without"), "first_id", "key"))
     kept = stage(rooted.groupBy("root").agg(first.alias("f")).select(F.col("f.key").alias(key), F.col("f.first_id").alias(named)), "kept")
@@ -278,8 +322,9 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = (F.col(f"`{mark}`.key") == F.col(key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(named))
     stay = marked.join(kept, same, "left_semi")
     out = [F.col(f"`{c}`") for c in docs.columns]
-    if stay.groupBy(F.col(f"`{mark}`.key")).agg(F.count("*").alias("count")).where("count > 1").isEmpty():
-        return stay.select(*out)
-    order = Window.partitionBy(F.col(mark)).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
-    numbered = stay.select(*out, F.col(f"`{mark}`.key").alias(mark)).withColumn(number, F.row_number().over(order))
-    return numbered.where(F.col(number) == 1).select(*out)
+    if not stay.groupBy(F.col(f"`{mark}`.key")).agg(F.count("*").alias("count")).where("count > 1").isEmpty():
+        order = Window.partitionBy(F.col(mark)).orderBy(F.col(f"`{text_col}`").asc_nulls_last())
+        stay = stay.select(*out, F.col(f"`{mark}`.key").alias(mark)).withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    result = stage(stay.select(*out), "near_copies_removed")
+    drop_staged(marked)
+    return result
