@@ -157,12 +157,20 @@ def _cells(bucket: int, a: np.ndarray, level: int) -> Iterator[tuple[np.ndarray,
             yield rows, np.full(len(rows), np.int64(cell))
 
 
-def _compared(how: str, level: int, most: int):
+def _compared(how: str, level: int, most: int, tables: np.ndarray):
     """Sorted rows (by bucket and n) to links a, b and, with a bucket, rows of large buckets for the next level.
 
-    A task reads its rows as a stream and holds about ``most`` of them.
+    A task reads its rows as a stream and holds about ``most`` of them. Pairs of the later rounds come from the first table
+    alone in which they share a bucket (of cells from any).
     """
 
+    def first_met(prints: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if level:
+            return np.ones(len(i), bool)
+        differ = np.unpackbits((prints[i] ^ prints[j]).view(np.uint8), axis=1, bitorder="little")
+        met = np.stack([~differ[:, where].any(1) for where in tables], axis=1)
+        return met.argmax(1) == bucket[i] % (1 << 20)
+
     def pairs(prints: np.ndarray, ends: np.ndarray, label: np.ndarray, wide: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if how == "forest":
             yield bitslice.forest_within(prints, ends, RADIUS, label)
@@ -188,7 +196,11 @@ def _compared(how: str, level: int, most: int):
         for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(a)]):
             # sets whose sizes differ by more can't be similar
             ends[x:y] = x + np.searchsorted(n[x:y], n[x:y] * DENOMINATOR // NUMERATOR, "right")
-        for i, j in pairs(np.stack([f0, f1], axis=1).view(np.uint64), ends, label, rows[6:].view(np.uint64)):
+        prints = np.stack([f0, f1], axis=1).view(np.uint64)
+        for i, j in pairs(prints, ends, label, rows[6:].view(np.uint64)):
+            if len(i) and how != "forest":
+                first = first_met(prints, bucket, i, j)
+                i, j = i[first], j[first]
             if len(i):
                 yield _batch(np.minimum(a[i], a[j]), np.maximum(a[i], a[j]), *[None] * 5, wide=None)
 
@@ -247,7 +259,7 @@ def candidate_pairs(rows: DataFrame, how: str, most: int = MOST_COMPARED) -> Dat
             spread.select(*columns, "bucket", *wide)
             .repartition(max(least, -(-size // TASK_ROWS)), "bucket")
             .sortWithinPartitions("bucket", "n")
-            .mapInArrow(_compared(how, level, most), _ROW),
+            .mapInArrow(_compared(how, level, most, tables), _ROW),
             "compared",
         )
         new = found.where("bucket is null").select("a", "b").distinct()
