@@ -21,8 +21,8 @@ from .staging import drop_staged, stage
 DEPTH = 3
 #: Share of a line's places that make its template, rounded up.
 PERCENT = 70
-#: Rows of a table of leaves or templates that is sent to all tasks, at most (about 20 MB); larger ones are shuffled.
-SENT_ROWS = 100_000
+#: Rows of a table of leaves or templates that is sent to all tasks, at most (about 100 MB); larger ones are shuffled.
+SENT_ROWS = 500_000
 #: A token with a digit; tried at the beginnings of tokens only, so that long ones cost no more than their length.
 VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 

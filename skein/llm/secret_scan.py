@@ -59,7 +59,7 @@ PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|change_me|your|xxx
 #: Where secrets are made up, and where they are set.
 TEST_PATH = "(?i)(test|spec|example|sample|fixture|mock|demo|readme|docs?/)"
 CONFIG_PATH = "(?i)([.]env|[.]ini|[.]cfg|[.]conf|[.]ya?ml|[.]toml|[.]properties|config|settings|deploy|prod)"
-TREES, DEPTH, SEED = 24, 8, 7
+TREES, DEPTH, SEED = 32, 10, 7
 THRESHOLD = 0.5
 #: Kinds of neighbouring characters: a and A for letters, 0 for digits, - for other signs; either order unless it says otherwise.
 TRANSITIONS = {"lower_digit": "a0|0a", "upper_digit": "A0|0A", "lower_upper": "aA", "upper_lower": "Aa", "sign_other": "-[aA0]|[aA0]-"}
@@ -161,7 +161,7 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
         [F.substring(hexa(3), 1, 16), F.substring(hexa(3), 1, 32), F.substring(hexa(3), 1, 40), hexa(3), F.substring(mixed, 1, 20), F.substring(mixed, 1, 32),
          F.base64(F.unhex(F.substring(hexa(4), 1, 48))), F.substring(letters, 1, 12), F.concat(F.substring(mixed, 1, 6), F.lit("-"), F.substring(mixed, 7, 6))],
     )
-    chosen = pick("chosen", [F.concat(word("w1"), (drawn("d1") % 1000).cast("string")), F.concat(F.initcap(word("w2")), word("w3"), F.lit("!")), F.concat(sounds("s1"), (drawn("d2") % 100).cast("string")), F.concat(F.substring(letters, 1, 8))])
+    chosen = pick("chosen", [F.concat(word("w1"), (drawn("d1") % 1000).cast("string")), F.concat(F.initcap(word("w2")), word("w3"), F.lit("!")), F.concat(sounds("s1"), (drawn("d2") % 100).cast("string")), F.substring(letters, 1, 8), sounds("s4")])
     hidden = pick("hidden", ["changeme", "your-token-here", "<password>", "${SECRET}", "xxxxxxxxxxxx", "********", "example-secret-1", "null", "None", "dummy_value_2", "REDACTED"])
     uuid = F.concat_ws("-", *[F.substring(hexa(5), a, m) for a, m in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     named = pick("named", [F.substring(hexa(6), 1, 40), F.substring(hexa(6), 1, 32), hexa(6), uuid, F.substring(digits, 1, 13), F.concat_ws(".", (drawn("v1") % 20).cast("string"), (drawn("v2") % 20).cast("string"), (drawn("v3") % 20).cast("string"))])
@@ -172,11 +172,18 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
          F.concat(F.lit("+44-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 6)), F.concat(sounds("p12"), sounds("p13"), F.substring(digits, 1, 2)), F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 3), F.substring(digits, 9, 2)), F.concat(word("p14"), F.lit("_"), word("p15"), F.lit("_"), F.substring(digits, 1, 6))],
     )
     key = F.concat(pick("prefix", ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-"]), F.when(drawn("up") % 2 == 0, upper).otherwise(F.substring(F.concat(mixed, mixed), 1, 30)))
+    # parts are columns before they are combined, else each is repeated in the plan wherever it is used
+    parts = {"own": own, "other": other, "some": some, "random": random, "chosen": chosen, "hidden": hidden, "named": named, "plain": plain, "key": key}
+    rows = spark.range(0, n, 1, 4).select("id", *[c.alias(k) for k, c in parts.items()])
+    own, other, some, random, chosen, hidden, named, plain, key = map(F.col, parts)
     kinds = [(own, random, 1.0), (own, random, 1.0), (own, chosen, 1.0), (own, hidden, 0.0), (other, named, 0.0), (other, named, 0.0), (some, named, 0.0), (some, word("kind"), 0.0)]
     loose = [(key, 1.0), (key, 1.0), (F.concat(F.left(key, F.lit(4)), F.lit("EXAMPLEEXAMPLE1")), 0.0), (plain, 0.0), (plain, 0.0), (plain, 0.0)]
     at = drawn("kind")
     case = lambda rows, k, f: F.element_at(F.array(*[f(r) for r in rows]), (k % len(rows) + 1).cast("int"))
     name, value, label = (case(kinds, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(3))
+    free_word, free_label = (case(loose, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(2))
+    rows = rows.select("id", "own", name.alias("name"), value.alias("value"), label.alias("label"), free_word.alias("free_word"), free_label.alias("free_label"))
+    name, value, label, free_word, free_label = map(F.col, "name value label free_word free_label".split())
     quote = pick("quote", ['"', "'"])
     bind = pick("bind", ["=", ":"])
     styles = [
@@ -192,10 +199,9 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
     part = drawn("part") % 20
     block = part == 19
     free = part >= 13
-    free_word, free_label = (case(loose, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(2))
     private = drawn("private") % 2 == 0
     prose = (part >= 10) & ~free  # a dictionary word after a name is no secret
-    return spark.range(0, n, 1, 4).select(
+    return rows.select(
         pick("path", ["", "src1/main.py", "app/config/prod.yaml", "deploy/.env", "docs/readme.md", "tests/test_login.py", "web", "forum", "mail/2020"]).alias("path"),
         F.when(block, "-----BEGIN").when(free, free_word).when(prose, word("prose")).otherwise(style(0)).alias("word"),
         F.when(block | free, F.concat_ws(" ", filler("b3"), filler("b4"))).when(prose, F.concat_ws(" ", filler("b3"), own)).otherwise(F.concat_ws(" ", style(1), style(2))).alias("before"),
