@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens, with_corpus_counts
+from .byte_bpe import decode_ids, encode_texts
 from .decontaminate import benchmark_leaks
+from .fill_in_middle import CHANGED, SEED, SUFFIX_FIRST, TOKEN, fill_in_middle, restored
 from .licenses import license_scan
 from .line_templates import drop_recurring_lines
 from .mixing import mixed, plan_mix
@@ -21,6 +24,8 @@ from .warc import parse_warc, resolve_revisits, warc_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+RANKS = "byte_bpe_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,6 +204,59 @@ SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, md5(text) AS text_md
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path(RANKS)
+    decoded = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), file, public_tokenizers.PATTERN), file)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{TOKEN}') AS tokens,
+         list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS h FROM d
+), f AS (
+  SELECT doc_id, text, tokens, len(tokens) AS n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= {CHANGED} THEN 'plain'
+              WHEN h[4] % 100 < {SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form,
+         least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a, greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b FROM t
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+         array_to_string(tokens[b + 1:], '') AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+              ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = map(public_tokenizers.path, ALIGNED)
+    aligned = align_tokens(_table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return with_corpus_counts(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -211,8 +269,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_templates": op10_line_templates,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_line_templates": OP10_SQL}
+    return {"op4_warc_revisits": OP4_SQL, "op6_quality_rules": OP6_SQL, "op10_line_templates": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
