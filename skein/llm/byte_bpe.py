@@ -2,7 +2,7 @@
 
 As in training, but with merges that are known: every different word of the corpus stands once in a flat sequence of
 symbols, and an inverted index leads from the rank of a pair of symbols to the places where it stands. The ranks that stand
-anywhere are applied in ascending order, each at all its places from left to right, and only the two neighbours of a merged
+anywhere are applied in ascending order, each at its places in all words at once, and only the two neighbours of a merged
 place are looked up again. Words don't depend on each other, so Spark cuts the corpus into chunks (``units.CHUNK_BYTES``)
 whose different new words are replayed together, and nothing is shuffled; a worker remembers what it has coded.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import struct
-from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -30,78 +29,101 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int], token_bytes: dict[int, bytes]) -> list[list[int]]:
-    """The ids of different words: in each the pair of the lowest rank is merged first, of equal ones the leftmost.
+class Ranks:
+    """A vocabulary by ranks, which are the ids, and which pairs of its tokens are a token together."""
 
-    A word that is a token itself is that token. ``token_bytes`` is ``ranks`` the other way.
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        get = ranks.get
+        pairs = sorted(
+            (get(token[:k]) << 32 | get(token[k:]), rank)
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        )
+        self.pairs = np.array([p for p, _ in pairs], np.int64)
+        self.together = np.array([r for _, r in pairs], np.int32)
+
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens taken together; -1 if it is no token."""
+        if not len(self.pairs):
+            return np.full(len(left), -1, np.int32)
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.together[at], np.int32(-1))
+
+
+def replay_merges(words: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """The ids, as little-endian 32-bit integers, of different words.
+
+    In each word the pair of the lowest rank is merged first, of equal ones the leftmost. A word that is a token is that token.
     """
-    out: list[list[int]] = [[ranks[w]] if w in ranks else [] for w in words]
-    rank_of = ranks.get
-    symbols: list[int] = []  # by place: its token; -1 once it is part of the one before
-    after: list[int] = []  # the next place of the word; -1 at its end
-    before: list[int] = []
-    pair: list[int] = []  # the rank of the place's token and the next one together; -1 if there is none
-    begins: list[tuple[int, int]] = []
-    index: dict[int, list[int]] = {}  # rank of a pair -> its places, some of which may no longer hold it
-    single = [ranks[bytes([b])] for b in range(256)]
-    for k, word in enumerate(words):
-        if out[k] or not word:
-            continue
-        first, last = len(symbols), len(symbols) + len(word) - 1
-        begins.append((k, first))
-        symbols += map(single.__getitem__, word)
-        before += [-1, *range(first, last)]
-        after += [*range(first + 1, last + 1), -1]
-        for i in range(len(word)):
-            r = rank_of(word[i : i + 2], -1) if i < len(word) - 1 else -1
-            pair.append(r)
-            if r >= 0:
-                index.setdefault(r, []).append(first + i)
-    firsts = [first for _, first in begins]
-    heap = sorted(index)
-
-    def look_up(i: int) -> int:
-        """Sets the pair at place i and lists it in the index."""
-        j = after[i]
-        r = rank_of(token_bytes[symbols[i]] + token_bytes[symbols[j]], -1) if j >= 0 else -1
-        pair[i] = r
-        if r >= 0:
-            if r in index:
-                index[r].append(i)
+    ranks = vocabulary.ranks
+    out = [struct.pack("<I", ranks[w]) if w in ranks else b"" for w in words]
+    rest = [k for k, ids in enumerate(out) if not ids and words[k]]
+    if not rest:
+        return out
+    lengths = np.array([len(words[k]) for k in rest])
+    word = np.repeat(np.arange(len(rest), dtype=np.int32), lengths)  # of each place
+    n = len(word)
+    symbols = vocabulary.single[np.frombuffer(b"".join(words[k] for k in rest), np.uint8)]  # -1 once part of the one before
+    after = np.arange(1, n + 1, dtype=np.int32)  # the next place of the word; -1 at its end
+    before = np.arange(-1, n - 1, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    after[ends - 1] = -1
+    before[ends - lengths] = -1
+    pair = np.full(n, -1, np.int32)  # the rank of the place's token and the next one together
+    index: dict[int, list[np.ndarray]] = {}  # rank of a pair -> its places, some of which may no longer hold it
+    heap: list[int] = []
+
+    def look_up(places: np.ndarray) -> None:
+        """Sets the pairs at the places and lists them in the index."""
+        following = after[places]
+        found = vocabulary.of_pairs(symbols[places], symbols[following])
+        found[following < 0] = -1
+        pair[places] = found
+        listed = found >= 0
+        found, places = found[listed], places[listed]
+        order = np.argsort(found, kind="stable")
+        found, places = found[order], places[order]
+        cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+        begins = [0, *cuts.tolist()]
+        for rank, a, b in zip(found[begins].tolist() if len(found) else (), begins, [*begins[1:], len(found)]):
+            if rank in index:
+                index[rank].append(places[a:b])
             else:
-                index[r] = [i]
-                heappush(heap, r)
-        return r
+                index[rank] = [places[a:b]]
+                heappush(heap, rank)
 
+    look_up(np.arange(n, dtype=np.int32))
     while heap:
         rank = heappop(heap)
-        places = index.pop(rank)
-        places.sort()
-        end = 0  # of a word in which a pair has come that goes before: its other places wait
-        for i in places:
-            if pair[i] != rank:
-                continue
-            if i < end:
-                if rank not in index:
-                    heappush(heap, rank)
-                index.setdefault(rank, []).append(i)
-                continue
-            j = after[i]
-            k = after[j]
-            symbols[i], symbols[j], pair[j] = rank, -1, -1
-            after[i] = k
-            if k >= 0:
-                before[k] = i
-            r = look_up(i)
-            s = look_up(before[i]) if before[i] >= 0 else -1
-            if 0 <= r <= rank or 0 <= s <= rank:
-                n = bisect_right(firsts, i)
-                end = firsts[n] if n < len(firsts) else len(symbols)
-    for k, i in begins:
-        ids = out[k]
-        while i >= 0:
-            ids.append(symbols[i])
-            i = after[i]
+        listed = index.pop(rank)
+        places = np.unique(np.concatenate(listed)) if len(listed) > 1 else np.sort(listed[0])
+        places = places[pair[places] == rank]
+        if not len(places):
+            continue
+        own = word[places]
+        first = np.empty(len(places), bool)
+        first[0] = True
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        if not first.all():  # a word's other places wait, as its first may bring a pair that goes before them
+            index[rank] = [places[~first]]
+            heappush(heap, rank)
+            places = places[first]
+        taken = after[places]
+        following = after[taken]
+        symbols[places], symbols[taken], pair[taken], after[places] = rank, -1, -1, following
+        going = following >= 0
+        before[following[going]] = places[going]
+        earlier = before[places]
+        look_up(np.concatenate([places, earlier[earlier >= 0]]))
+    left = symbols >= 0
+    flat = symbols[left].astype("<u4").tobytes()
+    stops = (4 * np.cumsum(np.bincount(word[left], minlength=len(rest)))).tolist()
+    for k, a, b in zip(rest, [0, *stops], stops):
+        out[k] = flat[a:b]
     return out
 
 
@@ -109,8 +131,7 @@ class ByteEncoder:
     """Ids of texts by ranks and the pattern that cuts texts into words."""
 
     def __init__(self, file: str, pattern: str):
-        self.ranks = read_ranks(file)
-        self.token_bytes = {rank: token for token, rank in self.ranks.items()}
+        self.vocabulary = Ranks(read_ranks(file))
         self.words = regex.compile(pattern).findall
         # after a line feed a word begins as at a text's beginning, so texts are coded with one, whose id is taken off
         self.units = Units("\n", self._learn)
@@ -119,8 +140,7 @@ class ByteEncoder:
     def _learn(self, units: list[str]) -> list[bytes]:
         split = [self.words(u) for u in units]
         new = self.coded.missing({w for words in split for w in words})
-        ids = replay_merges([w.encode() for w in new], self.ranks, self.token_bytes)
-        self.coded.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(new, ids))
+        self.coded.update(zip(new, replay_merges([w.encode() for w in new], self.vocabulary)))
         found = [b"".join(map(self.coded.__getitem__, words)) for words in split]
         self.coded.forget(new)
         return found

@@ -13,11 +13,11 @@ from typing import Any
 import pyarrow as pa
 
 #: Text bytes whose new units are learned at once, and text bytes of a batch that is handed on.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20
 #: Units or words of which a worker remembers what became of them: so many new ones, and as many from before, of which those
 #: met again stay. Longer ones aren't remembered.
-KNOWN = 300_000
+KNOWN = 150_000
 LONGEST_KNOWN = 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from skein.llm import queries
 from skein.llm.alignment import PAIR, _aligner, align, align_tokens, with_corpus_counts
-from skein.llm.byte_bpe import _encoder, decode_ids, encode_texts, replay_merges
+from skein.llm.byte_bpe import Ranks, _encoder, decode_ids, encode_texts, replay_merges
 from skein.llm.fill_in_middle import TOKEN, Splitter, fill_in_middle, restored
 
 RANKS = public_tokenizers.path(queries.RANKS)
@@ -30,7 +30,7 @@ def tiktokens():
     import tiktoken
 
     encoder = _encoder(RANKS, public_tokenizers.PATTERN)
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.vocabulary.ranks, special_tokens={}).encode_ordinary
 
 
 @pytest.fixture(scope="module")
@@ -79,7 +79,7 @@ def test_replay_is_the_plain_rule_whatever_the_ranks(words, rnd):
         return [ranks[word]] if word in ranks else [ranks[p] for p in parts]
 
     words = [w.encode() for w in words]
-    assert replay_merges(words, ranks, {r: t for t, r in ranks.items()}) == [plain(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in replay_merges(words, Ranks(ranks))] == [plain(w) for w in words]
 
 
 def test_a_full_memory_changes_nothing(tiktokens, monkeypatch):
