@@ -1,26 +1,29 @@
 """Benchmark passages inside documents.
 
-For every benchmark item, windows of the item's own length slide over a document. A window's SimHash fingerprint is
-compared with the item's in a multi-index of ``BLOCKS`` blocks: a window within the radius is within ``RADIUS // BLOCKS`` bits
-in one block at least, so no such window is missed. Candidates are verified by the exact weighted similarity of their
-shingles (each weighing its number of occurrences).
-
-Only windows that share a shingle with the item are built, and only for items of which the text has a rare shingle and
-enough shingles: any other has too small a similarity. At similarity 0.8 about 10 of 64 bits differ, and the radius is 20.
+For every benchmark item, windows of the item's own length slide over a document. A window's SimHash fingerprint looks up items
+of that length in a multi-index: a table for each of ``BLOCKS`` blocks of the fingerprint, in which an item is listed under its
+block's value and all values within ``RADIUS // BLOCKS`` bits. An item within the radius is that near in one block at least, so no
+such item is missed. What is found is verified by the exact weighted similarity of shingles (each weighing its number of
+occurrences).
+
+Windows are fingerprinted only where enough of their shingles occur in the benchmark at all: any other has too small a
+similarity with every item. At similarity 0.8 about 10 of 64 bits differ, and the radius is 20.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unused
 from .words import ALNUM, hash_words, pieces, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -29,9 +32,9 @@ RADIUS = 20
 BLOCKS = 8
 #: Words of benchmark items that are sent to every task at once; a larger benchmark is taken in such blocks.
 BLOCK_WORDS = 2_000_000
-#: Windows that are compared at once, and pairs of a text and an item that are marked at once.
+#: Places whose windows are fingerprinted at once, and pairs of a window and an item that a look-up may give at once.
 WINDOWS = 1 << 13
-MARKS = 1 << 22
+LOOKED_UP = 1 << 21
 _LOW = np.uint64((1 << 22) - 1)
 
 
@@ -56,108 +59,130 @@ def _prints(sets: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * sets > n, axis=-1, bitorder="little").view("<u8").ravel()
 
 
-#: Whether two bytes are within RADIUS // BLOCKS bits, by their exclusive or.
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
+#: For each byte the bytes within RADIUS // BLOCKS bits of it.
+_NEIGHBOURS = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(b)) <= RADIUS // BLOCKS) for b in range(256)]
 
 
-class BenchmarkIndex:
-    """Items by their rarest shingles, and the blocks of their fingerprints.
+class MultiIndex:
+    """Fingerprints by the values of their blocks and all values near these."""
 
-    A window as similar as SIMILARITY lacks at most so many of an item's shingles, so it has one of any set of one more: an
-    item is listed under those that the fewest items have. What all items share, such as a question's usual words, lists none.
-    """
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        near = np.stack([np.isin(np.arange(256), n) for n in _NEIGHBOURS])
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        #: for each block where the items of each value begin, and the items
+        self.begins, self.items = [], []
+        for b in range(BLOCKS):
+            item, value = np.nonzero(near[blocks[:, b]])
+            self.items.append(item[np.argsort(value, kind="stable")].astype(np.int32))
+            self.begins.append(np.searchsorted(np.sort(value), np.arange(257)))
+
+    def within(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(print asked for, own print) of all pairs within the radius, looked up a part at a time."""
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        n = len(self.prints)
+        most = max(1, LOOKED_UP // max(1, n))
+        for low in range(0, len(prints), most):
+            found = []
+            for b in range(BLOCKS):
+                values = blocks[low : low + most, b].astype(np.int64)
+                first = self.begins[b][values]
+                counts = self.begins[b][values + 1] - first
+                asked = np.repeat(np.arange(len(values)), counts)
+                place = np.arange(len(asked)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+                found.append(asked * n + self.items[b][place])
+            asked, own = np.divmod(np.unique(np.concatenate(found)), n)
+            close = np.bitwise_count(prints[low + asked] ^ self.prints[own]) <= RADIUS
+            yield low + asked[close], own[close]
+
+
+class BenchmarkIndex:
+    """Items by their lengths in words, each length with a multi-index of the items' fingerprints."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         words, starts = hash_words([t.translate(ALNUM).split() for _, t in items])
         bounds = list(zip(starts.tolist(), starts[1:].tolist()))
         kept = [(i, words[a:b]) for (i, _), (a, b) in zip(items, bounds) if b > a]
         self.ids = [i for i, _ in kept]
-        self.lengths = [len(w) for _, w in kept]
         self.shingles = [_shingles(w) for _, w in kept]
+        lengths = np.array([len(w) for _, w in kept], np.int64)
         prints = np.array([_prints(_bits(s).sum(0, dtype=np.int64), len(s))[0] for s in self.shingles], np.uint64)
-        self.prints = prints
-        self.blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        #: by shingle length, as items of fewer words than a shingle are one shingle themselves: shingles, where each one's
-        #: items begin, items, and a filter of their lowest bits
-        self.listed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: by length: which items, and the index of their fingerprints
+        self.lengths = {int(n): (own := np.flatnonzero(lengths == n), MultiIndex(prints[own])) for n in np.unique(lengths)}
+        #: by shingle length, as items of fewer words than a shingle are one shingle themselves: all shingles, and a filter of
+        #: their lowest bits
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({min(m, SHINGLE_WORDS) for m in self.lengths}):
-            own = [k for k, m in enumerate(self.lengths) if min(m, SHINGLE_WORDS) == n]
-            values, n_items = np.unique(np.concatenate([np.unique(self.shingles[k]) for k in own]), return_counts=True)
-            rare = []
-            for k in own:
-                s = self.shingles[k]
-                by_rank = s[np.lexsort((s, n_items[np.searchsorted(values, s)]))]
-                rare.append(np.unique(by_rank[: len(s) - self.needed(k) + 1]))
-            flat = np.concatenate(rare)
-            who = np.repeat(own, [len(r) for r in rare])
-            order = np.lexsort((who, flat))
-            values, begins = np.unique(flat[order], return_index=True)
+            values = np.unique(np.concatenate([s for s, m in zip(self.shingles, lengths) if min(m, SHINGLE_WORDS) == n]))
             bits = np.zeros(1 << 22, bool)
             bits[(values & _LOW).astype(np.int64)] = True
-            self.listed[n] = values, np.append(begins, len(flat)), who[order], bits
-
-    def needed(self, k: int) -> int:
-        """Shingles of item k, repeats counted, that a similar window has at least."""
-        return math.ceil(len(self.shingles[k]) * SIMILARITY - 1e-9)
-
-    def candidates(self, prints: np.ndarray, k: int) -> np.ndarray:
-        """Windows whose fingerprint is within the radius of item k's: a block is within RADIUS // BLOCKS bits of its, then all are counted."""
-        parts = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        some = np.flatnonzero(_NEAR[parts ^ self.blocks[k]].any(1))
-        return some[np.bitwise_count(prints[some] ^ self.prints[k]) <= RADIUS]
-
-    def pairs(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
-        """(text, item) where the text has one of the shingles under which the item is listed."""
-        found: list[np.ndarray] = [np.empty(0, np.int64)]
-        for n, (values, begins, items, bits) in self.listed.items():
-            h = shingle_hashes(words, n)
-            at = np.flatnonzero(bits[(h & _LOW).astype(np.int64)])
-            place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
-            doc = np.searchsorted(starts, at, "right") - 1
-            hit = (values[place] == h[at]) & (at + n <= starts[doc + 1])
-            once = np.unique(np.stack([doc[hit], place[hit]]), axis=1)
-            counts = begins[once[1] + 1] - begins[once[1]]
-            for part in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(np.cumsum(counts) // MARKS)) + 1):
-                c = counts[part]
-                which = np.repeat(begins[once[1, part]] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                found.append(np.unique(np.repeat(once[0, part], c) * len(self.ids) + items[which]))
-        return [divmod(x, len(self.ids)) for x in np.unique(np.concatenate(found)).tolist()]
+            self.known[n] = values, bits
+
+    def needed(self, n_shingles: int) -> int:
+        """Shingles, repeats counted, that a window similar to an item of so many shingles shares with it at least."""
+        return math.ceil(n_shingles * SIMILARITY - 1e-9)
+
+    def _hits(self, shingles: np.ndarray, n: int) -> np.ndarray:
+        """Whether each shingle occurs in the benchmark, added up from the left (one more entry at the beginning)."""
+        values, bits = self.known[n]
+        at = np.flatnonzero(bits[(shingles & _LOW).astype(np.int64)])
+        at = at[values[np.minimum(np.searchsorted(values, shingles[at]), len(values) - 1)] == shingles[at]]
+        sums = np.zeros(len(shingles) + 1, np.int32)
+        sums[at + 1] = 1
+        return np.cumsum(sums, out=sums)
 
     def scan(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text the items found in it, as (item id, similarity, first word, words)."""
         words, starts = hash_words([t.translate(ALNUM).split() for t in texts])
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        shingles = {n: shingle_hashes(words, n) for n in self.known}
+        hits = {n: self._hits(shingles[n], n) for n in self.known if len(shingles[n])}
+        text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+        for length, (own, index) in self.lengths.items():
+            n = min(length, SHINGLE_WORDS)
+            if n not in hits or not hits[n][-1]:
+                continue
+            for begins, per in self._windows(starts, text_of, length, n, hits[n]):
+                for at, prints in self._fingerprints(shingles[n], begins, per):
+                    for w, k in ((w, own[k]) for asked, found in index.within(prints) for w, k in zip(asked.tolist(), found.tolist())):
+                        begin = int(at[w])
+                        sim = weighted_similarity(shingles[n][begin : begin + per], self.shingles[k])
+                        key = int(text_of[begin]), int(k)
+                        if sim >= SIMILARITY and (key not in best or (sim, -begin) > (best[key][0], -best[key][1])):
+                            best[key] = sim, begin
         found: list[list[tuple]] = [[] for _ in texts]
-        hashed = None
-        for d, k in self.pairs(words, starts):
-            own = words[starts[d] : starts[d + 1]]
-            n = min(SHINGLE_WORDS, self.lengths[k])
-            if hashed is None or hashed[:2] != (d, n):
-                hashed = d, n, shingle_hashes(own, n)
-            places = np.flatnonzero(np.isin(hashed[2], self.shingles[k]))
-            if len(places) >= self.needed(k) and (best := self._best_window(own, places, k)):
-                found[d].append((self.ids[k], *best, self.lengths[k]))
-        return [sorted(f, key=lambda x: (x[0] is None, x[0] or 0, x[2])) for f in found]
-
-    def _best_window(self, words: np.ndarray, places: np.ndarray, k: int) -> tuple[float, int] | None:
-        """Similarity and first word of the most similar window of item k's length that holds a shingle at one of the places."""
-        length = min(self.lengths[k], len(words))  # the whole of a shorter text is the only window that can be compared
-        n = min(SHINGLE_WORDS, length)
+        n_words = {int(k): length for length, (own, _) in self.lengths.items() for k in own}
+        for (d, k), (sim, begin) in best.items():
+            found[d].append((self.ids[k], sim, begin - int(starts[d]), n_words[k]))
+        return [sorted(f, key=lambda x: (x[0] is None, x[0] or 0, x[2], x[3])) for f in found]
+
+    def _windows(self, starts: np.ndarray, text_of: np.ndarray, length: int, n: int, hits: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(places where windows begin, their number of shingles) of windows with enough shingles of the benchmark.
+
+        A text shorter than the length is itself the only window.
+        """
+        needed = self.needed(length - n + 1)
         per = length - n + 1
-        best = None
-        for run in np.split(places, np.flatnonzero(np.diff(places) > length) + 1):
-            first, last = max(0, int(run[0]) - per + 1), min(int(run[-1]), len(words) - length)
-            for low in range(first, last + 1, WINDOWS):
-                begins = np.arange(low, min(low + WINDOWS, last + 1))
-                shingles = shingle_hashes(words[low : int(begins[-1]) + length], n)
-                sums = np.zeros((len(shingles) + 1, 64), np.int32)
-                np.cumsum(_bits(shingles), axis=0, out=sums[1:])
-                at = begins - low
-                prints = _prints(sums[at + per] - sums[at], per)
-                for w in self.candidates(prints, k).tolist():
-                    sim = weighted_similarity(shingles[w : w + per], self.shingles[k])
-                    if sim >= SIMILARITY and (best is None or sim > best[0]):
-                        best = sim, low + w
-        return best
+        if len(text_of) >= length:
+            begins = np.flatnonzero(hits[per:] - hits[: len(hits) - per] >= needed)
+            begins = begins[begins + length <= starts[text_of[begins] + 1]]
+            yield begins, per
+        sizes = np.diff(starts)
+        short = np.flatnonzero((sizes < length) & (sizes - n + 1 >= needed))
+        for d in short.tolist():
+            own = int(sizes[d]) - n + 1
+            if hits[starts[d] + own] - hits[starts[d]] >= needed:
+                yield starts[d : d + 1], own
+
+    def _fingerprints(self, shingles: np.ndarray, begins: np.ndarray, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The windows' places and fingerprints, a run of neighbouring windows at a time."""
+        for run in np.split(begins, np.flatnonzero(np.diff(begins) > per) + 1) if len(begins) else ():
+            for part in np.split(run, np.flatnonzero(np.diff((run - run[0]) // WINDOWS)) + 1):
+                low = int(part[0])
+                sums = np.zeros((int(part[-1]) - low + per + 1, 64), np.int32)
+                np.cumsum(_bits(shingles[low : int(part[-1]) + per]), axis=0, out=sums[1:])
+                at = part - low
+                yield part, _prints(sums[at + per] - sums[at], per)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -194,20 +219,35 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str, *, text_col: st
 
     Words are runs of letters and digits with A-Z lower-cased. A text shorter than an item is compared whole. Null and
     empty texts, and items without words, match nothing; equal items of one id count once, a null item id is kept. Columns
-    of ``docs`` stay as they are, whatever their names. No shuffle: the benchmark, in blocks of a bounded number of words,
-    goes to every task; with more than one block, rows are written after each, so that a worker holds one block.
+    of ``docs`` stay as they are, whatever their names. The benchmark, in blocks of a bounded number of words, goes to every
+    task. One block needs no shuffle. With more, a worker holds one at a time: of each block only what was found is written, by
+    two hashes of the text, and joined to the rows at the end.
     """
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("binary")
-    out, index = None, None
-    for block in _blocks(benchmark, item_id_col, item_text_col):
-        if out is not None:
-            out = stage(out, "leaks")
-            index.destroy()
+    text = F.col(f"`{text_col}`")
+    blocks = _blocks(benchmark, item_id_col, item_text_col)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.withColumn(name, F.from_json(F.lit("[]"), FOUND))
+
+    def found(block: list[tuple[int, bytes]]) -> tuple[Broadcast, Column]:
         index = spark.sparkContext.broadcast(BenchmarkIndex(block))
-        found = F.arrow_udf(_scanner(index), FOUND).asNondeterministic()(text)
-        out = docs.withColumn(name, found) if out is None else out.withColumn(name, F.concat(F.col(f"`{name}`"), found))
-    return docs.withColumn(name, F.from_json(F.lit("[]"), FOUND)) if out is None else out
+        return index, F.arrow_udf(_scanner(index), FOUND).asNondeterministic()(text.cast("binary"))
+
+    if second is None:
+        return docs.withColumn(name, found(first)[1])
+    keys = [unused(docs, "text_hash"), unused(docs, "text_hash2")]
+    hashed = [F.xxhash64(text).alias(keys[0]), F.xxhash64(F.lit(1), text).alias(keys[1])]
+    parts = []
+    for block in chain([first, second], blocks):
+        index, leaks = found(block)
+        some = docs.select(*hashed, leaks.alias("leaks")).where(F.size("leaks") > 0)
+        parts.append(stage(some.groupBy(*keys).agg(F.first("leaks").alias("leaks")), "leaks"))
+        index.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    own = every.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("leaks").alias(name))
+    joined = docs.withColumns(dict(zip(keys, hashed))).join(own, [F.col(keys[0]) == F.col(f"{keys[0]}_"), F.col(keys[1]) == F.col(f"{keys[1]}_")], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(f"`{name}`"), F.from_json(F.lit("[]"), FOUND)).alias(name))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
