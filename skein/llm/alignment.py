@@ -27,6 +27,9 @@ from .units import BATCH_BYTES, CHUNK_BYTES, Units, runs
 
 #: Pairs whose counts are sent to all tasks, at most (about 20 MB).
 SENT_PAIRS = 500_000
+#: Units of which a worker remembers the alignment, and units that the libraries take at once.
+KNOWN = 80_000
+LEARNED = 4096
 #: A pair is a's id times this, plus b's.
 PAIR = 1 << 32
 
@@ -63,19 +66,21 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.space = pieces.index("▁")
-        self.units = Units(" ", self._learn)
+        self.units = Units(" ", self._learn, KNOWN)
         # B's tokens keep within units if no piece goes on over a space, and none has a line feed
         self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
 
     def _learn(self, units: list[str]) -> list[tuple]:
         """Units begin with a space, which B adds itself, or a line feed, before which B's added space is taken off."""
-        a_ids = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         out = []
-        for unit, x, y in zip(units, a_ids, b_ids):
-            if unit[0] != " ":
-                y = y[1:] if y and y[0] == self.space else []
-            out.append(self._aligned(unit.encode(), x, y))
+        for low in range(0, len(units), LEARNED):
+            part = units[low : low + LEARNED]
+            a_ids = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in part], num_threads=1)
+            for unit, x, y in zip(part, a_ids, b_ids):
+                if unit[0] != " ":
+                    y = y[1:] if y and y[0] == self.space else []
+                out.append(self._aligned(unit.encode(), x, y))
         return out
 
     def _aligned(self, data: bytes, x: list[int], y: list[int]) -> tuple:

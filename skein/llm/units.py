@@ -51,13 +51,14 @@ def _plain(part: str) -> bool:
 class Memory(dict):
     """A dict of bounded size: once it is full, what isn't met again until it is full once more is forgotten."""
 
-    def __init__(self):
+    def __init__(self, most: int | None = None):
         super().__init__()
+        self.most = KNOWN if most is None else most
         self.older: dict = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that aren't remembered; the others can be read until the next call."""
-        if len(self) > KNOWN:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         found = []
@@ -82,8 +83,8 @@ class Units(Memory):
     space, or with their line feed; the value of a part that isn't plain (white space beside white space) is None.
     """
 
-    def __init__(self, lead: str, learn: Callable[[list[str]], list]):
-        super().__init__()
+    def __init__(self, lead: str, learn: Callable[[list[str]], list], most: int | None = None):
+        super().__init__(most)
         self.lead, self.learn = lead, learn
 
     def of(self, texts: list[str]) -> Iterator[tuple[list, bool]]:
