@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, drop_checkpointed
+from .scan import CUT_ROWS, prefix_scan
+
 
 def token_estimate(text: Column) -> Column:
     """Tokens of a text, taken as a quarter of its characters, rounded up: an approximation."""
@@ -61,3 +64,40 @@ def is_new_reply(messages: DataFrame) -> DataFrame:
     """Messages at which the thread grew and the newest is from the model."""
     w = Window.partitionBy("thread_id").orderBy("seq")
     return messages.withColumn("is_new_reply", (F.col("role") == "ai") & F.coalesce(F.col("seq") > F.lag("seq").over(w), F.lit(True)))
+
+
+def summary_rounds(messages: DataFrame, most_tokens: int = 100, cut_rows: int = CUT_ROWS) -> DataFrame:
+    """thread_id, seq, tokens, round (from 1), round_tokens (so far in the round) and is_due of each message of a thread.
+
+    A summary is due at the message with which a round's tokens pass ``most_tokens``; the next round begins after it. ``seq`` is
+    unique in its thread. Rounds aren't found row by row: for each message as a beginning, a scan in order of running tokens
+    finds the place that passes the limit, and the beginnings that follow from the first are reached by pointer doubling, so
+    a thread of any length is spread over tasks. Rounds of doubling are written to the shared folder.
+    """
+    sized = messages.select("thread_id", "seq", token_estimate(F.col("content")).alias("tokens"))
+    running = checkpointed(prefix_scan(sized, ["thread_id"], ["seq"], sums={"place": F.lit(1).cast("long"), "so_far": F.col("tokens")}, cut_rows=cut_rows))
+    # the running tokens that a round which begins at a place may have are met by as many places as hold no more
+    marks = running.select("thread_id", F.col("so_far").alias("at"), F.lit(0).alias("asks"), "place", F.lit(1).cast("long").alias("one"))
+    limits = running.select("thread_id", (F.col("so_far") - F.col("tokens") + most_tokens).alias("at"), F.lit(1).alias("asks"), "place", F.lit(0).cast("long").alias("one"))
+    counted = prefix_scan(marks.unionByName(limits), ["thread_id"], ["at", "asks", "place"], sums={"held": F.col("one")}, cut_rows=cut_rows)
+    # the place after the one that passes the limit begins the next round; beyond the last place there is none
+    jumps = counted.where("asks = 1").select("thread_id", "place", (F.col("held") + 2).alias("to"))
+    jumps = checkpointed(jumps.join(running.select("thread_id", F.col("place").alias("to")), ["thread_id", "to"]))
+    begins = checkpointed(running.where("place = 1").select("thread_id", "place"))
+    while True:
+        onward = begins.join(jumps, ["thread_id", "place"]).select("thread_id", F.col("to").alias("place"))
+        more = checkpointed(onward.join(begins, ["thread_id", "place"], "left_anti"))
+        if more.isEmpty():
+            break
+        both = checkpointed(begins.unionByName(more))
+        drop_checkpointed(begins)
+        begins = both
+        further = jumps.join(jumps.select("thread_id", F.col("place").alias("to"), F.col("to").alias("to2")), ["thread_id", "to"])
+        twice = checkpointed(further.select("thread_id", "place", F.col("to2").alias("to")))
+        drop_checkpointed(jumps)
+        jumps = twice
+    marked = running.join(begins.withColumn("begins", F.lit(1).cast("long")), ["thread_id", "place"], "left")
+    started = F.when(F.col("begins") == 1, F.col("so_far") - F.col("tokens"))
+    found = prefix_scan(marked, ["thread_id"], ["seq"], sums={"round": F.coalesce("begins", F.lit(0))}, lasts={"before": started}, cut_rows=cut_rows)
+    size = F.col("so_far") - F.col("before")
+    return found.select("thread_id", "seq", "tokens", "round", size.alias("round_tokens"), (size > most_tokens).alias("is_due"))

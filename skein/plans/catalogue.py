@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.aggregates import ChunkText, geometric_mean
 from ..functions.audio import wav
+from ..operators import branches as B
 from ..operators import context_window as C
 from ..operators import hitl as H
 from ..operators import relational as R
@@ -17,6 +18,8 @@ from ..operators import retrieval as V
 from ..operators import routing as G
 from ..operators import state as ST
 from ..operators import trace as T
+from ..operators.scan import asof_scan, prefix_scan
+from ..operators.theta import theta_join
 from ..sources import calls, tables
 from ..sources.process import process_lines
 from ..sources.shared import new_table_path
@@ -974,6 +977,13 @@ _GUARD = [
     ("DROP TABLE nation", False),
     ("CREATE VIEW v AS SELECT 1", False),
     ("SELECT java_method('java.lang.Math', 'abs', 1)", False),
+    ("SELECT rank() OVER w AS r FROM nation WINDOW w AS (ORDER BY n_name)", True),
+    ("SELECT first(n_nationkey) OVER w FROM nation WINDOW w AS (ORDER BY n_nationkey * CASE WHEN (SELECT max(s_suppkey) FROM supplier) = 9 THEN -1 ELSE 1 END)", False),
+    ("SELECT count(*) OVER w FROM nation WINDOW w AS (PARTITION BY exists(SELECT 1 FROM supplier WHERE s_suppkey = 9))", False),
+    ("SELECT count(*) OVER w FROM nation WINDOW w AS (ORDER BY reflect('java.lang.Math', 'abs', -1))", False),
+    ("SELECT count(*) OVER w FROM nation WINDOW w AS (PARTITION BY java_method('java.lang.System', 'getProperty', 'user.home'))", False),
+    ("SELECT n_name FROM nation SORT BY input_file_name()", False),
+    ("SELECT upper(n_name), n_nationkey % 3 FROM nation WHERE n_name LIKE 'A%' OR n_nationkey BETWEEN 1 AND 2", True),
 ]
 
 
@@ -985,13 +995,13 @@ def q_sql_guard(spark, d):
 
 
 @query(
-    """SELECT z // 200 AS thread_id, c_custkey AS checkpoint_id, z % 200 AS depth, array_to_string(range(z - z % 200 + 1, c_custkey + 1), '/') AS path
-FROM (SELECT c_custkey, c_custkey - 1 AS z FROM customer)"""
+    """SELECT c_custkey // 200 AS thread_id, c_custkey AS checkpoint_id, c_custkey % 200 AS depth,
+array_to_string(range(c_custkey - c_custkey % 200, c_custkey + 1), '/') AS path FROM customer"""
 )
 def q_branch_chain(spark, d):
-    z = F.col("c_custkey") - 1
+    k = F.col("c_custkey")
     chain = _t(spark, d, "customer").select(
-        F.floor(z / 200).cast("long").alias("thread_id"), F.col("c_custkey").alias("checkpoint_id"), F.when(z % 200 != 0, z).alias("parent_id")
+        F.floor(k / 200).cast("long").alias("thread_id"), k.alias("checkpoint_id"), F.when(k % 200 != 0, k - 1).alias("parent_id")
     )
     return ST.branch_paths(chain)
 
@@ -1174,6 +1184,73 @@ def q_wav(spark, d):
     return _t(spark, d, "part").select("p_partkey", S.base64_text(wav(F.array(size, -size, F.lit(70_000)))).alias("wav"))
 
 
+# Keys of any size -----------------------------------------------------------------------------------------------------
+# The parameters that cut keys and regions are small here, so that the tables of any scale factor are cut.
+
+
+@query(
+    """SELECT event_id, event_type, cast(sum(length(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS bigint) AS running_chars,
+last_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_large
+FROM events"""
+)
+def q_scan_chars(spark, d):
+    large = F.when(F.col("value") > 50, F.col("event_id"))
+    found = prefix_scan(_t(spark, d, "events"), ["event_type"], ["ts", "event_id"], {"running_chars": F.length("props")}, {"last_large": large}, cut_rows=100)
+    return found.select("event_id", "event_type", "running_chars", "last_large")
+
+
+@query(
+    """WITH e AS (SELECT *, CASE WHEN user_id % 10 < 9 THEN -1 ELSE user_id END AS k FROM events WHERE event_type IN ('view', 'purchase'))
+SELECT event_id, k, last_view, last_view_value FROM (SELECT event_id, k, event_type,
+last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS last_view,
+last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS last_view_value FROM e
+WINDOW w AS (PARTITION BY k ORDER BY ts, event_type = 'purchase', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'purchase'"""
+)
+def q_scan_asof(spark, d):
+    e = _t(spark, d, "events").withColumn("k", F.when(F.col("user_id") % 10 < 9, F.lit(-1).cast("long")).otherwise(F.col("user_id")))
+    buys = e.where("event_type = 'purchase'").select("event_id", "k", "ts")
+    views = e.where("event_type = 'view'").select("k", F.col("ts").alias("vts"), F.col("event_id").alias("last_view"), F.col("value").alias("last_view_value"))
+    found = asof_scan(buys, views, "k", ["ts", "event_id"], ["vts", "last_view"], ["last_view", "last_view_value"], cut_rows=100)
+    return found.select("event_id", "k", "last_view", "last_view_value")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal < s_acctbal AND c_acctbal + 50 >= s_acctbal AND c_nationkey > s_nationkey")
+def q_theta_join(spark, d):
+    c = _t(spark, d, "customer").withColumn("most", F.col("c_acctbal") + 50)
+    found = theta_join(c, _t(spark, d, "supplier"), [("c_acctbal", "<", "s_acctbal"), ("most", ">=", "s_acctbal"), ("c_nationkey", ">", "s_nationkey")], 10_000)
+    return found.select("c_custkey", "s_suppkey")
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey // 300 AS thread_id, c_custkey AS id, CASE WHEN c_custkey % 300 = 0 THEN NULL
+WHEN c_custkey % 300 % 7 = 0 THEN c_custkey - c_custkey % 300 + c_custkey % 300 // 2 ELSE c_custkey - 1 END AS parent,
+CASE WHEN c_nationkey % 5 < 4 THEN 'field_' || (c_nationkey % 5) END AS key, c_mktsegment AS value FROM customer),
+up AS (SELECT thread_id, id, id AS above, 0 AS depth FROM c
+UNION ALL SELECT up.thread_id, up.id, c.parent, up.depth + 1 FROM up JOIN c ON c.id = up.above WHERE c.parent IS NOT NULL)
+SELECT up.thread_id, up.id AS checkpoint_id, c.key, arg_min(c.value, up.depth) AS value FROM up JOIN c ON c.id = up.above WHERE c.key IS NOT NULL GROUP BY ALL"""
+)
+def q_state_at_checkpoint(spark, d):
+    k, z = F.col("c_custkey"), F.col("c_custkey") % 300
+    parent = F.when(z == 0, None).when(z % 7 == 0, k - z + F.floor(z / 2)).otherwise(k - 1).cast("long")
+    c = _t(spark, d, "customer").select(F.floor(k / 300).cast("long").alias("thread_id"), k.alias("checkpoint_id"), parent.alias("parent_id"), k.alias("seq"), "c_nationkey", "c_mktsegment")
+    key = F.concat(F.lit("field_"), (F.col("c_nationkey") % 5).cast("string"))
+    updates = c.where("c_nationkey % 5 < 4").select("thread_id", "checkpoint_id", key.alias("key"), F.col("c_mktsegment").alias("value"), "seq")
+    return B.state_at(c, updates, cut_rows=100)
+
+
+@query(
+    M.replace("WITH b AS", "WITH RECURSIVE b AS").replace("user_id", "(user_id % 20)")
+    + """, t AS (SELECT thread_id, seq, cast(ceil(length(content) / 4) AS bigint) AS tokens FROM m),
+r AS (SELECT thread_id, seq, tokens, 1::BIGINT AS round, tokens AS round_tokens FROM t WHERE seq = 1
+UNION ALL SELECT t.thread_id, t.seq, t.tokens, r.round + (r.round_tokens > 40)::BIGINT, CASE WHEN r.round_tokens > 40 THEN t.tokens ELSE r.round_tokens + t.tokens END
+FROM r JOIN t ON t.thread_id = r.thread_id AND t.seq = r.seq + 1)
+SELECT *, round_tokens > 40 AS is_due FROM r"""
+)
+def q_summary_rounds(spark, d):
+    few = _t(spark, d, "events").withColumn("user_id", F.col("user_id") % 20)
+    return C.summary_rounds(T.messages_of_events(few), 40, cut_rows=100)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,8 +1,9 @@
 """SQL text in, rows or an error out.
 
 A query is parsed first and refused unless its plan is made of reading nodes that are known by name, reads allowed tables as a
-whole, and calls no function that reaches outside SQL. Names follow Spark's rules: case is ignored, and a name that the query
-itself defines hides a table only where Spark would see it so. It then runs with a row cap and, if asked, a time limit.
+whole, and calls only built-in functions of allowed groups. Names follow Spark's rules: case is ignored, and a name that the query
+itself defines hides a table only where Spark would see it so. The analysed plan is checked once more: it reads views of allowed
+tables and holds no code of users. It then runs with a row cap and, if asked, a time limit.
 Errors of planning and of running come back as values.
 """
 
@@ -18,8 +19,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Functions that run code or read files from plain SELECT.
-DENIED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files"}
+#: Groups of built-in functions that compute from their arguments alone.
+FUNCTION_GROUPS = {
+    f"{g}_funcs"
+    for g in "agg array bitwise collection conditional conversion csv datetime generator hash json lambda map math predicate string struct url window xml".split()
+}
+#: Further built-in functions that are allowed.
+FUNCTIONS = {"assert_true", "equal_null", "raise_error", "typeof", "uuid"}
 #: Plan nodes that a reading query is made of; any other is refused.
 READING = set(
     "UnresolvedWith UnresolvedRelation Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias "
@@ -64,56 +70,96 @@ class Names:
 
 
 class _Walk:
-    """A walk through a parsed plan that knows which names are defined where."""
+    """A walk through everything that plan nodes hold, expressions, maps, tuples, options and sequences included."""
 
-    _kinds: dict[str, tuple[bool, set[str]]] = {}
+    _kinds: dict[str, tuple[str, frozenset[str]]] = {}
 
     def __init__(self, spark: SparkSession):
-        self.plan_class = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+        load = spark._jvm.java.lang.Class.forName
+        self.types = {
+            "plan": load("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"),
+            "tree": load("org.apache.spark.sql.catalyst.trees.TreeNode"),
+            "items": load("scala.collection.IterableOnce"),
+            "product": load("scala.Product"),
+            "type": load("org.apache.spark.sql.types.DataType"),
+        }
         self.names = Names()
 
-    def kind(self, node) -> tuple[str, bool, set[str]]:
-        """A node's class, whether it is a plan and not an expression, and which inner parts it has; asked of the JVM once a class."""
-        cls = node.getClass()
+    def kind(self, x) -> tuple[str, frozenset[str]]:
+        """A JVM object's class and which of ``types`` it is; asked of the JVM once a class."""
+        cls = x.getClass()
         name = cls.getName()
         if name not in self._kinds:
-            methods = {m for m in ("expressions", "plan") if any(x.getName() == m and x.getParameterCount() == 0 for x in cls.getMethods())}
-            self._kinds[name] = self.plan_class.isInstance(node), methods
-        return cls.getSimpleName().rstrip("$"), *self._kinds[name]
+            self._kinds[name] = cls.getSimpleName().rstrip("$"), frozenset(k for k, c in self.types.items() if c.isInstance(x))
+        return self._kinds[name]
+
+    def held(self, x, of: frozenset[str]) -> list:
+        """What an object holds that may be or hold a node."""
+        if "type" in of:
+            return []
+        if "tree" in of or "items" not in of and "product" in of:
+            return [y for y in _items(x.productIterator()) if hasattr(y, "getClass")]
+        return [y for y in _items(x) if hasattr(y, "getClass")] if "items" in of else []
 
     def visit(self, root, scope: frozenset[str]) -> None:
         stack = [(root, scope)]
         while stack:
-            node, scope = stack.pop()
-            kind, is_plan, methods = self.kind(node)
-            if is_plan:
-                self.names.kinds.add(kind)
-            elif "UnresolvedIdentifier" in kind:  # a name that is computed
+            x, scope = stack.pop()
+            kind, of = self.kind(x)
+            if "plan" in of or "UnresolvedIdentifier" in kind:  # the latter is a name that is computed
                 self.names.kinds.add(kind)
             if kind == "UnresolvedRelation":
-                parts = tuple(str(x) for x in _items(node.multipartIdentifier()))
+                parts = tuple(str(p) for p in _items(x.multipartIdentifier()))
                 if len(parts) > 1 or parts[0].lower() not in scope:
                     self.names.relations.add(parts)
             elif kind == "UnresolvedFunction":
-                self.names.functions.add(node.nameParts().mkString(".").lower())
+                self.names.functions.add(x.nameParts().mkString(".").lower())
             elif kind == "UnresolvedGenerator":
-                self.names.functions.add(node.name().unquotedString().lower())
+                self.names.functions.add(x.name().unquotedString().lower())
             elif kind == "UnresolvedTableValuedFunction":
-                self.names.functions.add("table function " + node.name().mkString(".").lower())
+                self.names.functions.add("table function " + x.name().mkString(".").lower())
             elif kind == "UnresolvedWith":
-                recursive = bool(node.allowRecursion())
-                for pair in _items(node.cteRelations()):
+                recursive = bool(x.allowRecursion())
+                for pair in _items(x.cteRelations()):
                     name = pair._1().lower()
                     self.visit(pair._2(), scope | {name} if recursive else scope)
                     scope = scope | {name}
-                stack.append((node.child(), scope))
+                stack.append((x.child(), scope))
+                continue
+            stack += [(y, scope) for y in self.held(x, of)]
+
+    def read(self, root) -> None:
+        """Of an analysed plan: the views that it reads, whose own plans aren't entered, other leaves, and code of users."""
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            kind, of = self.kind(x)
+            if "plan" in of and kind == "View":
+                self.names.relations.add((x.desc().identifier().table(),))
                 continue
-            inner = _items(node.children()) + _items(node.innerChildren())
-            if "expressions" in methods:
-                inner += _items(node.expressions())
-            if not is_plan and "plan" in methods:
-                inner.append(node.plan())
-            stack += [(x, scope) for x in inner]
+            if "plan" in of and x.children().isEmpty():
+                self.names.kinds.add(kind)
+            if "tree" in of and re.search("UDF|UDAF|UDTF|UserDefined|Reflection|InputFile|ScalaAggregator", kind):
+                self.names.functions.add(kind)
+            stack += self.held(x, of)
+
+
+def _allowed_function(spark: SparkSession, name: str) -> bool:
+    """Whether a name is a built-in function of an allowed group, and no function of the session hides it."""
+    jvm = spark._jvm.org.apache.spark.sql.catalyst
+    bare = re.sub(r"^(system\.)?builtin\.", "", name)
+    if name.startswith("table function") or "." in bare:
+        return False
+    identifier = jvm.FunctionIdentifier(bare)
+    info = jvm.analysis.FunctionRegistry.builtin().lookupFunction(identifier)
+    if info.isEmpty() or not (info.get().getGroup() in FUNCTION_GROUPS or bare in FUNCTIONS):
+        return False
+    own = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(identifier)
+    return not own.isEmpty() and own.get().getClassName() == info.get().getClassName()
+
+
+#: Leaves of an analysed plan that read nothing stored.
+_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef"}
 
 
 def parsed_names(spark: SparkSession, query: str) -> Names:
@@ -122,17 +168,32 @@ def parsed_names(spark: SparkSession, query: str) -> Names:
     return walk.names
 
 
+def _check_names(spark: SparkSession, names: Names, allowed: set[str] | None) -> None:
+    known = {t.name for t in spark.catalog.listTables()} if allowed is None else allowed
+    known = {name.lower() for name in known}
+    if unknown := sorted(".".join(r) for r in names.relations if ".".join(r).lower() not in known):
+        raise Refused(f"table {unknown[0]} is not allowed")
+
+
 def check_query(spark: SparkSession, query: str, allowed: set[str] | None) -> None:
     """Raise Refused if the query does more than read allowed tables (None: all views of the session)."""
     names = parsed_names(spark, query)
     if others := sorted(k for k in names.kinds if k not in READING):
         raise Refused(f"only reading is allowed, not {others[0]}")
-    if denied := sorted(f for f in names.functions if f.rpartition(".")[2] in DENIED_FUNCTIONS or f.startswith("table function")):
+    if denied := sorted(f for f in names.functions if not _allowed_function(spark, f)):
         raise Refused(f"{denied[0]} is not allowed")
-    known = {t.name for t in spark.catalog.listTables()} if allowed is None else allowed
-    known = {name.lower() for name in known}
-    if unknown := sorted(".".join(r) for r in names.relations if ".".join(r).lower() not in known):
-        raise Refused(f"table {unknown[0]} is not allowed")
+    _check_names(spark, names, allowed)
+
+
+def check_analysed(df: DataFrame, allowed: set[str] | None) -> None:
+    """Raise Refused if what the names of a checked query turned out to be reads anything but views of allowed tables."""
+    walk = _Walk(df.sparkSession)
+    walk.read(df._jdf.queryExecution().analyzed())
+    if walk.names.functions:
+        raise Refused(f"{min(walk.names.functions)} is not allowed")
+    if others := sorted(walk.names.kinds - _OWN_LEAVES):
+        raise Refused(f"{others[0]} is not allowed")
+    _check_names(df.sparkSession, walk.names, allowed)
 
 
 def sqlite_compat(query: str) -> str:
@@ -153,7 +214,9 @@ class SqlTool:
     def _checked(self, query: str, args: dict | list | None) -> DataFrame:
         query = sqlite_compat(query) if self.compat else query
         check_query(self.spark, query, self.allowed)
-        return self.spark.sql(query, args=args) if args else self.spark.sql(query)
+        df = self.spark.sql(query, args=args) if args else self.spark.sql(query)
+        check_analysed(df, self.allowed)
+        return df
 
     def plan(self, query: str, args: dict | list | None = None) -> DataFrame:
         """The checked query as a capped DataFrame; raises what check or analysis raise."""

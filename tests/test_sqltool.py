@@ -7,6 +7,8 @@ from skein.sources.tables import open_database, register_master, table_info
 @pytest.fixture(scope="module")
 def tool(spark, small):
     open_database(spark, f"parquet:{small}", ["nation", "region", "customer"])
+    spark.udf.register("own_code", lambda x: x)
+    spark.table("customer").createOrReplaceTempView("hidden_customer")
     return SqlTool(spark, {"nation", "region"}, cap=3)
 
 
@@ -48,6 +50,16 @@ def test_rows_are_capped_and_shown_as_text(tool):
         "SELECT TRANSFORM (n_name) USING 'cat' FROM nation",
         "BEGIN SELECT 1; END",
         "SELECT * FROM default.customer",
+        "SELECT first(n_nationkey) OVER w FROM nation WINDOW w AS (ORDER BY n_nationkey * CASE WHEN (SELECT max(c_custkey) FROM customer) = 42 THEN -1 ELSE 1 END)",
+        "SELECT count(*) OVER w FROM nation WINDOW w AS (PARTITION BY exists(SELECT 1 FROM customer WHERE c_custkey = 42))",
+        "SELECT first(n_name) OVER w FROM nation WINDOW w AS (ORDER BY reflect('java.lang.Math', 'abs', -1))",
+        "SELECT count(*) OVER w FROM nation WINDOW w AS (PARTITION BY java_method('java.lang.System', 'getProperty', 'user.home'))",
+        "SELECT n_name FROM nation SORT BY try_reflect('java.lang.Math', 'abs', -1)",
+        "SELECT transform(array(1), x -> reflect('java.lang.Math', 'abs', x)) FROM nation",
+        "SELECT current_user() FROM nation",
+        "SELECT own_code(n_name) FROM nation",
+        "SELECT own_code(n_name) OVER () FROM nation",
+        "SELECT upper(n_name) FROM hidden_customer",
         "SELECT nothing FROM nation",
         "SELEKT 1",
     ],
@@ -85,6 +97,14 @@ def test_reading_passes(tool, text):
     assert result.ok, result.error
 
 
+def test_a_function_of_the_session_that_hides_a_built_in_one_is_refused(spark, small):
+    session = spark.newSession()
+    open_database(session, f"parquet:{small}", ["nation"])
+    assert SqlTool(session, {"nation"}).run("SELECT soundex(n_name) FROM nation").ok
+    session.udf.register("soundex", lambda x: x)
+    assert not SqlTool(session, {"nation"}).run("SELECT soundex(n_name) FROM nation").ok
+
+
 def test_without_an_allowlist_only_views_are_read(spark, small):
     open_database(spark, f"parquet:{small}", ["nation", "customer"])
     assert SqlTool(spark).run("SELECT * FROM customer LIMIT 1").ok
