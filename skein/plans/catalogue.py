@@ -16,14 +16,18 @@ from ..operators import hitl as H
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import routing as G
+from ..operators import sketches as KS
 from ..operators import state as ST
 from ..operators import trace as T
 from ..operators.scan import asof_scan, prefix_scan
+from ..operators.text_search import build_text_index, search_text
 from ..operators.theta import theta_join
+from ..operators.vector_index import MOST_LISTS, build_index, search_index
 from ..sources import calls, tables
 from ..sources.process import process_lines
 from ..sources.shared import new_table_path
 from ..sources.sinks import write_table
+from ..sources.upsert import KeyedTable, merge_all
 from ..streaming import streams
 from .sqltool import SqlTool
 
@@ -1251,6 +1255,62 @@ def q_summary_rounds(spark, d):
     return C.summary_rounds(T.messages_of_events(few), 40, cut_rows=100)
 
 
+# Indexes --------------------------------------------------------------------------------------------------------------
+
+
+@query(SQL["q_similarity_topk_batch"])
+def q_ivf_topk(spark, d):
+    e, path = _t(spark, d, "embeddings"), new_table_path(spark, "ivf")
+    build_index(e, path)
+    return search_index(spark, path, e.where("vec_id % 20 = 0"), probes=MOST_LISTS)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL), s AS (SELECT doc_id, sum(tf) AS size FROM c GROUP BY doc_id),
+n AS (SELECT count(*) AS n_docs, avg(size) AS mean_size FROM s), f AS (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, n GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark WHERE item_id % 20 = 0)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean_size))), 6) AS score
+FROM q JOIN f USING (term) JOIN c USING (term) JOIN s USING (doc_id), n GROUP BY query_id, doc_id) QUALIFY rank <= 5"""
+)
+def q_bm25(spark, d):
+    path = new_table_path(spark, "text")
+    build_text_index(_t(spark, d, "documents"), path)
+    return search_text(spark, path, _t(spark, d, "benchmark").where("item_id % 20 = 0"), 5, "item_id")
+
+
+@query(
+    """SELECT event_type, date_trunc('week', ts) AS week, count(*) AS n, count(DISTINCT user_id) AS n_distinct, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS high
+FROM events GROUP BY ALL"""
+)
+def q_sketch_rollup(spark, d):
+    path = new_table_path(spark, "sketches")
+    KS.sketches(_t(spark, d, "events"), ["event_type", F.to_date("ts").alias("day")], "user_id", "value").write.parquet(path)
+    weekly = KS.merged(spark.read.parquet(path), ["event_type", F.date_trunc("week", "day").alias("week")], {"median": 0.5, "high": 0.9})
+    return weekly.withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, max((ts, event_id))[1] AS ts FROM events GROUP BY user_id")
+def q_upsert(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    table = KeyedTable(spark, new_table_path(spark, "upsert"), ["user_id"], ["ts", "event_id"], 8)
+    batches = [(k, e.where(F.col("event_id") % 4 == r)) for k, r in enumerate((2, 0, 3, 1))]
+    return merge_all(table, [*batches, batches[1]])
+
+
+@query(
+    M
+    + """SELECT c.thread_id, c.id AS call_id, c.ts FROM m c WHERE c.role = 'ai' AND NOT EXISTS
+(SELECT 1 FROM m a WHERE a.role = 'tool' AND a.tool_call_id = c.id AND a.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR)"""
+)
+def q_stream_orphans(spark, d):
+    m = _messages(spark, d)
+    calls = m.where("role = 'ai'").select("thread_id", F.col("id").alias("call_id"), "ts")
+    answers = m.where("role = 'tool' and tool_call_id is not null").select(F.col("tool_call_id").alias("call_id"), "ts")
+    return streams.unanswered_calls(calls, answers, 6 * 3600)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

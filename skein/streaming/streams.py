@@ -110,3 +110,15 @@ def fold_events_stream(events: DataFrame, idle_ms: int | None = IDLE_MS) -> Data
     return events.groupBy("thread_id", "item_id").applyInPandasWithState(
         fold, "thread_id long, item_id long, value string", "seq long, value string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     )
+
+
+def unanswered_calls(calls: DataFrame, answers: DataFrame, seconds: int, late: str | None = None) -> DataFrame:
+    """thread_id, call_id and ts of calls (thread_id, call_id, ts) that no answer (call_id, ts) follows within so many seconds.
+
+    With ``late``, as a stream: an outer join that gives a call once, as soon as no answer can come in time any more.
+    """
+    if late:
+        calls, answers = calls.withWatermark("ts", late), answers.withWatermark("ts", late)
+    a, b = calls.alias("a"), answers.select(F.col("call_id").alias("answered_id"), F.col("ts").alias("answered")).alias("b")
+    near = F.expr(f"call_id = answered_id and answered >= ts and answered <= ts + interval {int(seconds)} seconds")
+    return a.join(b, near, "left_outer").where("answered_id is null").select("thread_id", "call_id", "ts")
