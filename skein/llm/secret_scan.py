@@ -59,6 +59,8 @@ PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|change_me|your|xxx
 #: Where secrets are made up, and where they are set.
 TEST_PATH = "(?i)(test|spec|example|sample|fixture|mock|demo|readme|docs?/)"
 CONFIG_PATH = "(?i)([.]env|[.]ini|[.]cfg|[.]conf|[.]ya?ml|[.]toml|[.]properties|config|settings|deploy|prod)"
+#: Letter pairs of the dictionary; a made-up key has many that no word has.
+PAIRS = {a: "".join(sorted({w[k + 1] for w in DICTIONARY for k in range(len(w) - 1) if w[k] == a})) for a in "abcdefghijklmnopqrstuvwxyz"}
 TREES, DEPTH, SEED = 32, 10, 7
 THRESHOLD = 0.5
 #: Kinds of neighbouring characters: a and A for letters, 0 for digits, - for other signs; either order unless it says otherwise.
@@ -66,7 +68,7 @@ TRANSITIONS = {"lower_digit": "a0|0a", "upper_digit": "A0|0A", "lower_upper": "a
 FEATURES = [
     *"length digit_ratio upper_ratio hex_only distinct_ratio".split(),
     *TRANSITIONS,
-    *"consonant_pairs dictionary_ratio placeholder path_parts url_like at_sign test_path config_path".split(),
+    *"consonant_pairs usual_pairs dictionary_ratio placeholder path_parts url_like at_sign test_path config_path".split(),
     *"secret_before other_before secret_after other_after assigned quoted known_prefix key_block".split(),
 ]
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -122,6 +124,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "distinct_ratio": F.size(F.array_distinct(F.split(v, ""))) / n,
         **{k: F.regexp_count(kinds, F.lit(f"(?={p}).")) / pairs for k, p in TRANSITIONS.items()},
         "consonant_pairs": F.regexp_count(sounds, F.lit("(?=cc).")) / pairs,
+        "usual_pairs": F.regexp_count(F.lower(v), F.lit("(?=" + "|".join(f"{a}[{b}]" for a, b in PAIRS.items() if b) + ").")) / pairs,
         "dictionary_ratio": 1 - F.length(F.regexp_replace(F.lower(v), words, "")) / n,
         "placeholder": v.rlike(PLACEHOLDER).cast("int"),
         "path_parts": F.regexp_count(v, F.lit("[/.]")),
@@ -151,6 +154,7 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
     upper = F.substring(F.translate(F.upper(mixed), "0189", "2345"), 1, 16)
     letters = F.translate(mixed, _DIGITS, "kqzvjxwbgf")
     word = lambda k: pick(k, DICTIONARY[::3])
+    places = ["", "src1/main.py", "app/config/prod.yaml", "deploy/.env", "docs/readme.md", "tests/test_login.py", "web", "forum", "mail/2020"]
     sounds = lambda k: F.concat(*[x for j in range(3) for x in (F.element_at(F.split(F.lit("b d f g l m n p r s t v"), " "), (drawn(f"{k}c{j}") % 12 + 1).cast("int")), F.element_at(F.split(F.lit("a e i o u ea ou ie"), " "), (drawn(f"{k}v{j}") % 8 + 1).cast("int")))])  # noqa: E731, E501
     filler = lambda k: pick(k, "the in of with see and for at our from was then so to by it when you we they".split())
     own = pick("own", "password passwd pwd secret token api_key apikey access_key auth_token client_secret private_key credential db_password AUTH_TOKEN".split())
@@ -161,7 +165,7 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
         [F.substring(hexa(3), 1, 16), F.substring(hexa(3), 1, 32), F.substring(hexa(3), 1, 40), hexa(3), F.substring(mixed, 1, 20), F.substring(mixed, 1, 32),
          F.base64(F.unhex(F.substring(hexa(4), 1, 48))), F.substring(letters, 1, 12), F.concat(F.substring(mixed, 1, 6), F.lit("-"), F.substring(mixed, 7, 6))],
     )
-    chosen = pick("chosen", [F.concat(word("w1"), (drawn("d1") % 1000).cast("string")), F.concat(F.initcap(word("w2")), word("w3"), F.lit("!")), F.concat(sounds("s1"), (drawn("d2") % 100).cast("string")), F.substring(letters, 1, 8), sounds("s4")])
+    chosen = pick("chosen", [F.concat(word("w1"), (drawn("d1") % 1000).cast("string")), F.concat(F.initcap(word("w2")), word("w3"), F.lit("!")), F.concat(sounds("s1"), (drawn("d2") % 100).cast("string")), F.substring(letters, 1, 8), sounds("s4"), F.concat(sounds("s5"), word("w4")), F.concat(word("w5"), word("w6"))])
     hidden = pick("hidden", ["changeme", "your-token-here", "<password>", "${SECRET}", "xxxxxxxxxxxx", "********", "example-secret-1", "null", "None", "dummy_value_2", "REDACTED"])
     uuid = F.concat_ws("-", *[F.substring(hexa(5), a, m) for a, m in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     named = pick("named", [F.substring(hexa(6), 1, 40), F.substring(hexa(6), 1, 32), hexa(6), uuid, F.substring(digits, 1, 13), F.concat_ws(".", (drawn("v1") % 20).cast("string"), (drawn("v2") % 20).cast("string"), (drawn("v3") % 20).cast("string"))])
@@ -173,16 +177,18 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
     )
     key = F.concat(pick("prefix", ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "sk-", "AIza", "glpat-"]), F.when(drawn("up") % 2 == 0, upper).otherwise(F.substring(F.concat(mixed, mixed), 1, 30)))
     # parts are columns before they are combined, else each is repeated in the plan wherever it is used
-    parts = {"own": own, "other": other, "some": some, "random": random, "chosen": chosen, "hidden": hidden, "named": named, "plain": plain, "key": key}
+    told = F.concat_ws(" ", filler("a3"), F.when(drawn("told") % 2 == 0, own).otherwise(other))  # a name that follows its value
+    said = pick("said", [word("t1"), F.concat(word("t2"), F.lit("s")), sounds("t3"), F.concat(sounds("t4"), F.lit("ing")), F.initcap(sounds("t5")), F.concat(word("t6"), F.lit(",")), F.concat(sounds("t7"), F.lit("."))])
+    parts = {"path": pick("path", places), "told": told, "said": said, "own": own, "other": other, "some": some, "random": random, "chosen": chosen, "hidden": hidden, "named": named, "plain": plain, "key": key}
     rows = spark.range(0, n, 1, 4).select("id", *[c.alias(k) for k, c in parts.items()])
-    own, other, some, random, chosen, hidden, named, plain, key = map(F.col, parts)
-    kinds = [(own, random, 1.0), (own, random, 1.0), (own, chosen, 1.0), (own, hidden, 0.0), (other, named, 0.0), (other, named, 0.0), (some, named, 0.0), (some, word("kind"), 0.0)]
+    told, said, own, other, some, random, chosen, hidden, named, plain, key = map(F.col, list(parts)[1:])
+    kinds = [(own, random, 1.0), (own, random, 1.0), (own, chosen, 1.0), (own, chosen, 1.0), (own, hidden, 0.0), (other, named, 0.0), (other, named, 0.0), (some, named, 0.0), (some, word("kind"), 0.0), (some, random, -1.0)]
     loose = [(key, 1.0), (key, 1.0), (F.concat(F.left(key, F.lit(4)), F.lit("EXAMPLEEXAMPLE1")), 0.0), (plain, 0.0), (plain, 0.0), (plain, 0.0)]
     at = drawn("kind")
     case = lambda rows, k, f: F.element_at(F.array(*[f(r) for r in rows]), (k % len(rows) + 1).cast("int"))
     name, value, label = (case(kinds, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(3))
     free_word, free_label = (case(loose, at, lambda r, j=j: F.lit(r[j]) if isinstance(r[j], float) else r[j]) for j in range(2))
-    rows = rows.select("id", "own", name.alias("name"), value.alias("value"), label.alias("label"), free_word.alias("free_word"), free_label.alias("free_label"))
+    rows = rows.select("id", "path", "told", "said", "random", "own", name.alias("name"), value.alias("value"), label.alias("label"), free_word.alias("free_word"), free_label.alias("free_label"))
     name, value, label, free_word, free_label = map(F.col, "name value label free_word free_label".split())
     quote = pick("quote", ['"', "'"])
     bind = pick("bind", ["=", ":"])
@@ -198,18 +204,38 @@ def labelled_findings(spark: SparkSession, n: int = 8_000, seed: int = 1) -> Dat
     style = lambda j: case(styles, drawn("style"), lambda r: r[j])
     part = drawn("part") % 20
     block = part == 19
-    free = part >= 13
+    named_after = part == 18
+    free = (part >= 13) & ~block & ~named_after
     private = drawn("private") % 2 == 0
-    prose = (part >= 10) & ~free  # a dictionary word after a name is no secret
+    prose = (part >= 8) & (part < 13)  # a word of prose after a name is no secret
+    # what else decides: a password in letters needs a sign of assignment and no test; a bare random value is one where settings are
+    spoken = (drawn("style") % len(styles) >= len(styles) - 2) & value.rlike("^[A-Za-z]+$")
+    made_up = F.col("path").rlike(TEST_PATH) & ~value.rlike("[A-Za-z0-9+/]{16}")
+    assigned = F.when(label < 0, F.col("path").rlike(CONFIG_PATH).cast("double")).when(spoken | made_up, 0.0).otherwise(label)
     return rows.select(
-        pick("path", ["", "src1/main.py", "app/config/prod.yaml", "deploy/.env", "docs/readme.md", "tests/test_login.py", "web", "forum", "mail/2020"]).alias("path"),
-        F.when(block, "-----BEGIN").when(free, free_word).when(prose, word("prose")).otherwise(style(0)).alias("word"),
-        F.when(block | free, F.concat_ws(" ", filler("b3"), filler("b4"))).when(prose, F.concat_ws(" ", filler("b3"), own)).otherwise(F.concat_ws(" ", style(1), style(2))).alias("before"),
-        F.when(block & private, "RSA PRIVATE").when(block, "CERTIFICATE----- MIIB").otherwise(F.concat_ws(" ", filler("a1"), filler("a2"))).alias("after"),
-        F.when(block, private.cast("double")).when(free, free_label).when(prose, F.lit(0.0)).otherwise(label).alias("label"),
+        "path",
+        F.when(block, "-----BEGIN").when(named_after, F.col("random")).when(free, free_word).when(prose, F.col("said")).otherwise(style(0)).alias("word"),
+        F.when(block | free | named_after, F.concat_ws(" ", filler("b3"), filler("b4")))
+        .when(prose & (drawn("near") % 2 == 0), F.concat_ws(" ", own, filler("b3")))
+        .when(prose, F.concat_ws(" ", filler("b3"), own))
+        .otherwise(F.concat_ws(" ", style(1), style(2)))
+        .alias("before"),
+        F.when(block & private, "RSA PRIVATE").when(block, "CERTIFICATE----- MIIB").when(named_after, F.col("told")).otherwise(F.concat_ws(" ", filler("a1"), filler("a2"))).alias("after"),
+        F.when(block, private.cast("double")).when(named_after, (drawn("told") % 2 == 0).cast("double")).when(free, free_label).when(prose, F.lit(0.0)).otherwise(assigned).alias("label"),
     )
 
 
+_fitted: dict[str, PipelineModel] = {}
+
+
+def fitted(spark: SparkSession) -> PipelineModel:
+    """The forest of the stated findings, trained once for an application."""
+    key = spark.sparkContext.applicationId
+    if key not in _fitted:
+        _fitted[key] = train(labelled_findings(spark))
+    return _fitted[key]
+
+
 def train(findings: DataFrame) -> PipelineModel:
     """The forest, from labelled findings: columns path, word, before, after and label (1: a secret); rows without a label are left out."""
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", featureSubsetStrategy="sqrt")
