@@ -1,12 +1,15 @@
 """Line dedup by a tree of line templates.
 
 As in log parsing, a line falls to a leaf by its number of tokens and its ``DEPTH`` leading tokens, after tokens with a
-digit have become ``<*>``. Within a leaf, variable fields are generalised: of a line's tokens those stay that most different
-lines of the leaf have at the same place, until ``PERCENT`` of its places are taken (the leading ones count; ties: the earlier
-place). Lines with the same tokens there are one template, and every place in which they differ is ``<*>``: a field may have
-new values or the same few again and again. A template found in more than one document recurs: all but its first document
-lose its lines. A line alone in its leaf is its own template. The rule looks at counts alone, so it needs no order of lines
-and no pairs.
+digit have become ``<*>``. Within a leaf, variable fields are generalised: a template keeps ``PERCENT`` of a line's places, the
+leading ones included, and every other place is ``<*>``. Only tokens that another line of the leaf has at the same place can be
+kept. A line has two templates: one keeps the tokens that most lines have there, the other those that fewest others have (ties:
+the earlier place), so that it meets a line with the same frame whether that frame is common in the leaf or not. A template
+that keeps fewer than ``FRAME`` tokens beside the leading ones counts only if ``VALUES`` different lines have it: two short
+lines that differ in a word are no evidence of a field. A line without a template is its own.
+
+A template found in more than one document recurs: all but its first document lose its lines. The rule looks at counts alone,
+so it needs no order of lines and no pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .staging import drop_staged, stage
 DEPTH = 3
 #: Share of a line's places that make its template, rounded up.
 PERCENT = 70
+#: Kept tokens beside the leading ones with which a template needs no further evidence, and different lines that it else needs.
+FRAME, VALUES = 3, 4
 #: Rows of a table of leaves or templates that is sent to all tasks, at most (about 100 MB); larger ones are shuffled.
 SENT_ROWS = 500_000
 #: A token with a digit; tried at the beginnings of tokens only, so that long ones cost no more than their length.
@@ -58,7 +63,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """h1, h2, t1, t2 (name the template) of the lines whose leaf has more than one; each distinct line is looked at once."""
+    """h1, h2 and templates (their hashes t1 and t2) of the lines that have any; each distinct line is looked at once."""
     leaves = stage(lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf"), "leaves")
     distinct = lines.join(_sent(leaves), "leaf", "left_semi").groupBy("leaf", "h1", "h2").agg(F.first("masked").alias("masked"))
     words = F.split("masked", " ")
@@ -66,22 +71,32 @@ def _templates(lines: DataFrame) -> DataFrame:
     distinct = stage(distinct.select("leaf", "h1", "h2", lead, F.size(words).alias("n"), F.slice(words, DEPTH + 1, F.size(words)).alias("rest")), "distinct")
     tokens = distinct.select("leaf", "h1", "h2", F.posexplode("rest").alias("p", "token"))
     shared = tokens.groupBy("leaf", "p", "token").agg(F.count("*").alias("lines")).where("lines > 1")
-    kept = tokens.join(shared, ["leaf", "p", "token"], "left")
-    order = F.struct(-F.coalesce("lines", F.lit(1)), "p", "token")
-    ranked = kept.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(order)).alias("ranked"))
-    n_kept = F.greatest(F.floor((F.col("n") * PERCENT + 99) / 100).cast("int") - DEPTH, F.lit(0))
-    parts = F.transform(F.slice("ranked", 1, n_kept), lambda x: F.struct(x["p"], x["token"]))
-    found = distinct.join(ranked, ["h1", "h2"], "left").select(
-        "h1", "h2", F.xxhash64("lead", parts).alias("t1"), F.xxhash64(F.lit(1), "lead", parts).alias("t2")
+    kept = tokens.join(shared, ["leaf", "p", "token"])
+    few_first = kept.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("lines", "p", "token"))).alias("few_first"))
+    joined = distinct.join(few_first, ["h1", "h2"], "left").select(
+        "h1", "h2", "lead", F.greatest(F.floor((F.col("n") * PERCENT + 99) / 100).cast("int") - DEPTH, F.lit(0)).alias("kept"), F.coalesce("few_first", F.array()).alias("few_first")
     )
-    return stage(found, "templates")
+    many_first = F.sort_array(F.transform("few_first", lambda x: F.struct((-x["lines"]).alias("lines"), x["p"], x["token"])))
+
+    def template(ranked: Column) -> Column:
+        parts = F.sort_array(F.transform(F.slice(ranked, 1, F.col("kept")), lambda x: F.struct(x["p"], x["token"])))
+        return F.struct(F.xxhash64("lead", parts).alias("t1"), F.xxhash64(F.lit(1), "lead", parts).alias("t2"))
+
+    found = joined.where(F.size("few_first") >= F.col("kept")).select("h1", "h2", "kept", template(many_first).alias("many"), template(F.col("few_first")).alias("few"))
+    found = stage(found, "found")
+    loose = found.where(F.col("kept") < FRAME).select("h1", "h2", "many.t1", "many.t2")
+    enough = loose.groupBy("t1", "t2").agg(F.count("*").alias("lines")).where(F.col("lines") >= VALUES)
+    evident = loose.join(_sent(stage(enough.select("t1", "t2"), "enough")), ["t1", "t2"]).select("h1", "h2", F.array(F.struct("t1", "t2")).alias("templates"))
+    framed = found.where(F.col("kept") >= FRAME).select("h1", "h2", F.array_distinct(F.array("many", "few")).alias("templates"))
+    return stage(framed.unionByName(evident), "templates")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row and drops (indexes of lines to drop) of the documents that lose lines."""
     lines = stage(_lines(docs), "lines")
     found = lines.select("doc_id", "row", "i", "h1", "h2").join(_sent(_templates(lines)), ["h1", "h2"], "left")
-    named = found.select("doc_id", "row", "i", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
+    own = F.array(F.struct(F.col("h1").alias("t1"), F.col("h2").alias("t2")))
+    named = found.select("doc_id", "row", "i", F.explode(F.coalesce("templates", own)).alias("t")).select("doc_id", "row", "i", "t.*")
     seen = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id <> last_id")
     lost = named.join(_sent(stage(seen, "seen")), ["t1", "t2"]).where("doc_id <> first_id or doc_id is null")
     drops = stage(lost.groupBy("doc_id", "row").agg(F.collect_set("i").alias("drops")), "drops")

@@ -17,7 +17,7 @@ from .line_templates import drop_recurring_lines
 from .mixing import mixed, plan_mix
 from .quality_model import quality_scores
 from .rules import RULES, STOP_WORDS, quality_rules
-from .secret_scan import labelled_findings, secret_scan, train
+from .secret_scan import fitted, secret_scan
 from .simhash import simhash_groups
 from .token_store import token_store
 from .warc import parse_warc, resolve_revisits, warc_bytes
@@ -164,7 +164,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)), path_col="source")
+    return secret_scan(_table(spark, sf_dir, "documents"), fitted(spark), path_col="source")
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +186,19 @@ WITH raw AS (
   SELECT n, lead, m, p, list_extract(m, p) AS t FROM (SELECT n, lead, m, unnest(range(4, n + 1)) AS p FROM distinct_lines)
 ), counted AS (
   SELECT n, lead, m, p, t, count(*) OVER (PARTITION BY n, lead, p, t) AS f FROM tokens
+), shared AS (
+  SELECT m, greatest((n * 70 + 99) // 100 - 3, 0) AS k, list({'p': p, 't': t} ORDER BY f DESC, p) AS many, list({'p': p, 't': t} ORDER BY f, p) AS few
+  FROM (SELECT * FROM counted WHERE f > 1) GROUP BY m, n
+), ranked AS (
+  SELECT d.n, d.lead, d.m, greatest((d.n * 70 + 99) // 100 - 3, 0) AS k, coalesce(many, []) AS many, coalesce(few, []) AS few,
+         count(*) OVER (PARTITION BY d.n, d.lead) AS n_leaf FROM distinct_lines d LEFT JOIN shared s ON d.m = s.m
 ), skeletons AS (
-  SELECT m, list_slice(list({'p': p, 't': t} ORDER BY f DESC, p), 1, greatest((any_value(n) * 70 + 99) // 100 - 3, 0)) AS parts FROM counted GROUP BY m
+  SELECT n, lead, m, k, list_sort(list_slice(many, 1, k)) AS many, list_sort(list_slice(few, 1, k)) AS few FROM ranked WHERE len(many) >= k AND n_leaf > 1
+), templates AS (
+  SELECT m, unnest(list_distinct([{'n': n, 'lead': lead, 'parts': many}, {'n': n, 'lead': lead, 'parts': few}])) AS template FROM skeletons WHERE k >= 3
+  UNION ALL SELECT m, {'n': n, 'lead': lead, 'parts': many} FROM skeletons WHERE k < 3 QUALIFY count(*) OVER (PARTITION BY n, lead, many) >= 4
 ), named AS (
-  SELECT doc_id, i, {'n': len(l.m), 'lead': list_slice(l.m, 1, 3), 'parts': s.parts} AS template
-  FROM lines l LEFT JOIN skeletons s ON l.m = s.m
+  SELECT doc_id, i, {'own': CASE WHEN t.m IS NULL THEN l.m END, 'of': t.template} AS template FROM lines l LEFT JOIN templates t ON l.m = t.m
 ), seen AS (
   SELECT template, min(doc_id) AS first_id FROM named GROUP BY template HAVING count(DISTINCT doc_id) > 1
 ), lost AS (

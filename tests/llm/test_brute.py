@@ -553,6 +553,56 @@ def test_secrets_of_any_form_reach_the_forest(spark, forest):
     assert {r.doc_id for r in sure} == {0, 1, 2, 3, 4}
 
 
+def test_plain_prose_about_secrets_is_clean(spark, forest):
+    texts = """The token economy is growing fast in many towns
+    private practice lawyers met in the old hall
+    the bearer of bad news came late that day
+    a secret garden, private rooms and an author of credit
+    he lost his password yesterday and asked the clerk again
+    authority figures keep their secrets from everybody
+    she gave a token gesture and a private lesson
+    the secret was known; the credential committee agreed
+    Our access keys are handed out by the porter
+    authentic recipes, secretly kept by private families""".split("\n")
+    docs = spark.createDataFrame([(k, t.strip()) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = secret_scan(docs, forest)
+    wrong = found.where("is_secret").collect()
+    assert found.count() >= 8 and not wrong, [(texts[r.doc_id], r.word_index, r.probability) for r in wrong]
+
+
+def test_named_features_carry_weight(forest):
+    from skein.llm.secret_scan import FEATURES
+
+    weight = dict(zip(FEATURES, forest.stages[-1].featureImportances.toArray()))
+    for name in ("length", "usual_pairs", "dictionary_ratio", "test_path", "config_path", "secret_before", "other_before", "secret_after", "other_after", "assigned", "known_prefix", "key_block"):
+        assert weight[name] > 0.0005, (name, weight)
+
+
+def plain_features(word, value, before, after, path):
+    """Some of the features, letter by letter."""
+    from skein.llm.secret_scan import DICTIONARY, PAIRS
+
+    n, low = max(len(value), 1), value.lower()
+    covered, at = 0, 0
+    longest = sorted(DICTIONARY, key=len, reverse=True)
+    while at < len(low):
+        hit = next((w for w in longest if low.startswith(w, at)), None)
+        covered += len(hit or "")
+        at += len(hit or "x")
+    pairs = list(zip(low, low[1:]))
+    return (len(value), sum(c in "0123456789" for c in value) / n, sum("A" <= c <= "Z" for c in value) / n, len(set(value)) / n,
+            sum(b in PAIRS.get(a, "") for a, b in pairs) / max(len(value) - 1, 1), covered / n, float(before.rstrip().endswith(("=", ":")) or bool(re.search("[A-Za-z_\"'][=:].", word))))
+
+
+def test_features_of_the_table_against_plain_ones(spark, small):
+    names = ["length", "digit_ratio", "upper_ratio", "distinct_ratio", "usual_pairs", "dictionary_ratio", "assigned"]
+    made = [labelled_findings(spark, 400).drop("label"), candidates(spark.read.parquet(f"{small}/documents.parquet")).select("path", "word", "before", "after")]
+    rows = with_features(made[0].unionByName(made[1])).collect()
+    assert len(rows) > 410
+    for r in rows:
+        assert [r[k] for k in names] == pytest.approx(plain_features(r.word, r.value, r.before, r.after, r.path)), r
+
+
 # Queries with SQL
 
 
@@ -602,6 +652,64 @@ def test_fields_with_few_values_many_values_or_one_in_four_tokens(spark):
     assert dropped(spark, ["a line of its own here", "some other line is there", "and a third one follows it"]) == 0
 
 
+def test_lines_join_the_template_they_are_most_like_and_short_ones_need_evidence(spark):
+    pair = ["a b c p q r k l m n", "a b c x y z k l m n"]
+    others = [f"a b c p q r {w}1 {w}2 {w}3 {w}4".translate(str.maketrans("1234", "efgh")) for w in ("s", "t", "u")]
+    assert dropped(spark, pair) == 1 and dropped(spark, [*pair, *others]) == 1
+    assert dropped(spark, ["I went to Paris", "I went to prison"]) == 0
+    assert dropped(spark, ["The cat sat on mats", "The cat sat on bombs"]) == 0
+    assert dropped(spark, [f"I went to {w}" for w in ("Paris", "Rome", "Oslo", "Bonn")]) == 3
+
+
+def plain_drops(texts):
+    """The rule of line templates, line by line."""
+    lines = {(d, i): ["<*>" if re.search("[0-9]", w) else w for w in line.split()] for d, text in enumerate(texts) for i, line in enumerate(text.split("\n")) if line.split()}
+    leaves = {}
+    for m in lines.values():
+        leaves.setdefault((len(m), *m[:3]), set()).add(tuple(m))
+    own, loose = {}, Counter()
+    for leaf, members in leaves.items():
+        counts = Counter((p, m[p]) for m in members for p in range(3, len(m)))
+        for m in members:
+            k = max((len(m) * 70 + 99) // 100 - 3, 0)
+            shared = [(counts[p, m[p]], p) for p in range(3, len(m)) if counts[p, m[p]] > 1]
+            if len(members) < 2 or len(shared) < k:
+                own[m] = {m}
+                continue
+            many = tuple(sorted((p, m[p]) for _, p in sorted(shared, key=lambda x: (-x[0], x[1]))[:k]))
+            few = tuple(sorted((p, m[p]) for _, p in sorted(shared)[:k]))
+            own[m] = {(leaf, many), (leaf, few)} if k >= 3 else {(leaf, many)}
+            if k < 3:
+                loose[leaf, many] += 1
+    for m, found in own.items():
+        if m not in found and len(found) == 1 and 0 < loose[next(iter(found))] < 4:
+            own[m] = {m}
+    first = {}
+    for (d, _), m in lines.items():
+        for t in own[tuple(m)]:
+            first[t] = min(first.get(t, d), d)
+    return Counter(d for (d, _), m in lines.items() if any(first[t] < d for t in own[tuple(m)]))
+
+
+def test_random_leaves_against_the_plain_rule(spark):
+    from skein.llm.line_templates import drop_recurring_lines
+
+    rnd = random.Random(8)
+    frames = [[rnd.choice("abc") if p < 3 else f"t{'xyz'[rnd.randrange(3)]}{chr(97 + p)}" for p in range(rnd.randrange(2, 13))] for _ in range(12)]
+
+    def line():
+        words = list(rnd.choice(frames))
+        for p in range(3, len(words)):
+            if rnd.random() < 0.25:
+                words[p] = rnd.choice(["one", "two", "three", "n7", f"own{chr(97 + rnd.randrange(26))}"])
+        return " ".join(words)
+
+    texts = ["\n".join(line() for _ in range(rnd.randrange(1, 5))) for _ in range(150)]
+    out = {r.doc_id: r.n_dropped for r in drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_drops(texts)
+    assert out == {d: want[d] for d in range(150)} and 50 < sum(want.values()) < sum(t.count("\n") + 1 for t in texts)
+
+
 def test_pipeline_runs_as_its_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, step in corpus_pipeline.STAGES:
