@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 A (byte-level BPE of the tokenizers library, given a space and the text) and B (a sentencepiece model, which adds the space
-itself) cut the same bytes differently. B's tokens are a static interval index, the sorted list of their ends: for each A token two
-bisections find the B tokens that its bytes stab. Gaps between tokens that no token of either side spans are the boundaries
+itself) cut the same bytes differently. B's tokens are a static interval index, the sorted array of their ends: for each A token
+two bisections find the B tokens that its bytes stab. Gaps between tokens that no token of either side spans are the boundaries
 of groups. Neither side's tokens cross the units of ``units.py``, so each different unit is aligned once.
 
 How often an id pair is linked in the whole corpus is counted by Spark. Pairs of which there are many go to all tasks, up to
@@ -12,8 +12,6 @@ How often an id pair is linked in the whole corpus is counted by Spark. Pairs of
 from __future__ import annotations
 
 import re
-import struct
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +26,7 @@ from .units import BATCH_BYTES, CHUNK_BYTES, Units, runs
 #: Pairs whose counts are sent to all tasks, at most (about 20 MB).
 SENT_PAIRS = 500_000
 #: Units of which a worker remembers the alignment, and units that the libraries take at once.
-KNOWN = 80_000
+KNOWN = 200_000
 LEARNED = 4096
 #: A pair is a's id times this, plus b's.
 PAIR = 1 << 32
@@ -36,21 +34,26 @@ PAIR = 1 << 32
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, groups) of tokens that lie side by side, given where they end: pairs of places whose bytes overlap, in A's
-    order, and for each group how many A and B tokens end with it."""
-    links = []
-    begin = 0
-    for i, end in enumerate(a_ends):
-        links += [(i, j) for j in range(bisect_right(b_ends, begin), bisect_left(b_ends, end) + 1)]
-        begin = end
-    shared = set(b_ends)
-    groups = [(i + 1, bisect_left(b_ends, end) + 1) for i, end in enumerate(a_ends) if end in shared]
-    return links, groups
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens that lie side by side, given where they end: the places i and j of linked pairs (whose bytes overlap), in A's
+    order, and the places of A's tokens with which a group ends."""
+    begins = np.concatenate([[0], a_ends[:-1]])
+    first, last = np.searchsorted(b_ends, begins, "right"), np.searchsorted(b_ends, a_ends, "left")
+    counts = last - first + 1
+    i = np.repeat(np.arange(len(a_ends)), counts)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+    return i, j, np.flatnonzero(b_ends[last] == a_ends)
+
+
+class Evened(Units):
+    """Units of texts without white space beside white space; other texts are taken whole by the caller."""
+
+    def _uneven(self, text: str) -> list:
+        return []
 
 
 class Aligner:
-    """Both tokenizers, and what became of the units met last: (n_a, n_b, n_groups, groups, pairs), or None if the bytes differ."""
+    """Both tokenizers, and what became of the units met last: (n_a, n_b, n_groups, groups, pairs), or () if the bytes differ."""
 
     def __init__(self, a_file: str, b_file: str):
         from sentencepiece import SentencePieceProcessor
@@ -59,51 +62,65 @@ class Aligner:
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True  # their strings are plain text
         letters = {letter: byte for byte, letter in enumerate(BYTE_LETTERS)}
-        self.a_bytes: dict[int, bytes] = {}
-        for token, k in self.a.get_vocab().items():
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b = SentencePieceProcessor(model_file=b_file)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.space = pieces.index("▁")
-        self.units = Units(" ", self._learn, KNOWN)
+        self.sizes = [np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes)]
+        self.units = Evened(" ", self._learn, KNOWN)
         # B's tokens keep within units if no piece goes on over a space, and none has a line feed
         self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
 
     def _learn(self, units: list[str]) -> list[tuple]:
-        """Units begin with a space, which B adds itself, or a line feed, before which B's added space is taken off."""
-        out = []
-        for low in range(0, len(units), LEARNED):
-            part = units[low : low + LEARNED]
-            a_ids = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in part], num_threads=1)
-            for unit, x, y in zip(part, a_ids, b_ids):
-                if unit[0] != " ":
-                    y = y[1:] if y and y[0] == self.space else []
-                out.append(self._aligned(unit.encode(), x, y))
+        """Units one after the other are a text whose tokens keep within them; those with a space, which B adds, come first."""
+        out: list[tuple] = [()] * len(units)
+        order = sorted(range(len(units)), key=lambda k: units[k][0] != " ")
+        for low in range(0, len(order), LEARNED):
+            part = order[low : low + LEARNED]
+            for k, found in zip(part, self._aligned([units[k] for k in part])):
+                out[k] = found
         return out
 
-    def _aligned(self, data: bytes, x: list[int], y: list[int]) -> tuple:
-        a = [self.a_bytes[k] for k in x]
-        b = [self.b_bytes[k] for k in y]
-        if b"".join(a) != data or b"".join(b) != data:
-            return ()
-        a_ends, b_ends = [], []
-        for tokens, ends in ((a, a_ends), (b, b_ends)):
-            at = 0
-            for token in tokens:
-                at += len(token)
-                ends.append(at)
-        links, groups = align(a_ends, b_ends)
-        text, i, j = [], 0, 0
-        for i2, j2 in groups:
-            text.append(",".join(map(str, x[i:i2])) + "|" + ",".join(map(str, y[j:j2])))
-            i, j = i2, j2
-        pairs = struct.pack(f"<{len(links)}q", *(x[p] * PAIR + y[q] for p, q in links))
-        return len(x), len(y), len(groups), ";".join(text), pairs
+    def _aligned(self, units: list[str]) -> list[tuple]:
+        text = "".join(units)
+        spaced = text if text[0] == " " else " " + text  # a line feed at the beginning: the space, its token on both sides, goes again
+        lead = len(spaced) - len(text)
+        a = np.array(self.a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(spaced[1:]), np.int64)
+        data = spaced.encode()
+        ends = np.cumsum([lead + len(units[0].encode()), *(len(u.encode()) for u in units[1:])])
+        sides = [np.cumsum(size[x]) for size, x in zip(self.sizes, (a, b))]
+        same = all(b"".join(map(tokens.__getitem__, x.tolist())) == data for tokens, x in ((self.a_bytes, a), (self.b_bytes, b)))
+        if same:
+            cut = [np.searchsorted(side, ends) for side in sides]
+            same = all((side[c] == ends).all() for side, c in zip(sides, cut)) and (not lead or sides[0][0] == sides[1][0] == lead)
+        if not same:
+            half = len(units) // 2
+            return self._aligned(units[:half]) + self._aligned(units[half:]) if half else [()]
+        i, j, group_ends = align(*sides)
+        group = np.searchsorted(group_ends, np.arange(len(a))), np.searchsorted(sides[0][group_ends], sides[1])
+        # ids in the order in which groups are written, each with the sign after it
+        key = np.concatenate([2 * group[0], 2 * group[1] + 1])
+        written = np.argsort(key, kind="stable")
+        key = key[written]
+        sign = np.where(np.append(key[1:], -1) == key, 0, 1 + key % 2)
+        shown = [x + y for x, y in zip(map(str, np.concatenate([a, b])[written].tolist()), map(",|;".__getitem__, sign.tolist()))]
+        pairs = (a[i] * PAIR + b[j]).astype("<i8").tobytes()
+        stops = [c + 1 for c in cut]
+        n_groups = np.searchsorted(group_ends, cut[0]) + 1
+        n_pairs = np.searchsorted(i, stops[0])
+        out, last = [], (int(bool(lead)),) * 4 if lead else (0, 0, 0, 0)
+        for now in zip(stops[0].tolist(), stops[1].tolist(), n_groups.tolist(), n_pairs.tolist()):
+            (a0, b0, g0, p0), (a1, b1, g1, p1) = last, now
+            out.append((a1 - a0, b1 - b0, g1 - g0, "".join(shown[a0 + b0 : a1 + b1])[:-1], pairs[8 * p0 : 8 * p1]))
+            last = now
+        return out
 
     def _whole(self, text: str) -> tuple:
-        return self._learn([" " + text])[0] if text else ()
+        return self._aligned([" " + text])[0] if text else ()
 
     def aligned(self, texts: list[str]) -> Iterator[tuple]:
         """For each text (n_a, n_b, n_groups, groups, pairs); () if it has no tokens."""
@@ -113,7 +130,7 @@ class Aligner:
         for text, (values, led) in zip(texts, self.units.of(texts)):
             if not text:
                 yield ()
-            elif not led or () in values:  # white space beside white space, or a unit whose bytes differ: the text as a whole
+            elif not led or not all(values):  # white space beside white space, or a unit whose bytes differ: the text as a whole
                 yield self._whole(text)
             else:
                 n_a, n_b, n_groups, groups, pairs = zip(*values)

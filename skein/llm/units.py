@@ -13,7 +13,7 @@ from typing import Any
 import pyarrow as pa
 
 #: Text bytes whose new units are learned at once, and text bytes of a batch that is handed on.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 2 << 20
 #: Units or words of which a worker remembers what became of them: so many new ones, and as many from before, of which those
 #: met again stay. Longer ones aren't remembered.
@@ -98,7 +98,7 @@ class Units(Memory):
         self.update(zip(parts, self.learn([p if p[0] == "\n" else " " + p for p in parts])))
         for text in texts:
             values = list(map(self.__getitem__, _parts(text, self.lead)))
-            yield (values, True) if None not in values else (self._uneven(text), False)
+            yield (values, True) if all(values) or None not in values else (self._uneven(text), False)
         self.forget(new)
 
     def _uneven(self, text: str) -> list[Any]:
