@@ -40,21 +40,33 @@ def allowed_errors(notice: str) -> int:
 
 
 @cache
-def _plans() -> list[tuple[bytes, str, int, list[tuple[bytes, int]], regex.Pattern]]:
+def _plans() -> list[tuple[bytes, str, list[tuple[bytes, int]], int, list[regex.Pattern]]]:
     plans = []
     for notice, label in NOTICES.items():
         k = allowed_errors(notice)
         data = notice.encode()
         cuts = [len(data) * i // (k + 1) for i in range(k + 2)]
         seeds = [(data[a:b], a) for a, b in zip(cuts, cuts[1:])]
-        # digits and the letters of a licence's short name carry its meaning: errors there would be another licence
-        fixed = regex.compile(rb"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(data, special_only=True), k), regex.BESTMATCH)
-        plans.append((data, label, k, seeds, fixed))
+        # the library puts no errors before a match, so letters before a notice's first are tried by a pattern of their own
+        notice_with = lambda e: rb"(?:%s){e<=%d}" % (regex.escape(data, special_only=True), e)  # noqa: B023, E731
+        begun = b"|".join(b"[^ ]{%d}" % n + notice_with(k - n) for n in range(1, k + 1))
+        patterns = [regex.compile(rb"(?<![^ ])(?:%s)(?![^ ])" % p, regex.BESTMATCH) for p in (notice_with(k), begun)]
+        plans.append((data, label, seeds, k, patterns))
     return plans
 
 
+def edits(a: bytes, b: bytes) -> int:
+    """The least number of letters put in, left out or changed between two short texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def _name_kept(notice: bytes, found: bytes) -> bool:
-    """Whether the words that tell one licence from another (numbers, and short names of up to three letters) are intact."""
+    """Whether the words that tell one licence from another (numbers, and short names of up to three letters) are intact: an error there would be another licence."""
     names = {w for w in notice.split() if w.isdigit() or w in (b"cc", b"by", b"nc", b"sa", b"bsd", b"gnu")}
     return names <= set(found.split())
 
@@ -62,7 +74,7 @@ def _name_kept(notice: bytes, found: bytes) -> bool:
 def fuzzy_notices(text: bytes) -> list[tuple[str, int, int, int]]:
     """Notices in a text of single-spaced words: (label, errors, first byte, end), each notice's overlaps once."""
     found = []
-    for notice, label, k, seeds, pattern in _plans():
+    for notice, label, seeds, k, patterns in _plans():
         spans: list[tuple[int, int]] = []
         for seed, offset in seeds:
             at = text.find(seed)
@@ -73,10 +85,13 @@ def fuzzy_notices(text: bytes) -> list[tuple[str, int, int, int]]:
         for low, high in sorted(set(spans)):
             low = max(low, done)
             # one sign more on either side, so that word ends can be seen
-            m = pattern.search(text, low, min(len(text), high + 1)) if low < high else None
-            if m and _name_kept(notice, m.group()):
-                found.append((label, sum(m.fuzzy_counts), m.start(), m.end()))
-                done = m.end()
+            for pattern in patterns if low < high else ():
+                m = pattern.search(text, low, min(len(text), high + 1))
+                errors = edits(notice, m.group()) if m else k + 1
+                if errors <= k and _name_kept(notice, m.group()):
+                    found.append((label, errors, m.start(), m.end()))
+                    done = m.end()
+                    break
     return found
 
 

@@ -11,7 +11,7 @@ from skein.llm.line_templates import drop_recurring_lines
 from skein.llm.mixing import plan_mix
 from skein.llm.quality_model import quality_scores
 from skein.llm.rules import quality_rules
-from skein.llm.secret_scan import labelled_findings, secret_scan, train
+from skein.llm.secret_scan import fitted, labelled_findings, secret_scan, train
 from skein.llm.simhash import simhash_groups
 from skein.llm.token_store import token_store
 from skein.llm.warc import canonical_url, parse_warc, read_records, read_warc, resolve_revisits
@@ -105,6 +105,24 @@ def test_defined_results(docs, labels, benchmark):
     assert {r.doc_id: r.labels for r in license_scan(docs).collect()}[2] == "mit"
 
 
+def test_results_of_tokens_quality_rules_and_secrets(spark, docs, labels):
+    stored = {}
+    for r in sorted(token_store(docs, queries.public_tokenizers.path(queries.TOKENIZER), 2).collect(), key=lambda r: r.start):
+        stored.setdefault(r.doc_id, []).append(r)
+    assert [len(stored[k]) for k in (None, 1, 2, 6)] == [1, 2, 1, 1] and stored[None][0].start == 0
+    assert stored[3][0].n_tokens == stored[4][0].n_tokens == stored[5][0].n_tokens == 1 and stored[7][0].n_tokens > 120_000
+    assert stored[1][0].ids_crc32 == stored[1][1].ids_crc32 == stored[2][0].ids_crc32
+    scores = {}
+    for r in quality_scores(docs, labels).collect():
+        scores.setdefault(r.doc_id, set()).add((r.score, r.held_out))
+    assert scores[3] == {(s, r) for s, _ in scores[4] for _, r in scores[3]} and len(scores[1]) == 1 and next(iter(scores[None]))[1] is True
+    rules = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert (rules[3].n_words, rules[3].base_failed, rules[3].kept) == (0, True, False) == (rules[4].n_words, rules[4].base_failed, rules[4].kept)
+    assert rules[6].n_words == 1 and rules[6].word_chars == 300_000 and rules[7].n_repeat_words == 120_000 and rules[7].base_failed
+    found = [r for r in secret_scan(docs, fitted(spark)).collect() if r.is_secret]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 1), (False, 1), (False, 2), (True, 0)] and len({r.value_sha256 for r in found}) == 1
+
+
 def test_stages_keep_columns_and_take_awkward_rows(spark, docs, labels, benchmark, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
