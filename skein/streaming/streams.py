@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -122,3 +123,79 @@ def unanswered_calls(calls: DataFrame, answers: DataFrame, seconds: int, late: s
     a, b = calls.alias("a"), answers.select(F.col("call_id").alias("answered_id"), F.col("ts").alias("answered")).alias("b")
     near = F.expr(f"call_id = answered_id and answered >= ts and answered <= ts + interval {int(seconds)} seconds")
     return a.join(b, near, "left_outer").where("answered_id is null").select("thread_id", "call_id", "ts")
+
+
+class MessageEnds(StatefulProcessor):
+    """Keeps the chunks of a message until it ends, gives it once, and tells chunks that come after that.
+
+    State: ``progress`` (time of the newest chunk, number of the last chunk if it has come, whether the message was given) and
+    ``chunks`` (number to text). A timer of event time gives what there is of a message that got nothing for ``idle_ms``; as
+    long after it was given it is forgotten.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "newest long, last long, given boolean")
+        self.chunks = handle.getMapState("chunks", "seq long", "text string")
+
+    def _put(self, newest: int, last: int | None, given: bool) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.progress.update((newest, last, given))
+        self.handle.registerTimer(newest + self.idle_ms)
+
+    def _message(self, key: tuple) -> pd.DataFrame:
+        held = sorted((k[0], v[0]) for k, v in self.chunks.iterator())
+        self.chunks.clear()
+        return pd.DataFrame({"thread_id": [key[0]], "msg_id": [key[1]], "kind": ["message"], "seq": [len(held)], "content": ["".join(t or "" for _, t in held)]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, last, given = self.progress.get() if self.progress.exists() else (0, None, False)
+        late = []
+        for pdf in rows:
+            for seq, text, is_last, ts in zip(pdf["seq"], pdf["text"], pdf["is_last"], pdf["ts"]):
+                newest = max(newest, int(ts.timestamp() * 1000))
+                if given:
+                    late.append((int(seq), text))
+                    continue
+                self.chunks.updateValue((int(seq),), (text,))
+                last = int(seq) if is_last else last
+        out = self._message(key) if not given and last is not None and all(self.chunks.containsKey((k,)) for k in range(last + 1)) else None
+        self._put(newest, last, given or out is not None)
+        if out is not None:
+            yield out
+        if late:
+            yield pd.DataFrame({"thread_id": key[0], "msg_id": key[1], "kind": "late", "seq": [s for s, _ in late], "content": [t for _, t in late]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, last, given = self.progress.get()
+        if given:
+            self.progress.clear()
+            return
+        yield self._message(key)
+        self._put(max(newest, expiredTimerInfo.getExpiryTimeInMs()), last, True)
+
+    def close(self) -> None:
+        pass
+
+
+def message_ends(chunks: DataFrame, late: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """Stream: thread_id, msg_id, kind, seq and content of chunks (thread_id, msg_id, seq from 0, text, is_last, ts), in append mode.
+
+    A ``message`` is given once: when all chunks up to its last have come, else when the watermark passes ``idle_ms`` after its newest
+    chunk; seq is then its number of chunks. A chunk that comes after its message was given is given as ``late``, with its own seq
+    and text. Chunks behind the watermark are dropped by Spark, which counts them. It needs the RocksDB state store
+    (``ROCKSDB``) and resumes from the query's checkpoint.
+    """
+    return (
+        chunks.withWatermark("ts", late)
+        .groupBy("thread_id", "msg_id")
+        .transformWithStateInPandas(MessageEnds(idle_ms), "thread_id long, msg_id long, kind string, seq long, content string", "Append", "EventTime")
+    )
+
+
+#: The setting and value with which a session keeps streams' state in RocksDB.
+ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

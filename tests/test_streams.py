@@ -67,3 +67,33 @@ def test_stream_join(spark, parts):
     buys = streams.read_events(spark, parts, schema, 4).where("event_type = 'purchase'").select("user_id", "ts")
     got = run(streams.join_within(clicks, buys, "user_id", 86400), "append", "joined", spark).count()
     assert got > 0
+
+
+def test_messages_are_given_once_and_late_chunks_apart(spark, tmp_path):
+    """Over three runs from one checkpoint: a message that ends, one out of order, one that never ends, and chunks that come late."""
+    from datetime import datetime, timedelta
+
+    schema = "thread_id long, msg_id long, seq long, text string, is_last boolean, ts timestamp"
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    rounds = [
+        [(1, 1, 0, "a", False, at(0)), (1, 1, 1, "b", True, at(1)), (1, 2, 2, "z", True, at(2)), (1, 2, 0, "x", False, at(2)), (2, 1, 0, "never ", False, at(3))],
+        [(1, 1, 2, "after", False, at(4)), (1, 2, 1, None, False, at(5)), (2, 1, 1, "ends", False, at(6))],
+        [(9, 9, 0, "much later", False, at(300))],
+        [(9, 9, 1, "", True, at(301)), (2, 1, 2, "too late", False, at(302))],
+    ]
+    folder, out, state_at = (str(tmp_path / n) for n in ("chunks", "out", "state"))
+    before = spark.conf.get(streams.ROCKSDB[0], None)
+    spark.conf.set(*streams.ROCKSDB)
+    try:
+        for rows in rounds:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+            chunks = spark.readStream.schema(schema).parquet(folder)
+            q = streams.message_ends(chunks, "10 minutes", 3_600_000).writeStream.format("parquet").option("checkpointLocation", state_at)
+            q.trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set(streams.ROCKSDB[0], before) if before else spark.conf.unset(streams.ROCKSDB[0])
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    want = {(1, 1, "message", 2, "ab"), (1, 1, "late", 2, "after"), (1, 2, "message", 3, "xz"), (2, 1, "message", 2, "never ends"), (9, 9, "message", 2, "much later"), (2, 1, "late", 2, "too late")}
+    assert got == want
+    batch = spark.createDataFrame([r[:4] for rows in rounds for r in rows if r[3] not in ("after", "too late")], "thread_id long, msg_id long, seq long, text string")
+    assert {tuple(r) for r in streams.concat_tokens(batch).collect()} == {(w[0], w[1], w[4]) for w in want if w[2] == "message"}
