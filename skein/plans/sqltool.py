@@ -19,6 +19,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import lineage
+
 #: Groups of built-in functions that compute from their arguments alone.
 FUNCTION_GROUPS = {
     f"{g}_funcs"
@@ -203,11 +205,17 @@ def sqlite_compat(query: str) -> str:
 
 
 class SqlTool:
-    """The guarded tool: an allowlist of tables (None: all views), a row cap, a time limit and an audit log."""
+    """The guarded tool: an allowlist of tables (None: all views), a row cap, a time limit and an audit log.
+
+    ``columns`` gives the columns that may be read of some tables; a query that depends on another, in a filter or a window as
+    well as in its result, is refused.
+    """
 
     def __init__(
-        self, spark: SparkSession, allowed: set[str] | None = None, cap: int = 100, timeout_s: float | None = None, prefix: str = "Error: ", compat: bool = False
+        self, spark: SparkSession, allowed: set[str] | None = None, cap: int = 100, timeout_s: float | None = None, prefix: str = "Error: ", compat: bool = False,
+        columns: dict[str, set[str]] | None = None,
     ):
+        self.columns = {t.lower(): {c.lower() for c in names} for t, names in (columns or {}).items()}
         self.spark, self.allowed, self.cap, self.timeout_s, self.prefix, self.compat = spark, allowed, cap, timeout_s, prefix, compat
         self.log: list[tuple[str, float, bool, str | None, int]] = []
 
@@ -216,6 +224,8 @@ class SqlTool:
         check_query(self.spark, query, self.allowed)
         df = self.spark.sql(query, args=args) if args else self.spark.sql(query)
         check_analysed(df, self.allowed)
+        if self.columns and (denied := sorted(f"{t}.{c}" for t, c in lineage(df).every if t in self.columns and c not in self.columns[t])):
+            raise Refused(f"column {denied[0]} is not allowed")
         return df
 
     def plan(self, query: str, args: dict | list | None = None) -> DataFrame:

@@ -146,3 +146,42 @@ def test_catalog_as_rows(spark, small):
     open_database(spark, f"parquet:{small}", ["nation"])
     assert ("n_name", "string") in {(r.column_name, r.data_type) for r in table_info(spark, ["nation"]).collect()}
     assert "nation" in {r.name for r in register_master(spark).collect()}
+
+
+@pytest.mark.parametrize(
+    "text,columns,rows",
+    [
+        ("SELECT n_name FROM nation", ["n_name"], ""),
+        ("SELECT n_name AS x FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 2", ["n_name"], "n_regionkey n_nationkey"),
+        ("SELECT count(*) AS n, max(n_name) FROM nation GROUP BY n_regionkey", ["", "n_name"], "n_regionkey"),
+        ("SELECT rank() OVER w FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name)", ["n_regionkey n_name"], ""),
+        ("SELECT x FROM nation LATERAL VIEW explode(split(n_name, 'A')) t AS x", ["n_name"], "n_name"),
+        ("SELECT n_name FROM nation UNION SELECT r_name FROM region", ["n_name r_name"], "n_name r_name"),
+        ("SELECT n_name FROM nation EXCEPT SELECT r_name FROM region WHERE r_regionkey = 1", ["n_name r_name"], "n_name r_name r_regionkey"),
+        ("WITH a AS (SELECT n_regionkey AS k, n_name AS v FROM nation) SELECT b.v FROM a JOIN a b ON a.k = b.k", ["n_name"], "n_regionkey"),
+        ("SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name = 'ASIA')", ["n_name"], "r_regionkey n_regionkey r_name"),
+        ("SELECT (SELECT max(r_name) FROM region WHERE r_regionkey = n_regionkey) FROM nation", ["r_name r_regionkey n_regionkey"], "r_regionkey n_regionkey"),
+        ("SELECT n_regionkey, n_name, count(*) FROM nation GROUP BY ROLLUP (n_regionkey, n_name)", ["n_regionkey", "n_name", ""], "n_regionkey n_name"),
+    ],
+)
+def test_lineage(spark, tool, text, columns, rows):
+    from skein.plans.lineage import lineage
+
+    found = lineage(spark.sql(text))
+    assert [{c for _, c in base} for _, base in found.columns] == [set(c.split()) for c in columns]
+    assert {c for _, c in found.rows} >= set(rows.split()) and {c for _, c in found.every} == set(" ".join([*columns, rows]).split())
+
+
+def test_column_rights(spark, tool):
+    own = SqlTool(spark, {"nation", "region"}, columns={"Nation": {"n_name", "N_NATIONKEY"}})
+    assert own.run("SELECT n_name, n_nationkey, r_name FROM nation CROSS JOIN region LIMIT 3").ok
+    for text in (
+        "SELECT n_regionkey FROM nation",
+        "SELECT * FROM nation",
+        "SELECT n_name FROM nation WHERE n_regionkey = 1",
+        "SELECT n_name FROM nation ORDER BY n_regionkey",
+        "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",
+        "SELECT count(*) OVER w FROM nation WINDOW w AS (PARTITION BY n_regionkey)",
+        "WITH a AS (SELECT n_regionkey AS k FROM nation) SELECT sum(k) FROM a",
+    ):
+        assert "n_regionkey is not allowed" in own.run(text).error, text
