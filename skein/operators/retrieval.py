@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 1000, 200
 SEPARATORS = ["\n\n", "\n", ". ", " "]
-#: Query vectors that are compared in one pass; more are taken in such blocks.
-QUERY_BLOCK = 4096
-#: Vectors that are compared with a block of queries at once.
-TILE = 512
+#: Queries of a block and vectors of a tile, about, and tiles of a shard.
+QUERY_BLOCK, TILE, SHARD = 256, 512, 64
 
 
 def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -103,57 +101,66 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 4, id_col: str = "v
     return vectors.select(F.col(id_col), sim.alias("similarity")).orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
 
 
+def _blocks(rows: DataFrame, size: int, n_rows: int, name: str) -> DataFrame:
+    """``rows`` (id, vector) in blocks of about ``size``, chosen by a hash of the id: the block's number and its members."""
+    number = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_rows // size)))).cast("int").alias(name)
+    return rows.groupBy(number).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}s"))
+
+
+def _members(column: pa.Array, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, brought to length one, of a block."""
+    members = column[at].values
+    flat = members.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(members), -1)
+    return members.field("id").to_numpy(), flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+
+
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For every query the k nearest other vectors: query_id, id, similarity, rank.
+    """For every query the k nearest other vectors: query_id, id, similarity, rank; ties by id. Null vectors and ids are left out.
 
-    Queries go to all tasks in blocks of QUERY_BLOCK vectors; each task multiplies them with TILE vectors at a time
-    and keeps k candidates of each query and batch, so that k rows of each query and task are shuffled.
+    Both sides are put together in blocks by a hash of the id, the vectors' blocks in shards; a block of queries is joined to
+    each shard, and a task keeps k candidates of each of its queries while it goes through the shard. So k rows of each query
+    and shard are shuffled, and nothing goes through the driver.
     """
-    spark = vectors.sparkSession
-    found, block = [], []
-
-    def pass_over(part: list) -> DataFrame:
-        ids = np.array([r[0] for r in part])
-        matrix = np.array([r[1] for r in part], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            for batch in batches:
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for at in range(0, len(batch), TILE):
-                    tile = batch.slice(at, TILE)
-                    own = tile.column(0).to_numpy()
-                    flat = tile.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-                    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
-                    sims = np.round(q @ flat.T, 6)
-                    sims[q_ids[:, None] == own] = -np.inf
-                    least = np.partition(sims, len(own) - k, axis=1)[:, [len(own) - k]] if k < len(own) else -np.inf
-                    row, col = ((sims >= least) & np.isfinite(sims)).nonzero()  # the k best and their ties
-                    found.append((row, own[col], sims[row, col]))
-                row, ids, s = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((ids, -s, row))
-                row, ids, s = row[order], ids[order], s[order]
-                ok = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row[ok]]), pa.array(ids[ok]), pa.array(s[ok])], ["query_id", "id", "similarity"])
-
-        return vectors.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(top, "query_id long, id long, similarity double")
-
-    for row in queries.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found.append(pass_over(block))
-            block = []
-    if block:
-        found.append(pass_over(block))
-    if not found:
-        return spark.createDataFrame([], "query_id long, id long, similarity double, rank long")
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
+    part = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    rows, asked = part(vectors), part(queries)
+    n_rows, n_asked = rows.count(), asked.count()
+    n_shards = max(1, -(-n_rows // (TILE * SHARD)))
+    tiles = _blocks(rows, TILE, n_rows, "tile").withColumn("shard", F.col("tile") % n_shards)
+    blocks = _blocks(asked, QUERY_BLOCK, n_asked, "query").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, q_ids, q = None, np.empty(0, np.int64), np.empty((0, 0))
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        found = none  # the query's place in the block, id and similarity
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "id", "similarity"])
+
+        for batch in batches:
+            for at in range(len(batch)):
+                key = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                if key != held:
+                    if held is not None:
+                        yield out()
+                    held, found = key, none
+                    q_ids, q = _members(batch.column(2), at)
+                own, tile = _members(batch.column(3), at)
+                sims = np.round(q @ tile.T, 6)
+                sims[q_ids[:, None] == own] = -np.inf
+                least = np.partition(sims, len(own) - k, axis=1)[:, [len(own) - k]] if k < len(own) else -np.inf
+                row, col = ((sims >= least) & np.isfinite(sims)).nonzero()  # the k best of the tile and their ties
+                merged = [np.concatenate(x) for x in zip(found, (row, own[col], sims[row, col]))]
+                order = np.lexsort((merged[1], -merged[2], merged[0]))
+                row = merged[0][order]
+                order = order[np.arange(len(row)) - np.searchsorted(row, row, "left") < k]
+                found = tuple(x[order] for x in merged)
+        if held is not None:
+            yield out()
+
+    joined = blocks.join(tiles, "shard").select("shard", "query", "querys", "tiles").sortWithinPartitions("shard", "query")
+    pairs = joined.mapInArrow(best, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("long")
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def best_passage(ranked: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:

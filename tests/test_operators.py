@@ -174,6 +174,27 @@ def test_nearest_of_nothing(spark):
     assert retrieval.nearest_batch(empty, empty).count() == 0
 
 
+def test_nearest_in_blocks_of_any_number(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in (("QUERY_BLOCK", 5), ("TILE", 8), ("SHARD", 2)):
+        monkeypatch.setattr(retrieval, name, value)
+    rnd = np.random.default_rng(1)
+    m = np.round(rnd.normal(size=(90, 3)), 1)
+    m[40:60] = m[0]  # ties
+    ids = [(1 << 60) + 7 * k for k in range(90)]
+    df = spark.createDataFrame([*[(i, [float(x) for x in v]) for i, v in zip(ids, m)], (None, [1.0, 2.0, 3.0]), (5, None)], "vec_id long, embedding array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 90, 4):
+        near = sorted((-round(float(s), 6), ids[j]) for j, s in enumerate(unit @ unit[i]) if j != i)[:6]
+        want[ids[i]] = [j for _, j in near]
+    got = {}
+    for r in retrieval.nearest_batch(df, df.where(F.col("vec_id").isin([*want])), 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("a\nb\nc\nd\ne", "user_nameField", "x" * 501, "not json", "467|x|4")], "a string, b string, c string, d string, e string")
     r = df.select(
