@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,35 +24,50 @@ def chunks_fixed(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) ->
     )
 
 
-def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(start, chunk) pieces that end at the coarsest separator within reach: paragraph, line, sentence, word, else anywhere."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(n, at + size)
-        if end < n:
-            for sep in SEPARATORS:
-                cut = text.rfind(sep, at + overlap + 1, end)
-                if cut > 0:
-                    end = cut + len(sep)
-                    break
-        out.append((at, text[at:end]))
-        if end >= n:
-            break
-        nxt = max(at + 1, end - overlap)
-        blank = text.find(" ", nxt, end)
-        at = blank + 1 if 0 <= blank < end - 1 else nxt
-    return out
+def _bound(x: Column, f) -> Column:
+    """f(x), of which x is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """As ``chunks_fixed``, but cut at natural borders; null texts give no chunks."""
+def _next_chunk(text: Column, n: Column, at: Column, size: int, overlap: int) -> Column:
+    """Of the chunk that begins at ``at``: where it ends and where the next begins (-1: it is the last)."""
+    most = F.least(n, at + size)
+    reach = F.substring(text, at + overlap + 2, F.greatest(most - at - overlap - 1, F.lit(0)))
+
+    def end(back: Column) -> Column:
+        found = F.when(most >= n, n)
+        for sep in SEPARATORS:
+            place = F.locate(sep[::-1], back)
+            found = found.when(place > 0, most - place + 1)
+        return found.otherwise(most)
+
+    def after(e: Column) -> Column:
+        least = F.greatest(at + 1, e - overlap)
+        begin = lambda blank: F.when((blank > 0) & (least + blank < e), least + blank).otherwise(least)
+        nearest = _bound(F.locate(" ", F.substring(text, least + 1, e - least)), begin)
+        return F.struct(e.alias("end"), F.when(e >= n, -1).otherwise(nearest).alias("next"))
+
+    return _bound(_bound(F.reverse(reach), end), after)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, k, s, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, (s, c) in enumerate(split_text(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "start_index", "chunk"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_no long, start_index long, chunk string")
+def chunks_recursive(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """As ``chunks_fixed``, but cut at natural borders: a chunk ends at the coarsest separator within reach (paragraph, line,
+    sentence, word), else anywhere, and the next begins at a word of the overlap. Null and empty texts give no chunks.
+
+    A text's chunks follow from one another, so they are folded over one text; no more steps are taken than chunks can be.
+    """
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    least = max(1, min(2, size - overlap))
+
+    def step(held: Column, _: Column) -> Column:
+        row = lambda c: F.struct(c["next"].alias("at"), F.concat(held["spans"], F.array(F.struct(held["at"].alias("at"), c["end"].alias("end")))).alias("spans"))
+        return F.when(held["at"] < 0, held).otherwise(_bound(_next_chunk(F.col("text"), n, held["at"], size, overlap), row))
+
+    begin = F.struct(F.when(n == 0, -1).otherwise(0).alias("at"), F.array().cast("array<struct<at:int,end:int>>").alias("spans"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.ceil(n / least), F.lit(1)).cast("int")), begin, step)
+    spans = docs.select("doc_id", "text", F.posexplode(folded["spans"]).alias("chunk_no", "span"))
+    start, length = F.col("span.at"), F.col("span.end") - F.col("span.at")
+    return spans.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), start.cast("long").alias("start_index"), F.substring("text", start + 1, length).alias("chunk"))
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:

@@ -474,7 +474,20 @@ def q_chunk_fixed(spark, d):
     return V.chunks_fixed(_t(spark, d, "documents"))
 
 
-@query(None)
+_CUT = """CASE WHEN n <= pos + 1000 THEN n WHEN strpos(b, chr(10) || chr(10)) > 0 THEN pos + 1001 - strpos(b, chr(10) || chr(10))
+WHEN strpos(b, chr(10)) > 0 THEN pos + 1001 - strpos(b, chr(10)) WHEN strpos(b, ' .') > 0 THEN pos + 1001 - strpos(b, ' .')
+WHEN strpos(b, ' ') > 0 THEN pos + 1001 - strpos(b, ' ') ELSE pos + 1000 END"""
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT r, 0::BIGINT AS chunk_no, pos, {_CUT} AS e FROM (SELECT *, 0::BIGINT AS pos, reverse(substr(text, 202, 799)) AS b FROM d)
+UNION ALL SELECT r, chunk_no, pos, {_CUT} FROM (SELECT *, reverse(substr(text, pos + 202, 799)) AS b FROM (
+  SELECT r, chunk_no, text, n, CASE WHEN blank > 0 AND nxt + blank < e THEN nxt + blank ELSE nxt END AS pos FROM (
+    SELECT w.r, w.chunk_no + 1 AS chunk_no, d.text, d.n, w.e, greatest(w.pos + 1, w.e - 200) AS nxt, strpos(substr(d.text, greatest(w.pos + 1, w.e - 200) + 1, w.e - greatest(w.pos + 1, w.e - 200)), ' ') AS blank
+    FROM w JOIN d ON w.r = d.r WHERE w.e < d.n))))
+SELECT doc_id, chunk_no, pos AS start_index, substr(text, pos + 1, e - pos) AS chunk FROM w JOIN d USING (r)"""
+)
 def q_chunk_recursive(spark, d):
     return V.chunks_recursive(_t(spark, d, "documents"))
 

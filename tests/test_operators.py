@@ -154,13 +154,42 @@ def test_apply_decision(spark):
     assert got == [("mail", "{}", True, None), (None, None, False, "no"), ("note", '{"a":1}', True, None)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab \n", max_size=600), st.integers(20, 90), st.integers(0, 9))
-def test_recursive_chunks_cover_the_text(text, size, overlap):
-    chunks = retrieval.split_text(text, size, overlap)
-    assert all(len(c) <= size and text[s : s + len(c)] == c for s, c in chunks)
-    covered = set().union(*[range(s, s + len(c)) for s, c in chunks]) if chunks else set()
-    assert covered == set(range(len(text)))
+def split_text(text, size, overlap):
+    """(start, chunk) of each chunk, step by step."""
+    out, at, n = [], 0, len(text)
+    while at < n:
+        end = min(n, at + size)
+        if end < n:
+            for sep in retrieval.SEPARATORS:
+                cut = text.rfind(sep, at + overlap + 1, end)
+                if cut > 0:
+                    end = cut + len(sep)
+                    break
+        out.append((at, text[at:end]))
+        if end >= n:
+            break
+        least = max(at + 1, end - overlap)
+        blank = text.find(" ", least, end)
+        at = blank + 1 if 0 <= blank < end - 1 else least
+    return out
+
+
+@pytest.mark.parametrize("size,overlap", [(20, 5), (7, 6), (12, 0), (1000, 200)])
+def test_recursive_chunks_against_a_loop(spark, size, overlap):
+    import random
+
+    rnd = random.Random(size)
+    texts = [None, "", " ", "a", "\n\n", "word " * 500, "x" * 2500]
+    texts += ["".join(rnd.choice("ab é. \n😀") for _ in range(rnd.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in retrieval.chunks_recursive(df, size, overlap).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r.doc_id, []).append((r.start_index, r.chunk))
+    want = {k: split_text(t, size, overlap) for k, t in enumerate(texts) if t}
+    assert got == want
+    for k, chunks in want.items():
+        assert all(len(c) <= size and texts[k][s : s + len(c)] == c for s, c in chunks)
+        assert set().union(*[range(s, s + len(c)) for s, c in chunks]) == set(range(len(texts[k])))
 
 
 def test_cosine_of_stub_embeddings(spark):
