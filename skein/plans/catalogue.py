@@ -25,6 +25,7 @@ from ..operators.theta import theta_join
 from ..operators.vector_index import MOST_LISTS, build_index, search_index
 from ..sources import calls, tables
 from ..sources.process import process_lines
+from ..sources.registry import read_resources, resources_of
 from ..sources.shared import new_table_path
 from ..sources.sinks import write_table
 from ..sources.upsert import KeyedTable, merge_all
@@ -1325,6 +1326,17 @@ def q_stream_orphans(spark, d):
     return streams.unanswered_calls(calls, answers, 6 * 3600)
 
 
+@query(
+    """WITH r AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 3 <> 0 GROUP BY url), b AS (SELECT r.url, k, left(html, 40) AS html FROM r JOIN pages ON page_id = k)
+SELECT p.page_id AS request_id, p.url AS uri, CASE WHEN b.k IS NULL THEN 'Error: no such resource' WHEN b.k % 5 = 0 THEN 'Error: timed out' ELSE b.html END AS content
+FROM pages p LEFT JOIN b ON p.url = b.url"""
+)
+def q_resources(spark, d):
+    pages = _t(spark, d, "pages")
+    served = pages.where("page_id % 3 <> 0").withColumn("body", F.when(F.col("page_id") % 5 != 0, F.left("html", F.lit(40))))
+    return read_resources(resources_of(served, "url", "body", "page_id"), pages.select(F.col("page_id").alias("request_id"), F.col("url").alias("uri")))
+
+
 _LINEAGE = """
 WITH big AS (SELECT o_custkey AS k, sum(o_totalprice) AS spent FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
 SELECT c_name AS name, upper(n_name) AS nation, rank() OVER (PARTITION BY n_regionkey ORDER BY spent DESC) AS place,

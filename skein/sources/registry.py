@@ -1,4 +1,4 @@
-"""Tools: Python functions as Spark functions with a row in a registry."""
+"""Tools: Python functions as Spark functions with a row in a registry; resources and prompts as rows."""
 
 from __future__ import annotations
 
@@ -58,3 +58,15 @@ def merge_registries(registries: list[DataFrame]) -> DataFrame:
 def prompt_of(prompts: DataFrame, name: str) -> DataFrame:
     """The first message of a prompt (columns name, messages)."""
     return prompts.where(F.col("name") == name).select(F.get("messages", F.lit(0)).alias("prompt"))
+
+
+def resources_of(rows: DataFrame, uri: str, body: str, order: str) -> DataFrame:
+    """uri, body and error of resources kept as rows: of rows with one uri the first by ``order``; a null body is an error."""
+    first = rows.where(F.col(uri).isNotNull()).groupBy(F.col(uri).alias("uri")).agg(F.min_by(F.struct(F.col(body).alias("body")), order).alias("r"))
+    return first.select("uri", "r.body", F.when(F.col("r.body").isNull(), "timed out").alias("error"))
+
+
+def read_resources(resources: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, uri and content of each request (request_id, uri): the resource's body, or a text that begins with ``Error:``."""
+    said = F.concat(F.lit("Error: "), F.coalesce("error", F.lit("no such resource")))
+    return requests.join(resources, "uri", "left").select("request_id", "uri", F.coalesce("body", said).alias("content"))
